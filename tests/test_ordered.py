@@ -85,8 +85,8 @@ def test_partitioning_does_not_matter(tables):
 
 
 def test_as_of(spark):
-    left = spark.createDataFrame([("a", 5, 1), ("a", 10, 2), ("a", 1, 3), ("b", 7, 4), ("c", 1, 5)], "k string, t double, id long")
-    right = spark.createDataFrame([("a", 5, "x"), ("a", 8, "y"), ("b", 9, "z")], "k string, t double, v string")
+    left = spark.createDataFrame([("a", 5.0, 1), ("a", 10.0, 2), ("a", 1.0, 3), ("b", 7.0, 4), ("c", 1.0, 5)], "k string, t double, id long")
+    right = spark.createDataFrame([("a", 5.0, "x"), ("a", 8.0, "y"), ("b", 9.0, "z")], "k string, t double, v string")
     kw = dict(right_tie=["v"])
     got = {r.id: r.v for r in as_of(left, right, ["k"], "t", ["v"], **kw).collect()}
     assert got == {1: "x", 2: "y", 3: None, 4: None, 5: None}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ordered import Feature, Rolling, Running, point_in_time, sequence
 
@@ -156,8 +157,6 @@ def season_blend(df: DataFrame, columns: list[str], k: int = 5, **kw) -> DataFra
     out = add_features(df, [feature], keys=["team", "season"], **kw)
     means = df.groupBy("team", "season").agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
     seasons = df.select("team", "season").distinct()
-    from pyspark.sql.window import Window
-
     by_team = Window.partitionBy("team").orderBy("season")
     previous = means.select(
         "team", "season", *[F.lag(f"{c}_mean").over(by_team).alias(f"{c}_prev") for c in columns]
@@ -180,8 +179,6 @@ def form(df: DataFrame, decay: float = 0.9, block: int = 256, **kw) -> DataFrame
     matches as a running sum with weights decay**-position, plus the state carried in from the three
     blocks before. What is older weighs less than decay**(3*block), below one unit in the last place.
     """
-    from pyspark.sql.window import Window
-
     gain = 1.0 - decay
     x = F.when(F.col("seq_") == 1, F.col("points")).otherwise(F.col("points") * gain)
     rows = sequence(df, TEAM_KEY, TEAM_ORDER, "seq_", **kw)
@@ -224,13 +221,14 @@ def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def with_opponent(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bring the other side's columns next to each row (J4): two rows per match, one shuffle on the match."""
-    sides = F.collect_list(F.struct("is_home", *columns))
-    from pyspark.sql.window import Window
+    both = Window.partitionBy("match_id")
+
+    def other(c: str) -> Column:
+        home = F.max(F.when(F.col("is_home") == 1, F.col(c))).over(both)
+        away = F.max(F.when(F.col("is_home") == 0, F.col(c))).over(both)
+        return F.when(F.col("is_home") == 1, away).otherwise(home)
 
-    both = sides.over(Window.partitionBy("match_id"))
-    other = F.filter(F.col("_both"), lambda s: s["is_home"] != F.col("is_home"))
-    out = df.withColumn("_both", both).withColumn("_other", F.get(other, F.lit(0)))
-    return out.select(*df.columns, *[F.col(f"_other.{c}").alias(f"opp_{c}") for c in columns])
+    return df.withColumns({f"opp_{c}": other(c) for c in columns})
 
 
 def schedule_strength(df: DataFrame, scored: str, conceded: str) -> DataFrame:

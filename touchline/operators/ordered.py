@@ -1,15 +1,15 @@
 """Per-key ordered computations that stay spread out when one key is hot.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a key with more than
-``chunk_rows`` rows is cut along its order into chunks, windows run per (key, chunk), and what a chunk
-needs from earlier ones travels separately:
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. ``point_in_time`` first counts rows
+per key (one narrow, map-side combined pass). Keys of at most ``chunk_rows`` rows use the plain window. Larger
+keys, of which there can be at most N / chunk_rows, are cut along their order into chunks; windows then run
+per (key, chunk), and what a chunk needs from earlier ones travels separately:
 
 * a *rolling* frame of w rows needs at most w earlier rows, copied in as a halo;
 * a *running* aggregate needs one pre-aggregated prefix per chunk.
 
-Cold keys have the single chunk 0, no halo and no prefix, so their plan is the plain window plus a
-map-side-combined key count; AQE drops the empty branches at run time. At most N / chunk_rows keys can be
-hot, which bounds the hot-key table. Chunk bounds fall between time buckets, so ties are never separated.
+Chunk bounds fall between time buckets, so ties are never separated. Only the rows of hot keys are
+checkpointed, so that halo and prefix do not replay the plan before them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 CHUNK_ROWS = 2_000_000
+BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,14 +98,28 @@ def point_in_time(
     finish = {k: v for f in features for k, v in f.finish.items()}
     temp = [n for n in (*rolling, *running) if n.startswith("_")]
 
-    if not split_hot_keys:
-        out = _windows(df, Window.partitionBy(*keys).orderBy(*order), rolling, running)
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    hot = hot_keys(df, keys, chunk_rows) if split_hot_keys else None
+    if hot is None:
+        out = _windows(df, plain, rolling, running)
     else:
-        out = _chunked(df, keys, order, rolling, running, bucket, chunk_rows)
+        cold = _windows(df.join(hot, keys, "left_anti").select(*df.columns), plain, rolling, running)
+        hot_rows = cut_lineage(df.join(hot, keys, "left_semi").select(*df.columns))
+        bucket = default_bucket(df, order[0]) if bucket is None else bucket
+        out = cold.unionByName(_chunked(hot_rows, keys, order, rolling, running, bucket, chunk_rows))
     out = out.withColumns(finish) if finish else out
     return out.drop(*temp)
 
 
+def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, or None. Broadcast only when their counted number is small."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys)
+    if counts.isEmpty():
+        return None
+    hot = cut_lineage(counts)
+    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+
+
 def _windows(df, spec, rolling, running):
     cols = {}
     for name, r in rolling.items():
@@ -116,26 +133,21 @@ def _windows(df, spec, rolling, running):
 
 
 def with_chunks(df: DataFrame, keys: list[str], bucket: Column, chunk_rows: int) -> DataFrame:
-    """Add ``_chunk``: null for keys of at most ``chunk_rows`` rows, else the piece of the key's order."""
+    """Add ``_chunk``, the piece of the key's order a row falls in."""
     df = df.withColumn("_bucket", bucket)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).select(*keys)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bounds = (
-        df.select(*keys, "_bucket")
-        .join(hot, keys, "left_semi")
-        .groupBy(*keys, "_bucket")
+        df.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_chunk", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows))
         .drop("_n")
     )
-    return df.join(bounds, [*keys, "_bucket"], "left").drop("_bucket")
+    return df.join(bounds, [*keys, "_bucket"]).drop("_bucket")
 
 
 def _chunked(df, keys, order, rolling, running, bucket, chunk_rows):
     columns = df.columns
-    bucket = default_bucket(df, order[0]) if bucket is None else bucket
     rows = with_chunks(df, keys, bucket, chunk_rows)
-    hot_rows = rows.filter(F.col("_chunk").isNotNull())
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
 
     parts = rows.withColumn("_halo", F.lit(False))
@@ -144,7 +156,7 @@ def _chunked(df, keys, order, rolling, running, bucket, chunk_rows):
         backwards = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
         rest = [c for c in columns if c not in keys and c not in order]
         tails = (
-            hot_rows.withColumn("_r", F.row_number().over(backwards))
+            rows.withColumn("_r", F.row_number().over(backwards))
             .filter(F.col("_r") <= widest)
             .groupBy(*keys, "_chunk")
             .agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_tail"))
@@ -158,13 +170,12 @@ def _chunked(df, keys, order, rolling, running, bucket, chunk_rows):
         )
         parts = parts.unionByName(halo)
 
-    # null groups with null in a window partition, so cold keys form one chunk
     spec = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     own = {n: Running(r.how, F.when(~F.col("_halo"), r.value), r.include_current) for n, r in running.items()}
     out = _windows(parts, spec, rolling, own).filter(~F.col("_halo")).drop("_halo")
 
     if running:
-        totals = hot_rows.groupBy(*keys, "_chunk").agg(*[_AGG[r.how](r.value).alias(n) for n, r in running.items()])
+        totals = rows.groupBy(*keys, "_chunk").agg(*[_AGG[r.how](r.value).alias(n) for n, r in running.items()])
         earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
         prefix = totals.select(
             *keys,

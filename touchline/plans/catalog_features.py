@@ -70,12 +70,10 @@ def _(t):
 
 @query(
     "w05_form",
-    """WITH RECURSIVE_FREE AS (SELECT 1), q AS (SELECT match_id, is_home, list(points) OVER (PARTITION BY team ORDER BY match_date, match_id
+    """WITH q AS (SELECT match_id, is_home, list(CAST(points AS DOUBLE)) OVER (PARTITION BY team ORDER BY match_date, match_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM team)
 SELECT match_id, is_home, round(CASE WHEN l IS NULL OR len(l) = 0 THEN 1.5 ELSE
- list_reduce(list_transform(l, x -> CAST(x AS DOUBLE)), (a, x) -> a * 0.9 + x * 0.1) END, 6) AS form FROM q""".replace(
-        "RECURSIVE_FREE AS (SELECT 1), ", ""
-    ),
+ list_reduce(l, lambda a, x: a * 0.9 + x * 0.1) END, 6) AS form FROM q""",
 )
 def _(t):
     return rounded(ft.form(t.team).select(*SIDE, "form"), "form")
