@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clamp
+from ..session import cut_lineage
 from .ordered import Feature, Running, first_per_key, point_in_time, sequence, top_per_key
 from .pricing import soft_cap
 
@@ -399,7 +400,7 @@ def best_slip(cands: DataFrame, slate: list[str], leg: str = "leg_id") -> DataFr
     bounds = low.join(top, slate).withColumn("_low", F.greatest(F.col("_low"), F.lit(SLIP_MIN_SCORE)) * (1 - 1e-9))
     # a further leg multiplies a score by at most max(1, best leg); two legs at least are needed
     up = F.col("_up")
-    legs = legs.join(bounds, slate).filter(F.col("a") * F.col("_best") * up * up >= F.col("_low"))
+    legs = cut_lineage(legs.join(bounds, slate).filter(F.col("a") * F.col("_best") * up * up >= F.col("_low")))
 
     flat = lambda n: legs.select(
         *slate, F.struct(F.col(leg).alias("id"), "match_id", "league", "match_date").alias(f"l{n}"), F.col("a").alias(f"a{n}"), F.col("p").alias(f"p{n}")
@@ -438,6 +439,7 @@ def best_slip(cands: DataFrame, slate: list[str], leg: str = "leg_id") -> DataFr
                 "_up",
             )
         )
+        grown = cut_lineage(grown) if n < 4 else grown
         score = F.col("prod") * F.exp(-CORRELATION_COST * F.col("corr")) * (1 - F.col("fail"))
         levels.append(grown.select(*slate, F.transform("legs", lambda x: x["id"]).alias("ids"), "corr", score.alias("score")))
     every = reduce(lambda a, b: a.unionByName(b), levels).filter(F.col("score") >= SLIP_MIN_SCORE)
