@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,27 +82,31 @@ def market_drift(bets: DataFrame, order: list[Column], spread: Column, key: str
 def feature_drift(df: DataFrame, baselines: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """Per row: features beyond three standard deviations, their share, and OK / WARNING / CRITICAL (D3).
 
-    The baselines, one entry per feature, become one scalar map, so the rows are neither unpivoted nor shuffled.
+    The baselines, one entry per feature, become one scalar struct, so the rows are neither unpivoted nor shuffled.
     """
-    entry = F.struct("feature", F.struct("mean", "std").alias("stat"))
-    table = baselines.filter(F.col("feature").isin(*features)).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    df = df.withColumn("_base", table)
-
-    def verdict(name: str) -> Column:
-        stat = F.try_element_at("_base", F.lit(name))
-        x = F.col(name).cast("double")
-        constant = stat["std"] == 0
-        off = F.when(constant, F.abs(x - stat["mean"]) > 1e-5).otherwise(F.abs(x - stat["mean"]) / F.nullif(stat["std"], F.lit(0.0)) > Z_LIMIT)
-        usable = stat.isNotNull() & x.isNotNull()
-        return F.when(usable, F.struct(F.lit(name).alias("name"), F.coalesce(off, F.lit(False)).alias("off")))
-
-    out = df.withColumn("_v", F.array_compact(F.array(*[verdict(f) for f in features])))
-    out = out.withColumn("flagged", F.transform(F.filter("_v", lambda s: s["off"]), lambda s: s["name"]))
-    share = F.try_divide(F.size("flagged"), F.size("_v"))
+    stat = F.struct("mean", "std")
+    one = baselines.agg(F.struct(*[F.max(F.when(F.col("feature") == f, stat)).alias(f) for f in features]).alias("b")).scalar()
+    df = df.withColumn("_base", one)
+    marks = {}
+    for f in features:
+        mean, std, x = F.col(f"_base.{f}.mean"), F.col(f"_base.{f}.std"), F.col(f).cast("double")
+        far = F.when(std == 0, F.abs(x - mean) > 1e-5).otherwise(F.abs(x - mean) > Z_LIMIT * std)
+        # null: no baseline or no value, so the feature is not checked
+        marks[f"_off_{f}"] = F.when(mean.isNotNull() & x.isNotNull(), F.coalesce(far, F.lit(False)))
+    out = df.withColumns(marks)
+    total = lambda cond: reduce(lambda a, b: a + b, [cond(F.col(m)).cast("int") for m in marks])
+    out = out.withColumns({"_n": total(lambda m: m.isNotNull()), "flagged_count": total(lambda m: F.coalesce(m, F.lit(False)))})
+    names = F.array_compact(F.array(*[F.when(F.col(f"_off_{f}"), f) for f in features]))
+    flagged = F.when(F.col("flagged_count") > 0, names).otherwise(F.array().cast("array<string>"))
+    share = F.col("flagged_count") / F.nullif(F.col("_n"), F.lit(0))
+    out = out.withColumns({"flagged": flagged, "flagged_share": share})
     status = (
-        F.when(F.size("_v") == 0, "NO_FEATURES").when(F.col("flagged_share") > FLAGGED_SHARE, "CRITICAL").when(F.size("flagged") > 0, "WARNING").otherwise("OK")
+        F.when(F.col("_n") == 0, "NO_FEATURES")
+        .when(F.col("flagged_share") > FLAGGED_SHARE, "CRITICAL")
+        .when(F.col("flagged_count") > 0, "WARNING")
+        .otherwise("OK")
     )
-    return out.withColumn("flagged_share", share).withColumn("status", status).select(*keep, "flagged", "flagged_share", "status")
+    return out.withColumn("status", status).select(*keep, "flagged", "flagged_share", "status")
 
 
 def shadow_compare(live: DataFrame, shadow: DataFrame) -> DataFrame:

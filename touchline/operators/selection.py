@@ -283,7 +283,8 @@ def candidates(df: DataFrame) -> DataFrame:
     rows = (
         df.withColumns({"tempo_status": tempo, "dissonance": both & (corner_side != c("_fav"))})
         .filter(~suppressed)
-        .select(*keep, "tempo_status", "dissonance", "_relief", F.inline(F.array_compact(F.array(*entries))))
+        .select(*keep, "tempo_status", "dissonance", "_relief", F.inline(F.array(*entries)))
+        .filter(c("type").isNotNull())
     )
     gate = _lookup(HARD_GATES, c("type"), 1.0)
     relieved = F.greatest(gate - MOMENTUM_RELIEF, F.lit(GATE_MINIMUM))
@@ -456,10 +457,9 @@ def refresh_weights(accuracy: DataFrame, min_n: int = 200) -> DataFrame:
     ``accuracy``: market, n, accuracy. There are as many keys as weights, so the ranking is over a handful of rows.
     """
     label = F.upper(F.regexp_replace("market", "[^A-Za-z0-9]", ""))
-    key = F.try_element_at(F.create_map(*[F.lit(v) for kv in WEIGHT_KEYS.items() for v in kv]), label)
-    for name in STABILITY_WEIGHTS:
-        plain = "".join(ch for ch in name if ch.isalnum())
-        key = F.when(key.isNull() & label.contains(plain), name).otherwise(key)
+    exact = F.try_element_at(F.create_map(*[F.lit(v) for kv in WEIGHT_KEYS.items() for v in kv]), label)
+    plain = {name: "".join(ch for ch in name if ch.isalnum()) for name in STABILITY_WEIGHTS}
+    key = F.coalesce(exact, *[F.when(label.contains(part), name) for name, part in plain.items()])
     pooled = (
         accuracy.filter((F.col("n") >= min_n) & F.col("accuracy").isNotNull())
         .withColumn("weight_key", key)
@@ -522,18 +522,18 @@ def summary(df: DataFrame) -> DataFrame:
 
 def largest_remainder(df: DataFrame, shares: list[str], total: str, names: list[str]) -> DataFrame:
     """Split a whole number by shares: floors, then one each to the largest remainders, earlier columns first."""
-    raw = F.array(*[F.col(s) * F.col(total) for s in shares])
-    df = df.withColumn("_raw", raw)
-    floors = F.aggregate("_raw", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x))
-    ranked = F.array_sort(
-        F.transform("_raw", lambda x, i: F.struct((F.floor(x) - x).alias("o"), i.alias("i")))
-    )
-    df = df.withColumns({"_left": F.greatest(F.col(total) - floors, F.lit(0)), "_order": F.transform(ranked, lambda s: s["i"])})
+    whole = {i: F.floor(F.col(s) * F.col(total)) for i, s in enumerate(shares)}
+    df = df.withColumns({f"_f{i}": w for i, w in whole.items()})
+    df = df.withColumns({f"_r{i}": F.col(s) * F.col(total) - F.col(f"_f{i}") for i, s in enumerate(shares)})
+    rest = F.col(total) - reduce(lambda a, b: a + b, [F.col(f"_f{i}") for i in whole])
     out = {}
     for i, name in enumerate(names):
-        place = F.array_position("_order", F.lit(i)) - 1
-        out[name] = F.floor(F.get("_raw", F.lit(i))) + F.when((F.col(total) > 0) & (place < F.col("_left")), 1).otherwise(0)
-    return df.withColumns(out).drop("_raw", "_left", "_order")
+        mine = F.col(f"_r{i}")
+        ahead = [(F.col(f"_r{k}") >= mine if k < i else F.col(f"_r{k}") > mine).cast("int") for k in whole if k != i]
+        extra = (F.col(total) > 0) & (reduce(lambda a, b: a + b, ahead) < F.col("_rest"))
+        out[name] = F.col(f"_f{i}") + extra.cast("int")
+    df = df.withColumn("_rest", rest).withColumns(out)
+    return df.drop("_rest", *[f"_{x}{i}" for x in "fr" for i in whole])
 
 
 def value_opportunities(preds: DataFrame, slate: list[str], tie: str, **kw) -> tuple[DataFrame, DataFrame]:
