@@ -156,7 +156,6 @@ def season_blend(df: DataFrame, columns: list[str], k: int = 5, **kw) -> DataFra
     feature = Feature(running=running, finish=keep)
     out = add_features(df, [feature], keys=["team", "season"], **kw)
     means = df.groupBy("team", "season").agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
-    seasons = df.select("team", "season").distinct()
     by_team = Window.partitionBy("team").orderBy("season")
     previous = means.select(
         "team", "season", *[F.lag(f"{c}_mean").over(by_team).alias(f"{c}_prev") for c in columns]

@@ -373,7 +373,27 @@ def _(t):
     return rounded(out, "base_rate", "model", "gap")
 
 
-@query("g03_base_rate_audit_counts")
+COUNT_AUDIT = {
+    "corners_home_win": ("corners_home_win", "base_chw"),
+    "corners_under_11_5": ("corners_under_11_5", "base_cu"),
+    "cards_over_2_5": ("cards_over_2_5", "base_o2"),
+    "cards_under_4_5": ("cards_under_4_5", "base_u4"),
+    "cards_under_5_5": ("cards_under_5_5", "base_u5"),
+}
+
+
+@query(
+    "g03_base_rate_audit_counts",
+    f"""WITH rates0 AS (SELECT league AS match_id, avg(home_corners) AS mh, avg(away_corners) AS ma, var_samp(home_corners) * (1 + 0.5 / (1 + exp(1.5 * (avg(home_corners) + avg(away_corners) - 8.5)))) AS vh,
+  var_samp(away_corners) * (1 + 0.5 / (1 + exp(1.5 * (avg(home_corners) + avg(away_corners) - 8.5)))) AS va, avg(CAST(home_corners > away_corners AS INT)) AS base_chw, avg(CAST(home_corners + away_corners < 11.5 AS INT)) AS base_cu,
+  avg(home_cards + away_cards) AS mu_cards, avg(CAST(home_cards + away_cards > 2.5 AS INT)) AS base_o2, avg(CAST(home_cards + away_cards < 4.5 AS INT)) AS base_u4, avg(CAST(home_cards + away_cards < 5.5 AS INT)) AS base_u5 FROM contests GROUP BY 1),
+{nb_sql('rates0', 25, 'c')}, ca AS (SELECT match_id, sum(p) AS z, sum(CASE WHEN h > a THEN p ELSE 0 END) AS hw, sum(CASE WHEN h = a THEN p ELSE 0 END) AS d, sum(CASE WHEN h < a THEN p ELSE 0 END) AS aw, sum(CASE WHEN h + a < 11.5 THEN p ELSE 0 END) AS u11 FROM cc GROUP BY 1),
+cb AS (SELECT match_id, {bound(damp('hw / z', 0.8, THIRD))} AS x, {bound(damp('d / z', 0.8, THIRD))} AS y, {bound(damp('aw / z', 0.8, THIRD))} AS w, {bound(damp('u11 / z', 0.9))} AS corners_under_11_5 FROM ca), {ZIP_VIEW.replace('FROM rates,', 'FROM rates0,')},
+m AS (SELECT r.*, x / (x + y + w) AS corners_home_win, corners_under_11_5, cards_over_2_5, cards_under_4_5, cards_under_5_5 FROM rates0 r JOIN cb ON r.match_id = cb.match_id JOIN z ON r.match_id = z.match_id),
+u AS ("""
+    + " UNION ALL ".join(f"SELECT match_id AS league, '{n}' AS market, {b} AS base_rate, {m} AS model FROM m" for n, (m, b) in COUNT_AUDIT.items())
+    + """) SELECT league, market, round(base_rate, 6) AS base_rate, round(model, 6) AS model, round(model - base_rate, 6) AS gap, CASE WHEN abs(model - base_rate) > 0.1 THEN 'ALERT' WHEN abs(model - base_rate) > 0.05 THEN 'WARN' ELSE 'OK' END AS status FROM u""",
+)
 def _(t):
     out = base_rate_audit(t.contests).filter(~F.col("market").isin(*AUDIT))
     return rounded(out, "base_rate", "model", "gap")

@@ -468,7 +468,10 @@ def _(t):
     return rows.select("bet_id", F.round(x.multiclass_brier("h", "d", "a", "actual"), 9).alias("brier"), x.outcome_of("h", "d", "a").alias("pick"))
 
 
-@query("x14_row_hash")
+@query(
+    "x14_row_hash",
+    """SELECT match_id, md5('{"home_corners":' || coalesce(CAST(home_corners AS VARCHAR), 'null') || ',"league":"' || league || '","match_id":' || match_id || ',"referee":' || coalesce('"' || referee || '"', 'null') || '}') AS snapshot FROM contests""",
+)
 def _(t):
     return t.contests.select("match_id", x.row_hash("match_id", "league", "home_corners", "referee").alias("snapshot"))
 

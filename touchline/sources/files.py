@@ -45,7 +45,7 @@ SHADOW_FIELDS = {"home": "home_win", "draw": "draw", "away": "away_win", "over_2
 def _names(header: str) -> list[str]:
     """Trimmed, unique column names of a header line."""
     out: list[str] = []
-    for i, raw in enumerate(header.replace("﻿", "").rstrip("\r").split(",")):
+    for i, raw in enumerate(header.replace("\ufeff", "").rstrip("\r").split(",")):
         name = raw.strip().strip('"').strip() or f"blank_{i}"
         out.append(name if name.lower() not in {o.lower() for o in out} else f"{name}_{i}")
     return out
@@ -57,7 +57,7 @@ def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = lines.withColumn("row", F.monotonically_increasing_id())
     return lines.groupBy("path").agg(
         F.min_by("value", F.struct("start", "row")).alias("header"),
-        (~F.some(F.col("value").contains("�"))).alias("utf8"),
+        (~F.some(F.col("value").contains("\ufffd"))).alias("utf8"),
     )
 
 
