@@ -52,12 +52,12 @@ def _names(header: str) -> list[str]:
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per file: its header line and whether its bytes are UTF-8 (a bad byte reads as U+FFFD)."""
+    """One row per file: its header line and whether all its bytes are UTF-8."""
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
     lines = lines.withColumn("row", F.monotonically_increasing_id())
     return lines.groupBy("path").agg(
         F.min_by("value", F.struct("start", "row")).alias("header"),
-        (~F.some(F.col("value").contains("\ufffd"))).alias("utf8"),
+        F.every(F.is_valid_utf8("value")).alias("utf8"),
     )
 
 
