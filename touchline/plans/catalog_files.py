@@ -137,9 +137,8 @@ def _(t):
         F.lower("league"),
         h,
     )
-    # one file, so that line order is bet order
-    lines = t.ledger.orderBy("bet_id").select(line.alias("value"))
-    lines.coalesce(1).write.text(path)
+    # range-sorted files, so that file and line order is bet order
+    t.ledger.orderBy("bet_id").select(line.alias("value")).write.text(path)
     out = io.read_shadow_log(t.spark, path)
     return rounded(out.select("match_id", "league", "market", "probability"), "probability")
 

@@ -396,7 +396,7 @@ def _(t):
     "l04_training_targets",
     """SELECT match_id, least(home_shots % 9, 6) AS home_goals_capped, least(away_goals, 6) AS away_goals_capped,
  CAST(home_shots % 9 > 6 AS INT) + CAST(away_goals > 6 AS INT) AS capped,
- CASE WHEN home_shots % 9 < away_goals THEN 0 WHEN home_shots % 9 = away_goals THEN 1 ELSE 2 END AS outcome_code, year(match_date) AS season_year FROM contests""",
+ CASE WHEN home_shots % 9 < away_goals THEN 0 WHEN home_shots % 9 = away_goals THEN 1 ELSE 2 END AS outcome_code, CAST(year(match_date) AS INT) AS season_year FROM contests""",
 )
 def _(t):
     rows = t.contests.withColumns({"home_goals": F.col("home_shots") % 9, "season": F.concat(F.year("match_date").cast("string"), F.lit("-25"))})

@@ -243,7 +243,7 @@ def confidence_rows(t):
 
 @query(
     "m11_confidence",
-    f"""WITH {CONF} SELECT match_id, round(drs, 6) AS drs, round(mss, 6) AS mss, round(mas, 6) AS mas, round(hce, 6) AS hce, round(u, 6) AS uncertainty, round(confidence, 6) AS confidence,
+    f"""WITH {CONF} SELECT match_id, round(drs, 6) AS drs, round(CAST(mss AS DOUBLE), 6) AS mss, round(mas, 6) AS mas, round(hce, 6) AS hce, round(u, 6) AS uncertainty, round(confidence, 6) AS confidence,
  CASE WHEN confidence >= 0.8 THEN 'AUTO_BET' WHEN confidence >= 0.7 THEN 'REDUCED_STAKE' WHEN confidence >= 0.6 THEN 'MANUAL_REVIEW' ELSE 'NO_BET' END AS action_tier FROM conf""",
 )
 def _(t):
@@ -268,7 +268,7 @@ a AS (SELECT match_id, avg(away_goals) OVER w AS m, count(*) OVER w AS n FROM co
 x AS (SELECT h.match_id, (CASE WHEN h.n >= 3 THEN h.m ELSE 1.3 END + CASE WHEN a.n >= 3 THEN a.m ELSE 1.2 END) / 2 AS r FROM h JOIN a ON h.match_id = a.match_id),
 tc AS (SELECT match_id, is_home, avg(corners_for + corners_against) OVER w AS c, count(*) OVER w AS n FROM team WINDOW w AS (PARTITION BY team ORDER BY match_date, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 e AS (SELECT p.match_id, CASE WHEN p.n >= 3 AND q.n >= 3 THEN (p.c + q.c) / 2 ELSE 10.5 END AS e FROM tc p JOIN tc q ON p.match_id = q.match_id WHERE p.is_home = 1 AND q.is_home = 0)
-SELECT x.match_id, round(least(exp(-r) + r * exp(-r), 0.99), 6) AS home_u15, round(CASE WHEN e < 9 THEN 0.8 WHEN e < 10 THEN 0.7 WHEN e < 11 THEN 0.6 WHEN e < 12 THEN 0.5 ELSE 0.35 END, 6) AS corners_u115 FROM x JOIN e ON x.match_id = e.match_id""",
+SELECT x.match_id, round(least(exp(-r) + r * exp(-r), 0.99), 6) AS home_u15, round(CAST(CASE WHEN e < 9 THEN 0.8 WHEN e < 10 THEN 0.7 WHEN e < 11 THEN 0.6 WHEN e < 12 THEN 0.5 ELSE 0.35 END AS DOUBLE), 6) AS corners_u115 FROM x JOIN e ON x.match_id = e.match_id""",
 )
 def _(t):
     from ..operators.ordered import Feature, Rolling

@@ -314,7 +314,7 @@ SELECT o_orderkey, CASE o_orderkey % 3
      ELSE CAST(y - CASE WHEN m >= 7 THEN 0 ELSE 1 END AS VARCHAR) || '-' || lpad(CAST((y - CASE WHEN m >= 7 THEN 0 ELSE 1 END + 1) % 100 AS VARCHAR), 2, '0') END
   WHEN 1 THEN CAST(y AS VARCHAR) || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')
   ELSE CAST(y - CASE WHEN m >= 7 THEN 0 ELSE 1 END AS VARCHAR) || '-' || lpad(CAST((y - CASE WHEN m >= 7 THEN 0 ELSE 1 END + 1) % 100 AS VARCHAR), 2, '0') END AS season,
- y - CASE WHEN m >= 6 THEN 0 ELSE 1 END AS start6, y - CASE WHEN m >= 8 THEN 0 ELSE 1 END AS start8 FROM q""",
+ CAST(y - CASE WHEN m >= 6 THEN 0 ELSE 1 END AS INT) AS start6, CAST(y - CASE WHEN m >= 8 THEN 0 ELSE 1 END AS INT) AS start8 FROM q""",
 )
 def _(t):
     y = F.year("o_orderdate")
@@ -431,7 +431,7 @@ def _(t):
 
 @query(
     "x10_season_year",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE year(o_orderdate) END AS season_year FROM orders",
+    "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE year(o_orderdate) END AS INT) AS season_year FROM orders",
 )
 def _(t):
     y = F.year("o_orderdate").cast("string")
