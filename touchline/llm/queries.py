@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, mixing, token_counts, url_filter
+from . import bpe_trie, mixing, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_disclosure_pii": pii.op1_disclosure_pii,
+        "op3_weak_supervision": quality.op3_weak_supervision,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_curriculum_mix": mixing.op5_curriculum_mix,
