@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, minhash_forest, mixing, pii, quality, token_counts, url_filter
+from . import bpe_trie, minhash_forest, mixing, pii, quality, token_counts, url_filter, vector_forest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_curriculum_mix": mixing.op5_curriculum_mix,
         "op7_bpe_round_trip": bpe_trie.op7_bpe_round_trip,
+        "op8_projection_forest": vector_forest.op8_projection_forest,
         "op10_minhash_forest": minhash_forest.op10_minhash_forest,
     }
 
