@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, minhash_forest, mixing, pii, quality, token_counts, url_filter, vector_forest
+from . import bpe_trie, minhash_forest, mixing, pii, quality, secrets, token_counts, toxicity, url_filter, vector_forest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_curriculum_mix": mixing.op5_curriculum_mix,
+        "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
         "op7_bpe_round_trip": bpe_trie.op7_bpe_round_trip,
         "op8_projection_forest": vector_forest.op8_projection_forest,
+        "op9_secret_scan": secrets.op9_secret_scan,
         "op10_minhash_forest": minhash_forest.op10_minhash_forest,
     }
 
