@@ -11,6 +11,7 @@ at most 3^rules vote patterns, whatever the number of documents; only their coun
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,28 +30,28 @@ PRECISE = ("repeats", "symbols", "shouting", "capitals", "twin_lines")
 MOST_FALSE_ALARMS = 0.002
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+Row = Callable[[str], Column]
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
     return F.when(value.isNull(), None).when(bad, 0).when(good, 1).cast("int")
 
 
-def rules() -> dict[str, Column]:
-    """Votes over the columns of ``counts``: 1 good, 0 bad, null no opinion."""
-    repeated, symbols = _share("n_repeat_words", "n_words"), _share("n_symbols", "n_words")
-    shouts, capitals = _share("n_shouts", "n_words"), _share("n_capitals", "word_chars")
-    size, twice, ends = _share("word_chars", "n_words"), _share("n_dup_lines", "n_lines"), _share("n_ends", "n_words")
+def rules(n: Row = F.col) -> dict[str, Column]:
+    """Votes on the fields of ``counted``: 1 good, 0 bad, null no opinion."""
+    share = lambda part, whole: F.when(n(whole) > 0, n(part) / n(whole))
+    repeated, symbols = share("n_repeat_words", "n_words"), share("n_symbols", "n_words")
+    shouts, capitals = share("n_shouts", "n_words"), share("n_capitals", "word_chars")
+    size, twice, ends = share("word_chars", "n_words"), share("n_dup_lines", "n_lines"), share("n_ends", "n_words")
     return {
         "repeats": _vote(repeated, repeated < 0.05, repeated > 0.4),
         "symbols": _vote(symbols, symbols < 0.01, symbols > 0.1),
         "shouting": _vote(shouts, shouts < 0.02, shouts > 0.2),
         "capitals": _vote(capitals, capitals < 0.1, capitals > 0.3),
         "word_size": _vote(size, size.between(3, 10), ~size.between(2, 14)),
-        "twin_lines": _vote(twice, twice < 0.05, (twice > 0.3) & (F.col("n_dup_lines") >= 3)),
+        "twin_lines": _vote(twice, twice < 0.05, (twice > 0.3) & (n("n_dup_lines") >= 3)),
         "sentences": _vote(ends, ends.between(0.02, 0.4), ends < 0.004),
-        "length": _vote(F.col("n_words"), F.col("n_words") >= 100, F.col("n_words") < FEWEST_WORDS),
+        "length": _vote(n("n_words"), n("n_words") >= 100, n("n_words") < FEWEST_WORDS),
     }
 
 
@@ -70,31 +71,37 @@ def _repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(let(order, positions), covered)).otherwise(F.lit(0))
 
 
+def counted(text: Column) -> Column:
+    """Struct of counts over the whole text; a null text has no words. Parts are bound, so each is worked out once."""
+
+    def of(t: Column, w: Column, lines: Column) -> Column:
+        # The last two words begin no window.
+        windows = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.lit(0), F.size(w) - 2))
+        without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
+        n = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": without(r"[#*$%&|<>]+"),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": let(windows, _repeated_words),
+            "n_lines": F.size(lines),
+            "n_shouts": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+            "n_capitals": without(r"[A-Z]+"),
+            "n_ends": without(r"[.!?]+"),
+        }
+        return F.struct(*[c.cast("long").alias(k) for k, c in n.items()])
+
+    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD_JAVA))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: let(lines(t), lambda s: of(t, w, s))))
+
+
 def counts(docs: DataFrame, *, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and counts over the whole text. A null text has no words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    picked = docs.select(*keep, t.alias("_t"), words(t).alias("_w"))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD_JAVA))
-    # The last two have no third word.
-    windows = F.slice(F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))), 1, F.greatest(F.lit(0), F.size("_w") - 2))
-    without = lambda pattern: F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))
-    picked = picked.withColumns({"_lines": lines, "_windows": windows})
-    n = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
-        "n_symbols": without(r"[#*$%&|<>]+"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeated_words(F.col("_windows")),
-        "n_lines": F.size("_lines"),
-        "n_shouts": F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit(""))),
-        "n_capitals": without(r"[A-Z]+"),
-        "n_ends": without(r"[.!?]+"),
-    }
-    return picked.select(*keep, *[c.cast("long").alias(k) for k, c in n.items()])
+    """``keep`` columns and the fields of ``counted``."""
+    return docs.select(*keep, counted(F.col(text)).alias("_n")).select(*keep, "_n.*")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+def base_failed(n: Row = F.col) -> Column:
+    return (n("n_words") < FEWEST_WORDS) | (100 * n("n_repeat_words") > MOST_REPEATED_PERCENT * n("n_words"))
 
 
 class Model:
@@ -154,31 +161,28 @@ def fit(patterns: list[tuple[tuple, int]], names: list[str], rounds: int = ROUND
     return model
 
 
-def learn(counted: DataFrame) -> Model:
+def learn(rows: DataFrame) -> Model:
     """Model for a table with the columns of ``counts``; an empty table gives the priors."""
     votes = rules()
     names = list(votes)
-    patterns = counted.groupBy(*[v.alias(n) for n, v in votes.items()]).count().collect()  # at most 3^rules rows
+    patterns = rows.groupBy(*[v.alias(n) for n, v in votes.items()]).count().collect()  # at most 3^rules rows
     return fit([(tuple(r[:-1]), r[-1]) for r in sorted(patterns, key=str)], names)
 
 
-def judge(counted: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
-    """Adds ``base_failed``, ``p_good`` and ``kept``."""
-    p = model.posterior(rules())
-    return counted.withColumns({"base_failed": base_failed(), "p_good": p}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from))
+def kept(model: Model, n: Row = F.col, keep_from: float = KEEP_FROM) -> Column:
+    return ~base_failed(n) & (model.posterior(rules(n)) >= keep_from)
 
 
 def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents kept, with their columns. Texts are read twice, to learn and to judge; nothing is shuffled."""
     model = learn(counts(docs, keep=[], text=text))
-    names = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)])
-    judged = judge(counts(renamed, keep=renamed.columns, text=f"_in{names.index(text)}"), model)
-    return judged.filter("kept").select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(names)])
+    return docs.filter(let(counted(F.col(text)), lambda n: kept(model, lambda field: n[field])))
 
 
 def op3_weak_supervision(spark, sf_dir: str) -> DataFrame:
-    counted = cut_lineage(counts(table(spark, sf_dir, "documents"), keep=["doc_id"]))
-    out = judge(counted, learn(counted))
+    rows = cut_lineage(counts(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    model = learn(rows)
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", *shown, "base_failed", "kept", "p_good")
+    return rows.select(
+        "doc_id", *shown, base_failed().alias("base_failed"), kept(model).alias("kept"), model.posterior(rules()).alias("p_good")
+    )
