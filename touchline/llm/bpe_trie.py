@@ -158,17 +158,19 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens.
 
-        Below U+0250 letters have their normal form already and are lowered and split by rule; a dotted capital I, which
-        does not stay a letter, and all others go by the vocabulary's own normaliser and splitter.
+        Text that stays below U+0250 when lowered has its normal form already and is split by rule; for all other the
+        vocabulary's own normaliser and splitter decide.
         """
+        low = text.lower()
         if text.isascii():
-            return _ASCII.findall(text.lower())
-        if max(text) < "\u0250" and "İ" not in text:
-            return _LATIN.findall(text.lower())
+            return _ASCII.findall(low)
+        if max(low) < "\u0250":
+            return _LATIN.findall(low)
         out: list[str] = []
         for chunk in _CHUNKS.findall(text):
-            if max(chunk) < "\u0250" and "İ" not in chunk:
-                out += _LATIN.findall(chunk.lower())
+            low = chunk.lower()
+            if max(low) < "\u0250":
+                out += _LATIN.findall(low)
             else:
                 spelt = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
                 out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in spelt if w]
