@@ -12,8 +12,8 @@ Steps, all on narrow tables but the first and the confirmation:
 3. every class goes into each tree; a range shuffle by (tree, slice, id) gives the sorted orders. The id is part of the
    order, so a dense region is cut at partition borders like any other; the rows around each border are compared once
    more;
-4. each class's most alike candidate is confirmed first and components are formed; then all other candidates whose ends
-   are still apart. A link inside a component changes nothing, so nothing is lost that the forest has found;
+4. each class's most alike candidates are confirmed first and components are formed; then all other candidates whose
+   ends are still apart. A link inside a component changes nothing, so nothing is lost that the forest has found;
 5. components by alternating star contraction.
 
 A hub or a group of copies never meets in one task: joins have one row per key on one side, and sums are combined first.
@@ -26,19 +26,21 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import SEPARATORS, least_reachable, table
 
 #: The forest: trees, hashes in a tree's slice, hashes that neighbours must share, neighbours looked at on each side.
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 16, 8, 3, 16
+TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 20, 8, 3, 16
 #: Hashes of the slice that two neighbours must have in common, those of the prefix included.
 LEAST_COMMON = 4
-#: Candidates whose signatures agree less than this share of the threshold are not confirmed. With 128 hashes a pair at
-#: 0.85 falls below with a chance of about 1e-6.
-PLAUSIBLE = 0.8
+#: Neighbours that a class is paired with in each tree, and candidates of a class that are confirmed first.
+BEST, FIRST = 6, 4
+#: Candidates whose signatures agree less than this share of the threshold are not confirmed. With 160 hashes a pair at
+#: 0.85 falls below with a chance of about 1e-6, one at 0.8 of 4e-6.
+PLAUSIBLE = 0.84
 WORDS, PERCENT = 5, 80
 #: Ids that are broadcast at most; beyond that texts meet them in a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -174,62 +176,70 @@ def profiles(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 def _neighbours(batches):
     """Candidate pairs of sorted rows, and the rows near the partition's borders.
 
-    Rows: key (tree, slice) and id. Out: (pair, a, b), or (head or tail, partition, place, key, id).
+    Rows: key (tree, slice) and id. Out: (pair, a, b), or (head or tail, partition, key, id).
     """
     schema = pa.schema([("what", pa.string()), ("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.binary())])
     part = TaskContext.get().partitionId()
-    keys, ids = np.zeros((0, 1 + 2 * DEPTH), np.uint8), np.zeros(0, np.int64)
 
-    def border(what, k, i):
-        n = len(i)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([what] * n), pa.array([part] * n, pa.int32()), pa.array(i), pa.array([None] * n, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary())],
-            schema=schema,
-        )
+    def out(what, a, b=None, k=None):
+        n = len(a)
+        b = pa.nulls(n, pa.int64()) if b is None else pa.array(b)
+        k = pa.nulls(n, pa.binary()) if k is None else pa.array([x.tobytes() for x in k], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(a), b, k], schema=schema)
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    keys, ids = np.zeros((0, 1 + 2 * DEPTH), np.uint8), np.zeros(0, np.int64)
+    head, done = 0, 0  # rows of the border given out; rows at the front whose neighbours have been looked at
     for batch in batches:
         if not batch.num_rows:
             continue
         k = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         i = np.asarray(batch.column("id"))
-        if sum(len(x) for _, x in held) < NEIGHBOURS:
-            held.append((k[:NEIGHBOURS], i[:NEIGHBOURS]))
-        a, b = close(np.concatenate((keys, k)), np.concatenate((ids, i)), fresh=len(ids))
-        if len(a):
-            none = pa.nulls(len(a), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(a)), pa.array(np.full(len(a), part, np.int32)), pa.array(a), pa.array(b), none], schema=schema)
-        keys, ids = np.concatenate((keys, k))[-NEIGHBOURS:], np.concatenate((ids, i))[-NEIGHBOURS:]
-    if held:
-        yield border("head", *(np.concatenate(x)[:NEIGHBOURS] for x in zip(*held)))
-        yield border("tail", keys, ids)
-
-
-def close(keys: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted rows at most NEIGHBOURS apart that share the least prefix; the later one from ``fresh`` on."""
+        if head < NEIGHBOURS:
+            yield out("head", i[: NEIGHBOURS - head], k=k[: NEIGHBOURS - head])
+            head += min(len(i), NEIGHBOURS - head)
+        keys, ids = np.concatenate((keys, k)), np.concatenate((ids, i))
+        upto = max(done, len(ids) - NEIGHBOURS)
+        yield out("pair", *close(keys, ids, done, upto))
+        drop = max(0, upto - NEIGHBOURS)
+        keys, ids, done = keys[drop:], ids[drop:], upto - drop
+    yield out("pair", *close(keys, ids, done, len(ids)))
+    yield out("tail", ids[-NEIGHBOURS:], k=keys[-NEIGHBOURS:])
+
+
+def close(keys: np.ndarray, ids: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the sorted rows from ``first`` to ``last`` with their likest neighbours.
+
+    A row looks at NEIGHBOURS rows on each side, of which those count that share the least prefix. It is paired with the
+    BEST of them by the number of hashes their slices have in common. So a cluster of any size gives a few pairs per row.
+    """
     prefix = np.zeros((len(ids), 8), np.uint8)
     prefix[:, : 1 + 2 * LEAST_DEPTH] = keys[:, : 1 + 2 * LEAST_DEPTH]
     prefix = prefix.view(np.uint64)[:, 0]
     hashes = np.ascontiguousarray(keys[:, 1:]).view(np.uint16)
-    a, b = [], []
-    for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-        same = np.flatnonzero(prefix[:-step] == prefix[step:])
-        same = same[same + step >= fresh]
-        common = (hashes[same] == hashes[same + step]).sum(axis=1)
-        same = same[common >= LEAST_COMMON]
-        a.append(ids[same])
-        b.append(ids[same + step])
-    if not a:
+    same = prefix[1:] == prefix[:-1]
+    rows = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    rows = rows[(rows >= first) & (rows < last)]
+    if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
+    steps = np.array([s for k in range(1, NEIGHBOURS + 1) for s in (-k, k)])  # nearest first, as ties go to them
+    common = np.zeros((len(rows), len(steps)), np.int8)
+    for j, step in enumerate(steps):
+        other = rows + step
+        inside = np.flatnonzero((other >= 0) & (other < len(ids)))
+        inside = inside[prefix[rows[inside]] == prefix[other[inside]]]
+        common[inside, j] = (hashes[rows[inside]] == hashes[other[inside]]).sum(axis=1)
+    best = np.argsort(-common, axis=1, kind="stable")[:, :BEST]
+    held = np.take_along_axis(common, best, axis=1) >= LEAST_COMMON
+    a, b = ids[np.repeat(rows, held.sum(axis=1))], ids[(rows[:, None] + steps[best])[held]]
+    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+    return pairs[0], pairs[1]
 
 
 def _across(batch: pa.Table) -> pa.Table:
     """Pairs across one border: its rows are the last of one partition and the first of the next."""
     batch = batch.sort_by([("key", "ascending"), ("a", "ascending")])
     keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    a, b = close(keys, np.asarray(batch.column("a")), 0)
+    a, b = close(keys, np.asarray(batch.column("a")), 0, batch.num_rows)
     return pa.table({"a": a, "b": b})
 
 
@@ -290,14 +300,19 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Only texts of the pairs' documents are read on and shuffled."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def full_sets(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """``id, own``: the full set of each document in ``pairs``. Only their texts are read on and shuffled."""
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi")
-    # Rows with one id: any one of the longest, as the class was named by id alone.
-    sets = texts.mapInArrow(_sets(width), "id long, own binary").groupBy("id").agg(F.max(F.struct(F.length("own"), "own"))["own"].alias("own"))
+    sets = texts.mapInArrow(_sets(width), "id long, own binary")
+    # Of texts with one id the largest set, which is the one its class has been named by.
+    return cut_lineage(sets.groupBy("id").agg(F.max(F.struct(F.length("own"), "own"))["own"].alias("own")))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("s"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("t"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
@@ -323,17 +338,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     one_each = classes.groupBy("id").agg(F.max(F.struct("n", "signature")).alias("c")).select("id", "c.*")
     found = cut_lineage(plausible(candidates(one_each), one_each, percent))
-    ends = found.select("a", "b", "alike").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
-    best = ends.groupBy("a").agg(F.max(F.struct("alike", "b"))["b"].alias("b"))
+    sets = full_sets(found, docs, doc_id, text, words)
+    ends = found.union(found.select("b", "a", "alike"))
+    # A class has a bounded number of candidates: BEST in each tree, and those it is best for.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
+    best = ends.withColumn("rank", rank).filter(F.col("rank") <= FIRST)
     first = cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut_lineage(confirmed(first, docs, doc_id, text, words, percent).union(ties))
+    links = cut_lineage(confirmed(first, sets, percent).union(ties))
     parts = cut_lineage(least_reachable(links))
     named_a = parts.select(F.col("id").alias("a"), F.col("component").alias("p"))
     named_b = parts.select(F.col("id").alias("b"), F.col("component").alias("q"))
     rest = found.join(first, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
-    more = cut_lineage(confirmed(cut_lineage(rest), docs, doc_id, text, words, percent))
-    parts = least_reachable(links.union(more))
+    more = cut_lineage(confirmed(rest, sets, percent))
+    if not more.isEmpty():
+        parts = least_reachable(links.union(more))
 
     classes = classes.join(parts, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     linked = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "n", "component")
