@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -381,3 +382,35 @@ def test_market_state_cools_down(spark, tmp_path):
 def test_market_drift_needs_a_hundred_bets(spark):
     df = spark.createDataFrame([("m", i, 0.9, 0.0, "TIER_A") for i in range(99)], "market string, bet_id long, probability double, hit double, tier string")
     assert d.market_drift(df, [F.col("bet_id").desc()], F.col("bet_id")).first().status == "WATCH"
+
+
+def test_copies_of_results_settle_once(spark):
+    at = dt.datetime(2024, 5, 1)
+    facts = "home_goals int, away_goals int, home_corners int, away_corners int, home_cards int, away_cards int"
+    results = spark.createDataFrame([("a" * 16, at, "FT", 2, 0, 5, 5, 1, 1)] * 2, f"match_hash string, match_date timestamp, status string, {facts}")
+    preds = spark.createDataFrame([(1, "a" * 16, "home_win", 0.5, at), (2, "a" * 16, "draw", 0.5, at)], "id long, match_hash string, market string, probability double, kickoff timestamp")
+    markets = lab.default_markets()
+    assert sorted(r.state for r in lab.resolve(preds, results, markets, order=["id"]).collect()) == ["LOST", "WON"]
+    assert lab.evaluate(preds, results, markets, key="match_hash").count() == 2
+    void = preds.select("id", "match_hash", "market").withColumn("outcome", F.lit("VOID"))
+    assert sorted(r.outcome for r in lab.backfill_void(void, results, markets, key="match_hash").collect()) == ["LOST", "WON"]
+    slip = preds.select(F.lit(1).alias("slip_id"), "match_hash", F.lit("O2.5").alias("market")).limit(1)
+    # The pair met twice; the first match counts.
+    later = results.limit(1).withColumns({"match_date": F.lit(at + dt.timedelta(days=9)), "home_goals": F.lit(5)})
+    out = lab.settle_slips(slip, results.limit(1).union(later), ["match_hash"], first=["match_date"]).collect()
+    assert [(r.legs, r.legs_won, r.result) for r in out] == [(1, 0, "LOSS")]
+    ids = spark.createDataFrame([(1, "x", "y", 3), (1, "x", "y", 3)], "id int, home string, away string, goals int")
+    assert j.join_with_fallback(ids.limit(1).drop("goals"), ids, "id", ["home", "away"], ["goals"]).count() == 1
+
+
+@pytest.mark.parametrize("decay", [0.05, 0.5, 0.9, 0.99, 0.999])
+def test_form_follows_the_recurrence(spark, decay):
+    rng = random.Random(2)
+    points = [rng.choice([0, 1, 3]) for _ in range(900)]
+    rows = [("t", "L", "S", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, p) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "team string, league string, season string, match_date timestamp, match_id long, points int")
+    got = [r.form for r in ft.form(df, decay=decay).orderBy("match_id").collect()]
+    state = points[0]
+    for i in range(1, 900):
+        assert got[i] == pytest.approx(state, abs=1e-9)
+        state = decay * state + (1 - decay) * points[i]

@@ -81,6 +81,8 @@ def test_poisson_fit(spark):
 def test_scaling_anchor(spark):
     df = spark.range(1000).select("id", F.col("id").cast("double").alias("v"), (F.col("id") % 3).cast("double").alias("y"))
     means, stds = ml._scaling(df, ["v"], ["id"])
+    assert means[0] == pytest.approx(499.5)
+    means, stds = ml._scaling(df, ["v"], ["id"], anchor_rows=400)
     last = np.arange(600, 1000)
     assert means[0] == pytest.approx(last.mean()) and stds[0] == pytest.approx(last.std())
 

@@ -6,6 +6,8 @@ window pass, so the team key is shuffled once however many features are asked fo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,13 +173,17 @@ def season_blend(df: DataFrame, columns: list[str], k: int = 5, **kw) -> DataFra
     return out.withColumns(result).drop(*temp)
 
 
-def form(df: DataFrame, decay: float = 0.9, block: int = 256, **kw) -> DataFrame:
+def form(df: DataFrame, decay: float = 0.9, **kw) -> DataFrame:
     """Exponentially weighted points before the match, seeded with the first result.
 
-    The recurrence y = decay*y + (1-decay)*x is a weighted sum, so it is computed per block of ``block``
-    matches as a running sum with weights decay**-position, plus the state carried in from the three
-    blocks before. What is older weighs less than decay**(3*block), below one unit in the last place.
+    The recurrence y = decay*y + (1-decay)*x is a weighted sum, so it is computed per block of matches as a running
+    sum with weights decay**-position, plus the state carried in from the blocks before. Blocks are short enough for
+    decay**-position to stay below 1e12, and blocks are carried until what is older weighs less than 1e-18.
     """
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between 0 and 1")
+    block = max(1, min(256, int(math.log(1e-12) / math.log(decay))))
+    blocks = math.ceil(math.log(1e-18) / (block * math.log(decay)))
     gain = 1.0 - decay
     x = F.when(F.col("seq_") == 1, F.col("points")).otherwise(F.col("points") * gain)
     rows = sequence(df, TEAM_KEY, TEAM_ORDER, "seq_", **kw)
@@ -185,7 +191,7 @@ def form(df: DataFrame, decay: float = 0.9, block: int = 256, **kw) -> DataFrame
     rows = rows.withColumn("_x", x * F.pow(F.lit(decay), -F.col("_pos")))
 
     state = rows.groupBy("team", "_block").agg((F.sum("_x") * F.pow(F.lit(decay), F.lit(block - 1))).alias("_part"))
-    ahead = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(blocks)))
     carried = (
         state.select("team", "_part", "_block", ahead.alias("_d"))
         .groupBy("team", (F.col("_block") + F.col("_d")).alias("_block"))

@@ -79,9 +79,10 @@ def unseen(new: DataFrame, seen: DataFrame, key: str | list[str]) -> DataFrame:
 def join_with_fallback(preds: DataFrame, results: DataFrame, key: str, natural: list[str], values: list[str], global_fallback: bool = False) -> DataFrame:
     """By id, else by (day, home, away) lower-cased.
 
-    The fallback is taken row by row; ``global_fallback`` keeps the original rule: only if no id matches at all.
+    Of several results with one id, or one natural key, the smallest counts. The fallback is taken row by row; ``global_fallback`` keeps the original rule: only if no id matches at all.
     """
-    by_id = results.select(key, *[F.col(v).alias(f"_i_{v}") for v in values], F.lit(True).alias("_by_id"))
+    by_id = results.groupBy(key).agg(F.min(F.struct(*values)).alias("_i"))
+    by_id = by_id.select(key, *[F.col(f"_i.{v}").alias(f"_i_{v}") for v in values], F.lit(True).alias("_by_id"))
     fold = lambda df: df.withColumns({f"_n_{c}": F.lower(F.trim(F.col(c).cast("string"))) for c in natural})
     folded = [f"_n_{c}" for c in natural]
     one = fold(results).groupBy(*folded).agg(F.min(F.struct(key, *values)).alias("_n"))

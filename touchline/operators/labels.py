@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import all_of
+from ..functions.scalars import valid_key
+from .ordered import all_of, first_per_key
+from .validate import repair_key
 
 Market = tuple[Callable[[], Column], tuple[str, ...]]
 
@@ -169,6 +171,17 @@ def training_targets(df: DataFrame, cap: int = 6) -> DataFrame:
     )
 
 
+def _facts(results: DataFrame, key: str | list[str], first: list[str], columns: list[str]) -> DataFrame:
+    """One result row per key, the first by ``first`` and then by its facts: copies must not double what they settle."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in dict.fromkeys([*first, *columns]) if c not in keys]
+    return first_per_key(results.filter(all_of([F.col(k).isNotNull() for k in keys])).select(*keys, *rest), keys, [F.col(c) for c in rest])
+
+
+def _needs(registry: MarketRegistry) -> list[str]:
+    return sorted({c for _, cols in registry.markets.values() for c in cols})
+
+
 def resolve(
     preds: DataFrame,
     results: DataFrame,
@@ -181,39 +194,48 @@ def resolve(
     result_time: str = "match_date",
     market: str = "market",
     probability: str = "probability",
+    natural_date: str | None = None,
 ) -> DataFrame:
     """Every prediction with its state (L5): INVALID_PROBABILITY, INVALID_KEY, DUPLICATE, UNMATCHED,
     TIME_TRAVEL, WON, LOST or VOID, checked in this order.
 
-    A (key, market) counts once, the first in ``order``; the first is found by a combinable minimum, not by
-    gathering the copies. Labels are computed from the joined result row for the one market asked for.
+    With ``natural_date`` keys must be 16 hex digits; others are rebuilt from league, that date and both sides (P12) and
+    are invalid if a part is missing. Without it any key but null is valid. A (key, market) counts once, the first in
+    ``order``; the first is found by a combinable minimum, not by gathering the copies. Of several result rows of a key
+    the first in ``result_time`` settles. Invalid rows go around the joins, so null keys meet nowhere. The label is
+    computed once per row, for the one market asked for.
     """
     p = F.col(probability)
     ok_p = F.coalesce(p.between(0, 1) & ~F.isnan(p), F.lit(False))
     ok_key = F.col(key).isNotNull()
-    rows = preds.withColumns({"_bad_p": ~ok_p, "_bad_key": ~ok_key})
-    valid = rows.filter(~F.col("_bad_p") & ~F.col("_bad_key"))
+    rows = preds
+    if natural_date is not None:
+        rows = repair_key(preds, key, natural_date)
+        ok_key = valid_key(key)
+    nothing = F.lit(None).cast(results.schema[result_time].dataType)
+    invalid = rows.filter(~(ok_p & ok_key)).withColumns(
+        {"state": F.when(~ok_p, "INVALID_PROBABILITY").otherwise("INVALID_KEY"), "result_time": nothing}
+    )
+    valid = rows.filter(ok_p & ok_key).withColumn("_market", canonical_market(market))
     first = valid.groupBy(key, market).agg(F.min(F.struct(*order)).alias("_first"))
     if seen is not None:
         first = first.join(seen.select(key, market).distinct().withColumn("_seen", F.lit(True)), [key, market], "left")
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
-    needs = sorted({c for _, cols in registry.markets.values() for c in cols})
-    facts = results.select(key, F.col(result_time).alias("_result_time"), *needs, F.lit(True).alias("_found"))
-    out = rows.join(first, [key, market], "left").join(facts, key, "left")
-    label = registry.lookup(canonical_market(market))
+    facts = _facts(results, key, [result_time], _needs(registry)).withColumnsRenamed({result_time: "_result_time"})
+    out = valid.join(first, [key, market], "left").join(facts.withColumn("_found", F.lit(True)), key, "left")
+    out = out.withColumn("_label", registry.lookup(F.col("_market")))
     duplicate = F.coalesce(F.col("_seen"), F.lit(False)) | (F.struct(*order) != F.col("_first"))
     state = (
-        F.when(F.col("_bad_p"), "INVALID_PROBABILITY")
-        .when(F.col("_bad_key"), "INVALID_KEY")
-        .when(duplicate, "DUPLICATE")
+        F.when(duplicate, "DUPLICATE")
         .when(F.col("_found").isNull(), "UNMATCHED")
         .when(F.col("_result_time") < F.col(pred_time), "TIME_TRAVEL")
-        .when(label.isNull(), "VOID")
-        .when(label == 1.0, "WON")
+        .when(F.col("_label").isNull(), "VOID")
+        .when(F.col("_label") == 1.0, "WON")
         .otherwise("LOST")
     )
-    return out.withColumn("state", state).select(*preds.columns, "state", F.col("_result_time").alias("result_time"))
+    settled = out.select(*preds.columns, state.alias("state"), F.col("_result_time").alias("result_time"))
+    return settled.unionByName(invalid)
 
 
 def outcome_rows(resolved: DataFrame) -> DataFrame:
@@ -223,19 +245,15 @@ def outcome_rows(resolved: DataFrame) -> DataFrame:
 
 def backfill_void(outcomes: DataFrame, results: DataFrame, registry: MarketRegistry, key: str = "match_id", market: str = "market") -> DataFrame:
     """Resolve again only the VOID rows; the rest skips the join."""
-    void = outcomes.filter(F.col("outcome") == "VOID")
-    needs = sorted({c for _, cols in registry.markets.values() for c in cols})
-    label = registry.lookup(canonical_market(market))
-    redone = void.join(results.select(key, *needs), key, "left").withColumn(
-        "outcome", F.when(label.isNull(), "VOID").when(label == 1.0, "WON").otherwise("LOST")
-    )
+    void = outcomes.filter(F.col("outcome") == "VOID").withColumn("_market", canonical_market(market))
+    redone = void.join(_facts(results, key, [], _needs(registry)), key, "left").withColumn("_label", registry.lookup(F.col("_market")))
+    redone = redone.withColumn("outcome", F.when(F.col("_label").isNull(), "VOID").when(F.col("_label") == 1.0, "WON").otherwise("LOST"))
     return outcomes.filter(F.col("outcome") != "VOID").unionByName(redone.select(*outcomes.columns))
 
 
 def evaluate(preds: DataFrame, results: DataFrame, registry: MarketRegistry, key: str = "match_id", market: str = "market") -> DataFrame:
     """Signed and absolute error of predictions whose market is a label column."""
-    needs = sorted({c for _, cols in registry.markets.values() for c in cols})
-    joined = preds.filter(F.col(market).isin(*registry.markets)).join(results.select(key, *needs), key)
+    joined = preds.filter(F.col(market).isin(*registry.markets)).join(_facts(results, key, [], _needs(registry)), key)
     out = joined.withColumn("actual", registry.lookup(F.col(market))).filter(F.col("actual").isNotNull())
     out = out.withColumn("error", F.col("probability") - F.col("actual"))
     return out.withColumn("abs_error", F.abs("error")).select(*preds.columns, "actual", "error", "abs_error")
@@ -248,6 +266,7 @@ def leg_result(market: str = "market") -> Column:
     goals = zero("home_goals") + zero("away_goals")
     corners = zero("home_corners") + zero("away_corners")
     cards = zero("home_cards") + zero("away_cards")
+    # The slips' market names and lines.
     rules = [
         ("HOME_TG_U1.5", zero("home_goals") <= 1),
         ("AWAY_TG_U1.5", zero("away_goals") <= 1),
@@ -264,10 +283,10 @@ def leg_result(market: str = "market") -> Column:
     return result.otherwise("PENDING")
 
 
-def settle_slips(legs: DataFrame, results: DataFrame, on: list[str], slip: str = "slip_id") -> DataFrame:
-    """WIN if every leg wins, LOSS if one loses, else PENDING."""
-    facts = ["status", *GOALS, *CORNERS, *CARDS]
-    marked = legs.join(results.select(*on, *facts), on, "left").withColumn("leg", leg_result())
+def settle_slips(legs: DataFrame, results: DataFrame, on: list[str], slip: str = "slip_id", first: list[str] | None = None) -> DataFrame:
+    """WIN if every leg wins, LOSS if one loses, else PENDING (L8). Of several results the first by ``first`` counts."""
+    facts = _facts(results, on, first or [], ["status", *GOALS, *CORNERS, *CARDS])
+    marked = legs.join(facts, on, "left").withColumn("leg", leg_result())
     won, lost = F.col("leg") == "WIN", F.col("leg") == "LOSS"
     out = marked.groupBy(slip).agg(
         F.count(F.lit(1)).alias("legs"),

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import array_sum, clamp, logit, negative_binomial_pmf, poisson_pmf
+from ..session import cut_lineage
 from .metrics import bin_of, multiclass_metrics, regression_metrics
 from .ordered import sequence, top_per_key
 from .pricing import price_goals
 
 # Fixed values.
-ANCHOR_MIN, ANCHOR_ROWS = 600, 400
 RATE_LOW, RATE_HIGH = 0.05, 15.0
 TRAIN_LAST, VALIDATION = 2021, 2022
 CLIP = 1e-6
@@ -229,22 +229,27 @@ class CountModel:
         return array_sum(F.slice(pmf, low + 1, high - low + 1))
 
 
-def _scaling(df: DataFrame, features: list[str], order: list[str]) -> tuple[list[float], list[float]]:
-    """Mean and population spread, of the last 400 rows if there are more than 600."""
-    if df.count() > ANCHOR_MIN:
+def _scaling(df: DataFrame, features: list[str], order: list[str], anchor_rows: int | None = None) -> tuple[list[float], list[float]]:
+    """Mean and population spread of all rows, or of the last ``anchor_rows`` by ``order``."""
+    if anchor_rows is not None:
         tail = df.withColumn("_all", F.lit(0))
         spread = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-        df = top_per_key(tail, ["_all"], [F.col(c).desc() for c in order], ANCHOR_ROWS, spread)
+        df = top_per_key(tail, ["_all"], [F.col(c).desc() for c in order], anchor_rows, spread)
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
     means = [float(row[f"m{i}"] or 0.0) for i in range(len(features))]
     stds = [float(row[f"s{i}"] or 0.0) or 1.0 for i in range(len(features))]
     return means, stds
 
 
-def fit_poisson(df: DataFrame, features: list[str], target: str, order: list[str], reg: float = 0.0, offset: str | None = None) -> CountModel:
-    """Poisson regression with log link and L2 penalty on standardised features."""
+def fit_poisson(
+    df: DataFrame, features: list[str], target: str, order: list[str], reg: float = 0.0, offset: str | None = None, anchor_rows: int | None = None
+) -> CountModel:
+    """Poisson regression with log link and L2 penalty on standardised features.
+
+    Features are scaled by all rows; ``anchor_rows=400`` scales by the latest ones, to follow drifting inputs.
+    """
     known = df.filter(F.col(target).isNotNull())
-    means, stds = _scaling(known, features, order)
+    means, stds = _scaling(known, features, order, anchor_rows)
     scaled = known.select(
         F.col(target).cast("double").alias("label"),
         *[((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(features, means, stds, strict=True))],
@@ -256,14 +261,16 @@ def fit_poisson(df: DataFrame, features: list[str], target: str, order: list[str
     return CountModel(features, means, stds, [float(c) for c in fit.coefficients], float(fit.intercept))
 
 
-def fit_negative_binomial(df: DataFrame, features: list[str], target: str, order: list[str], reg: float = 0.0) -> CountModel:
+def fit_negative_binomial(
+    df: DataFrame, features: list[str], target: str, order: list[str], reg: float = 0.0, anchor_rows: int | None = None
+) -> CountModel:
     """Poisson mean plus a method-of-moments dispersion: sum((y - mu)^2 - mu) / sum(mu^2), not below 0."""
     known = df.filter(F.col(target).isNotNull())
     if known.filter(F.col(target) < 0).limit(1).count():
         raise ValueError("counts must not be negative")
     if known.count() < len(features) + 2:
         raise ValueError("too few rows for the features")
-    model = fit_poisson(known, features, target, order, reg)
+    model = fit_poisson(known, features, target, order, reg, anchor_rows=anchor_rows)
     y, mu = F.col(target).cast("double"), F.col("_mu")
     alpha = known.withColumn("_mu", model.rate()).agg((F.sum((y - mu) * (y - mu) - mu) / F.sum(mu * mu)).alias("a")).first()["a"]
     model.alpha = max(0.0, float(alpha))
@@ -295,27 +302,34 @@ def fit_outcome(train: DataFrame, test: DataFrame, features: list[str], actual:
     return scored, multiclass_metrics(scored)
 
 
-def walk_forward(df: DataFrame, features: list[str], order: list[str], test: Column, block: int = 10, reg: float = 0.01, **kw) -> DataFrame:
+def walk_forward(
+    df: DataFrame, features: list[str], order: list[str], test: Column, block: int = 10, period: Column | None = None, reg: float = 0.01, **kw
+) -> DataFrame:
     """Price blocks of test matches with models refitted on everything before each block (C11).
 
-    The features are point-in-time already, so they are computed once by the caller. The loop is over refits; the
-    block number comes from the test match's position.
+    A block is ``block`` test matches in ``order``, whatever their number, or the test matches of one calendar
+    ``period``. The features are point-in-time already, so they are computed once by the caller. The loop is over
+    refits; all fits read one prepared table.
     """
-    marked = df.withColumn("_test", test)
-    tests = sequence(marked.filter("_test").withColumn("_all", F.lit(0)), ["_all"], order, "seq_", **kw)
-    tests = tests.withColumn("_block", F.floor((F.col("seq_") - 1) / block)).drop("_all", "seq_").persist()
-    train = marked.filter(~F.col("_test")).persist()
-    blocks = tests.agg(F.max("_block").alias("b")).first()["b"]
-    scored = None
-    for b in range(int(blocks) + 1 if blocks is not None else 0):
-        known = train.unionByName(tests.filter(F.col("_block") < b).drop("_block"))
+    marked = df.withColumn("_test", F.coalesce(test, F.lit(False)))
+    if period is None:
+        tests = sequence(marked.filter("_test").withColumn("_all", F.lit(0)), ["_all"], order, "seq_", **kw).drop("_all")
+        tests = tests.withColumn("_block", F.floor((F.col("seq_") - 1) / block)).drop("seq_")
+    else:
+        tests = marked.filter("_test").withColumn("_block", period)
+    train = marked.filter(~F.col("_test")).withColumn("_block", F.lit(None).cast(tests.schema["_block"].dataType))
+    rows = cut_lineage(train.unionByName(tests))
+    parts = []
+    for (b,) in rows.filter("_test").select("_block").distinct().orderBy("_block").collect():
+        known = rows.filter(~F.col("_test") | (F.col("_block") < F.lit(b)))
         known = known.filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
         home = fit_poisson(known, features, "home_goals", order, reg)
         away = fit_poisson(known, features, "away_goals", order, reg)
-        part = tests.filter(F.col("_block") == b).withColumns({"home_rate": home.rate(), "away_rate": away.rate()})
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
+        parts.append((b, home.rate(), away.rate()))
+    if not parts:
         raise ValueError("no test matches")
+    rate = lambda i: F.coalesce(*[F.when(F.col("_block") == F.lit(p[0]), p[i]) for p in parts])
+    scored = rows.filter("_test").withColumns({"home_rate": rate(1), "away_rate": rate(2)})
     played = scored.filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
     return price_goals(played, "home_rate", "away_rate")
 

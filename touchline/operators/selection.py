@@ -134,7 +134,10 @@ def edge(df: DataFrame, p: str = "probability", odds: str = "odds", min_ev: floa
 
 
 def value_rank(df: DataFrame, slate: list[str], tie: str, conf: str = "confidence", **kw) -> DataFrame:
-    """Rank within the slate: passing first, then edge, EV and confidence, nulls last (K2). Hot slates are cut by edge."""
+    """Rank within the slate: passing first, then edge, EV and confidence, nulls last (K2).
+
+    Hot slates are cut by edge, and what has neither edge nor EV by confidence.
+    """
     last = F.lit(float("inf"))
     keys = {
         "_o1": F.when(F.col("passes"), 0.0).otherwise(1.0),
@@ -142,7 +145,9 @@ def value_rank(df: DataFrame, slate: list[str], tie: str, conf: str = "confidenc
         "_o3": F.coalesce(-F.col("ev"), last),
         "_o4": F.coalesce(-F.col(conf), last),
     }
-    steps = F.floor(clamp(F.col("_o2"), -2.0, 2.0) * 100_000)
+    unpriced = (F.col("_o2") == last) & (F.col("_o3") == last)
+    by_confidence = 300_000 + F.floor(clamp(F.col("_o4"), -1.0, 1.0) * 50_000)
+    steps = F.when(unpriced, by_confidence).otherwise(F.floor(clamp(F.col("_o2"), -2.0, 2.0) * 100_000))
     out = sequence(df.withColumns(keys), slate, [*keys, tie], "value_rank", bucket=F.col("_o1") * 1_000_000 + steps, **kw)
     return out.drop(*keys)
 

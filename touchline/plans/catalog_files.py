@@ -318,8 +318,8 @@ def _(t):
 
 @query(
     "t08_reject_late",
-    """SELECT c.match_id FROM contests c LEFT JOIN (SELECT match_id, min(CASE WHEN bet_id % 7 = 0 THEN ts + INTERVAL 30 YEAR ELSE ts END) AS t FROM ledger WHERE bet_id % 7 = 0 GROUP BY 1) p ON c.match_id = p.match_id WHERE p.t IS NULL OR c.match_date >= p.t""",
+    """SELECT c.match_id FROM contests c LEFT JOIN (SELECT match_id, min(CASE WHEN match_id % 7 = 0 THEN ts + INTERVAL 30 YEAR ELSE ts END) AS t FROM ledger GROUP BY 1) p ON c.match_id = p.match_id WHERE p.t IS NULL OR c.match_date >= p.t""",
 )
 def _(t):
-    preds = t.ledger.filter("bet_id % 7 = 0").select("match_id", F.expr("ts + INTERVAL 30 YEAR").alias("made"))
+    preds = t.ledger.select("match_id", F.expr("CASE WHEN match_id % 7 = 0 THEN ts + INTERVAL 30 YEAR ELSE ts END").alias("made"))
     return ss.reject_late(t.contests, preds, "match_id", "match_date", "made").select("match_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as j
 from ..operators import labels as lab
+from ..operators import validate as v
 from ..operators.ordered import as_of
 from .registry import micros, query, r6, rounded
 
@@ -112,16 +113,16 @@ def _(t):
     return j.in_universe(t.contests, t.ledger, "match_id", "ts").select("match_id", micros("first_prediction").alias("first_us"))
 
 
-LATE = "CASE WHEN bet_id % 7 = 0 THEN ts + INTERVAL 30 YEAR ELSE ts END"
+LATE = "CASE WHEN match_id % 7 = 0 THEN ts + INTERVAL 30 YEAR ELSE ts END"
 
 
 @query(
     "j08_temporal_violations",
-    f"""SELECT c.match_id, epoch_us(p.t) AS first_us FROM contests c JOIN (SELECT match_id, min({LATE}) AS t FROM ledger WHERE bet_id % 7 = 0 GROUP BY 1) p
+    f"""SELECT c.match_id, epoch_us(p.t) AS first_us FROM contests c JOIN (SELECT match_id, min({LATE}) AS t FROM ledger GROUP BY 1) p
 ON c.match_id = p.match_id WHERE c.match_date < p.t""",
 )
 def _(t):
-    preds = t.ledger.filter("bet_id % 7 = 0").select("match_id", F.expr(LATE).alias("made"))
+    preds = t.ledger.select("match_id", F.expr(LATE).alias("made"))
     out = j.temporal_violations(t.contests, preds, "match_id", "match_date", "made")
     return out.select("match_id", micros("first_prediction").alias("first_us"))
 
@@ -434,6 +435,36 @@ def _(t):
     return resolved(t).select("bet_id", "state")
 
 
+NATURAL = "substring(md5(league || strftime(match_date, '%Y%m%d') || upper(home_team) || upper(away_team)), 1, 16)"
+
+
+@query(
+    "l05_resolve_repaired",
+    f"""WITH c AS (SELECT *, {NATURAL} AS hash FROM contests),
+p AS (SELECT l.bet_id, l.market_key, l.probability, CASE WHEN l.bet_id % 11 = 0 THEN NULL ELSE c.hash END AS k, l.bet_id % 3 = 0 AS late, c.match_date AS d
+ FROM ledger l JOIN c ON l.match_id = c.match_id),
+f AS (SELECT hash, min(match_date) AS t, arg_min(home_goals > away_goals, (match_date, away_goals, home_goals)) AS home, arg_min(home_goals = away_goals, (match_date, away_goals, home_goals)) AS draw FROM c GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY k IS NULL, k, market_key ORDER BY bet_id) AS rn FROM p WHERE market_key IN ('home_win', 'draw'))
+SELECT bet_id, CASE WHEN k IS NULL THEN 'INVALID_KEY' WHEN rn > 1 THEN 'DUPLICATE' WHEN late AND t < d + INTERVAL 1 DAY THEN 'TIME_TRAVEL'
+ WHEN CASE market_key WHEN 'home_win' THEN home ELSE draw END THEN 'WON' ELSE 'LOST' END AS state FROM n LEFT JOIN f ON n.k = f.hash""",
+)
+def _(t):
+    """Keys that are malformed or missing are rebuilt; results come twice; without a league no key can be built."""
+    hashed = v.repair_key(t.contests.withColumn("match_hash", F.lit("")), date="match_date")
+    bets = t.ledger.select("bet_id", "match_id", F.col("market_key").alias("market"), "probability").filter("market in ('home_win', 'draw')")
+    bets = bets.join(hashed.select("match_id", "match_hash", "league", "match_date", "home_team", "away_team"), "match_id")
+    broken = F.when(F.col("bet_id") % 4 == 0, "XYZ").when(F.col("bet_id") % 4 == 1, F.lit(None)).otherwise(F.col("match_hash"))
+    preds = bets.withColumns(
+        {
+            "match_hash": F.when(F.col("bet_id") % 11 == 0, "bad").otherwise(broken),
+            "league": F.when(F.col("bet_id") % 11 > 0, F.col("league")),
+            "kickoff": F.when(F.col("bet_id") % 3 == 0, F.col("match_date") + F.expr("INTERVAL 1 DAY")).otherwise(F.expr("timestamp'1990-01-01'")),
+        }
+    )
+    results = hashed.select("match_hash", "match_date", *lab.GOALS, *lab.CORNERS, *lab.CARDS)
+    return lab.resolve(preds, results.union(results), MARKETS, order=["bet_id"], natural_date="match_date").select("bet_id", "state")
+
+
 @query("g25_resolution_stats", f"WITH {RESOLVE} SELECT state, count(*) AS n FROM s GROUP BY state")
 def _(t):
     return resolved(t).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
