@@ -101,8 +101,9 @@ def with_standings(fixtures: DataFrame, team: DataFrame, columns: list[str], **k
     seen = as_of(probes, states, keys, "match_date", payload, right_tie=["match_id"], strict=True, **kw)
     table = seen.filter(F.col("played").isNotNull()).withColumnRenamed("pts", "points")
     table = _finish(table, [*SCOPE, "match_date"])
-    out = fixtures
-    for side in ("home", "away"):
-        part = table.select(*SCOPE, "match_date", F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-        out = out.join(part, [*SCOPE, "match_date", f"{side}_team"], "left")
-    return out
+    # One row per kickoff with its league's sides in a map (a league has some twenty); one join for both sides.
+    entry = F.struct("team", F.struct(*columns).alias("row"))
+    per_kickoff = table.groupBy(*SCOPE, "match_date").agg(F.map_from_entries(F.collect_list(entry)).alias("_table"))
+    out = fixtures.join(per_kickoff, [*SCOPE, "match_date"], "left")
+    at = lambda side, c: F.try_element_at("_table", F.col(f"{side}_team"))[c].alias(f"{side}_{c}")
+    return out.select(*fixtures.columns, *[at(side, c) for side in ("home", "away") for c in columns])

@@ -162,6 +162,7 @@ def repair_key(df: DataFrame, key: str = "match_hash", date: str = "prediction_d
     return df.withColumn(key, F.when(valid_key(key), F.col(key)).otherwise(rebuilt))
 
 
+# Where a shifted row holds each column.
 SHIFTED_TO_RIGHT = {
     "prediction_id": "resolved_at",
     "match_hash": "prediction_id",

@@ -152,14 +152,24 @@ def _(t):
     return t.spark.read.parquet(path).select("match_id", "league", "season")
 
 
+MANIFEST_COLUMNS = (
+    "away_cards away_corners away_goals away_shots away_team home_cards home_corners home_goals home_shots home_team "
+    "league match_date match_id referee season status"
+).split()
+
+
 @query(
     "io11_freeze_manifest",
     """SELECT count(*) AS rows, CAST(16 AS INT) AS columns, epoch_us(min(match_date)) AS first_us, epoch_us(max(match_date)) AS last_us, count(DISTINCT league) AS leagues, count(DISTINCT season) AS seasons,
- count(*) FILTER (home_corners IS NULL) + count(*) FILTER (away_corners IS NULL) + count(*) FILTER (referee IS NULL) AS nulls FROM contests""",
+ count(*) FILTER (home_corners IS NULL) + count(*) FILTER (away_corners IS NULL) + count(*) FILTER (referee IS NULL) AS nulls,
+ sha256(CAST(sum(CAST(CAST('0x' || substring(md5(concat_ws('|', """
+    + ", ".join(f"coalesce(CAST({'epoch_us(match_date)' if c == 'match_date' else c} AS VARCHAR), '~')" for c in MANIFEST_COLUMNS)
+    + """)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS content_hash FROM contests""",
 )
 def _(t):
     out = io.freeze_manifest(t.contests)
-    return out.select("rows", "columns", micros("first").alias("first_us"), micros("last").alias("last_us"), "leagues", "seasons", "nulls")
+    span = [micros("first").alias("first_us"), micros("last").alias("last_us")]
+    return out.select("rows", "columns", *span, "leagues", "seasons", "nulls", "content_hash")
 
 
 @query(

@@ -170,10 +170,12 @@ def _(t):
 @query(
     "j13_with_standings",
     """WITH c AS (SELECT * FROM contests WHERE event_ok), k AS (SELECT DISTINCT league, season, match_date FROM c),
-p AS (SELECT k.league, k.season, k.match_date, t.team, t.points, t.goals_for, t.goals_against, row_number() OVER (PARTITION BY k.league, k.season, k.match_date, t.team ORDER BY t.match_date DESC, t.match_id DESC) AS rn
-  FROM k JOIN team t ON k.league = t.league AND k.season = t.season AND t.match_date < k.match_date),
-a AS (SELECT league, season, match_date, team, sum(points) AS points, sum(goals_for - goals_against) AS gd, sum(goals_for) AS gs, count(*) FILTER (rn <= 5) AS rc,
-  sum(CASE WHEN rn <= 5 THEN points END) / count(*) FILTER (rn <= 5) - sum(points) / count(*) AS d FROM p GROUP BY 1, 2, 3, 4),
+st AS (SELECT league, season, team, match_date, count(*) OVER w AS played, sum(points) OVER w AS points, sum(goals_for - goals_against) OVER w AS gd, sum(goals_for) OVER w AS gs,
+  count(*) OVER l AS rc, sum(points) OVER l AS rp FROM team WINDOW w AS (PARTITION BY league, season, team ORDER BY match_date, match_id),
+  l AS (PARTITION BY league, season, team ORDER BY match_date, match_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+p AS (SELECT k.league, k.season, k.match_date, s.team FROM k JOIN (SELECT DISTINCT league, season, team FROM team) s ON k.league = s.league AND k.season = s.season),
+a AS (SELECT p.league, p.season, p.match_date, p.team, st.points, st.gd, st.gs, st.rc, st.rp / st.rc - st.points / st.played AS d FROM p ASOF JOIN st
+  ON p.league = st.league AND p.season = st.season AND p.team = st.team AND p.match_date > st.match_date),
 r AS (SELECT *, row_number() OVER (PARTITION BY league, season, match_date ORDER BY points DESC, gd DESC, gs DESC, team) AS rank, count(*) OVER (PARTITION BY league, season, match_date) AS size FROM a),
 x AS (SELECT *, BAND AS momentum_band, STATUS AS status_band FROM r)
 SELECT c.match_id, CAST(coalesce(h.rank, -1) AS INT) AS home_rank, CAST(coalesce(a.rank, -1) AS INT) AS away_rank, coalesce(h.status_band, '-') AS home_status_band, coalesce(a.momentum_band, '-') AS away_momentum_band

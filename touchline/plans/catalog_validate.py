@@ -215,7 +215,17 @@ def _(t):
     rows = t.ledger.select("bet_id", *[c.alias(n) for n, c in text.items()])
     # rows written one column off: each column holds its right neighbour's value
     broken = F.col("bet_id") % 6 == 0
-    wrong = {source: F.when(broken, F.col(to)).otherwise(F.col(source)) for to, source in v.SHIFTED_TO_RIGHT.items()}
+    held = {
+        "prediction_id": "match_hash",
+        "match_hash": "league",
+        "league": "kickoff_date",
+        "kickoff_date": "market",
+        "market": "probability",
+        "probability": "outcome",
+        "outcome": "resolved_at",
+        "resolved_at": "prediction_id",
+    }
+    wrong = {column: F.when(broken, F.col(value)).otherwise(F.col(column)) for column, value in held.items()}
     return v.repair_shift(rows.withColumns(wrong)).drop("bet_id")
 
 

@@ -209,9 +209,16 @@ def log_predictions(df: DataFrame, path: str, day: Column, now: str) -> None:
 
 
 def freeze_manifest(df: DataFrame, time: str = "match_date") -> DataFrame:
-    """Content digest that ignores row order, rows, columns, date span, leagues, seasons, nulls: one pass (IO11)."""
+    """Content digest that ignores row order, rows, columns, date span, leagues, seasons, nulls: one pass (IO11).
+
+    A row's digest is the first 15 hex digits of the md5 of its cells (by column name, ``|`` between them, ``~`` for
+    null, times as microseconds); the sum over rows is hashed again.
+    """
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    digest = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    cell = lambda c: F.coalesce((F.unix_micros(c) if c in times else F.col(c)).cast("string"), F.lit("~"))
+    row = F.md5(F.concat_ws("|", *map(cell, sorted(df.columns))))
+    digest = F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)"))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
