@@ -414,3 +414,20 @@ def test_form_follows_the_recurrence(spark, decay):
     for i in range(1, 900):
         assert got[i] == pytest.approx(state, abs=1e-9)
         state = decay * state + (1 - decay) * points[i]
+
+
+def test_full_feature_matrix(spark, tables):
+    """Columns added to the matrix equal those of the operators alone."""
+    from touchline.plans import flows
+
+    team = ft.team_rows(tables.contests)
+    alone = ft.congestion(ft.streaks(ft.form(ft.season_goal_difference(ft.season_blend(team, ["goals_for"])))))
+    names = ["goals_for_season", "season_goal_diff", "form", "win_streak", "unbeaten_streak", "congestion"]
+    matrix = flows.feature_matrix(tables.contests, impute=True)
+    assert len(matrix.columns) > 110 and len(set(matrix.columns)) == len(matrix.columns)
+    got = {r.match_id: r for r in matrix.collect()}
+    for r in alone.select("match_id", "is_home", *names).collect():
+        side = "home" if r.is_home else "away"
+        assert all(got[r.match_id][f"{side}_{c}"] == pytest.approx(r[c]) for c in names)
+    first = [r for r in got.values() if r.home_goals_for_avg5_missing]
+    assert first and all(r.home_goals_for_avg5 is not None for r in got.values())

@@ -17,8 +17,8 @@ INPUTS = ["home_goals_for_avg5", "home_goals_against_avg5", "away_goals_for_avg5
 
 
 def matrix(t):
-    """The feature matrix as a written table, so fits do not replay its windows."""
-    return cut_lineage(flows.feature_matrix(t.contests))
+    """The matches with the fits' inputs as a written table, so fits do not replay its windows."""
+    return cut_lineage(flows.feature_matrix(t.contests, ordered=False).select(*t.contests.columns, *INPUTS))
 
 
 @query(
@@ -29,7 +29,13 @@ SELECT h.match_id, round(h.f, 6) AS home_goals_for_avg5, round(a.f, 6) AS away_g
 )
 def _(t):
     names = ["home_goals_for_avg5", "away_goals_for_avg5", "home_sos_attack", "away_sos_defence", "delta_goals_for_avg5", "delta_sos_attack"]
-    return rounded(flows.feature_matrix(t.contests).select("match_id", *names), *names)
+    return rounded(flows.feature_matrix(t.contests, ordered=False).select("match_id", *names), *names)
+
+
+@query("feature_matrix_full")
+def _(t):
+    """All columns; each has its own check under its operator, and tests hold the matrix against the operators."""
+    return flows.feature_matrix(t.contests)
 
 
 @query(
@@ -38,7 +44,7 @@ def _(t):
 SELECT (SELECT count(*) FROM contests) AS matches, round(avg(c) FILTER (is_home = 1), 6) AS home_corners, round(avg(s) FILTER (is_home = 0), 6) AS away_shots FROM q""",
 )
 def _(t):
-    out = flows.feature_matrix(t.contests).agg(
+    out = flows.feature_matrix(t.contests, ordered=False).agg(
         F.count(F.lit(1)).alias("matches"), F.avg("home_corners_for_avg10").alias("home_corners"), F.avg("away_shots_for_avg5").alias("away_shots")
     )
     return rounded(out, "home_corners", "away_shots")

@@ -24,21 +24,28 @@ def side_features(team: DataFrame, widths: tuple[int, ...] = (5, 10)) -> DataFra
     return ft.add_features(team, parts)
 
 
-def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10)) -> DataFrame:
+def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), impute: bool = False, ordered: bool = True) -> DataFrame:
     """One row per match with both sides' features, deltas, head-to-head, referee and calendar columns.
 
-    Shuffles: the side key once for all window features, the match key once to bring both sides together, one each
-    for pair and referee. Write the result as a table before fitting on it.
+    Beside the window features of a side: season blends, season goal difference, form, streaks and congestion, and a
+    missing flag for each rolling mean. ``impute`` fills those means with the priors of their family afterwards. Season
+    blends, goal difference, form, streaks and congestion take passes of their own; ``ordered=False`` leaves them out.
+    Write the result as a table before fitting on it.
     """
     team = side_features(ft.team_rows(contests), widths)
     team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
-    names = [f"{c}_avg{w}" for w in widths for c in RATES]
-    names += ["sos_attack", "sos_defence", "rest_days", "clean_sheet_rate", "goals_dominance", "shots_dominance"]
-    names += ["pressure_index", "home_advantage", "max_source_date5"]
-    numeric = [n for n in names if n != "max_source_date5"]
-    base = ft.referee_rate(ft.head_to_head(contests))
-    out = ft.deltas(ft.reassemble(base, team, names), numeric)
-    return ft.context(out)
+    means = [f"{c}_avg{w}" for w in widths for c in RATES]
+    names = means + ["sos_attack", "sos_defence", "rest_days", "clean_sheet_rate", "goals_dominance", "shots_dominance"]
+    names += ["pressure_index", "home_advantage"]
+    if ordered:
+        team = ft.season_goal_difference(ft.season_blend(team, RATES))
+        team = ft.congestion(ft.streaks(ft.form(team)))
+        names += [*(f"{c}_season" for c in RATES), "season_goal_diff", "form", "win_streak", "unbeaten_streak", "congestion"]
+    base = ft.days_since_meeting(ft.referee_rate(ft.head_to_head(contests))).drop("pair")
+    out = ft.reassemble(base, team, [*names, "max_source_date5"])
+    rolling = [f"{side}_{c}" for side in ("home", "away") for c in means]
+    out = ft.missing_flags(ft.deltas(out, names), rolling)
+    return ft.context(ft.impute_priors(out, rolling) if impute else out)
 
 
 def price_fixtures(fixtures: DataFrame, home_rate: str, away_rate: str) -> DataFrame:
