@@ -12,16 +12,17 @@ from ..operators import labels as lab
 from ..operators import metrics as g
 from ..operators import pricing as pr
 from ..operators import selection as sel
+from ..operators.ordered import CHUNK_ROWS, hot_keys
 
 RATES = ["goals_for", "goals_against", "corners_for", "corners_against", "cards_for", "shots_for"]
 
 
-def side_features(team: DataFrame, widths: tuple[int, ...] = (5, 10)) -> DataFrame:
+def side_features(team: DataFrame, widths: tuple[int, ...] = (5, 10), **kw) -> DataFrame:
     """Every window feature of a side in one pass over the team key."""
     parts = [ft.rolling_mean(RATES, w) for w in widths]
     parts += [ft.rolling_density(5), ft.rolling_source_date(5), ft.rest_days(), ft.clean_sheets(5)]
     parts += [ft.dominance("goals"), ft.dominance("shots"), ft.pressure(5), ft.home_advantage()]
-    return ft.add_features(team, parts)
+    return ft.add_features(team, parts, **kw)
 
 
 def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), impute: bool = False, ordered: bool = True) -> DataFrame:
@@ -32,16 +33,19 @@ def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), imput
     blends, goal difference, form, streaks and congestion take passes of their own; ``ordered=False`` leaves them out.
     Write the result as a table before fitting on it.
     """
-    team = side_features(ft.team_rows(contests), widths)
+    team = ft.team_rows(contests)
+    # Sides are counted once. If none is hot, no season of a side and no pair is, and they need no count of their own.
+    calm = {"split_hot_keys": False} if hot_keys(team, ft.TEAM_KEY, CHUNK_ROWS) is None else {}
+    team = side_features(team, widths, **calm)
     team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
     means = [f"{c}_avg{w}" for w in widths for c in RATES]
     names = means + ["sos_attack", "sos_defence", "rest_days", "clean_sheet_rate", "goals_dominance", "shots_dominance"]
     names += ["pressure_index", "home_advantage"]
     if ordered:
-        team = ft.season_goal_difference(ft.season_blend(team, RATES))
-        team = ft.congestion(ft.streaks(ft.form(team)))
+        team = ft.season_goal_difference(ft.season_blend(team, RATES, **calm), **calm)
+        team = ft.congestion(ft.streaks(ft.form(team, **calm), **calm), **calm)
         names += [*(f"{c}_season" for c in RATES), "season_goal_diff", "form", "win_streak", "unbeaten_streak", "congestion"]
-    base = ft.days_since_meeting(ft.referee_rate(ft.head_to_head(contests))).drop("pair")
+    base = ft.days_since_meeting(ft.referee_rate(ft.head_to_head(contests, **calm)), **calm).drop("pair")
     out = ft.reassemble(base, team, [*names, "max_source_date5"])
     rolling = [f"{side}_{c}" for side in ("home", "away") for c in means]
     out = ft.missing_flags(ft.deltas(out, names), rolling)
