@@ -154,3 +154,30 @@ def test_pipeline(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, folder)
         rows.count()
+
+
+def test_clashing_names(spark, real):
+    """Extra columns called like the operators' own are kept or replaced, and nothing breaks."""
+    import public_tokenizers
+
+    from touchline.llm import bpe_trie, mixing, pii, secrets, token_counts, toxicity
+
+    docs = real[0].limit(40)
+    for c in ("_text", "_id", "_key", "_row", "_at", "_of", "_n", "_t", "n", "id", "v", "size", "kept", "n_tokens", "secrets", "severity", "copies"):
+        docs = docs.withColumn(c, F.lit("x"))
+    model = secrets.learn(docs)
+    nothing = toxicity.Ordinal({}, np.array([5.0, 6.0, 7.0]))
+    outs = [
+        token_counts.token_counts(docs, public_tokenizers.path(token_counts.VOCABULARY)),
+        bpe_trie.encode(docs, public_tokenizers.path(bpe_trie.VOCABULARY)),
+        secrets.scan(docs, model),
+        secrets.scan(docs, model, redact="?"),
+        toxicity.severity(docs, nothing),
+        pii.detect(docs),
+        mixing.mix(docs),
+        minhash_forest.near_duplicates(docs),
+    ]
+    for out in outs:
+        assert out.count() == 40 and len(set(out.columns)) == len(out.columns)
+    for out in (quality.keep_good(docs), minhash_forest.keep_one(docs), mixing.in_training_order(docs)):
+        assert out.columns == docs.columns and 0 < out.count() <= 120

@@ -21,9 +21,8 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_last
 from .token_counts import _by_bytes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -283,9 +282,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
     """
     made = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in made]
-    picked = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ["string", "string"] if digests else ["array<int>", "string"]
-    schema = picked.drop("_text").withColumns({"n_tokens": F.lit(0).cast("long")} | {c: F.lit(None).cast(k) for c, k in zip(made[1:], kinds)}).schema
+    kinds = ["long", "string", "string"] if digests else ["long", "array<int>", "string"]
+    picked, schema = text_last(docs, keep, text, dict(zip(made, kinds)))
     return picked.mapInArrow(_encoder(path, digests), schema)
 
 

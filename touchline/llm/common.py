@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
 
@@ -37,6 +38,21 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), GAP_JAVA, -1), "")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of the frames is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_last(docs: DataFrame, keep: list[str], text: str, made: dict[str, str]) -> tuple[DataFrame, StructType]:
+    """``keep`` columns with the text behind them, and the schema with the new columns in the text's place."""
+    name = spare("_text", docs)
+    picked = docs.select(*keep, F.col(text).alias(name))
+    return picked, picked.drop(name).withColumns({c: F.lit(None).cast(kind) for c, kind in made.items()}).schema
+
+
 def least_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest id that links reach: ``(id, component)`` for each id that has a link.
 

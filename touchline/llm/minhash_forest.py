@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SEPARATORS, least_reachable, table
+from .common import SEPARATORS, least_reachable, spare, table
 
 #: The forest: trees, hashes in a tree's slice, hashes that neighbours must share, neighbours looked at on each side.
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 20, 8, 3, 16
@@ -369,13 +369,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with one left of each component, and one of repeated rows; columns as they are."""
     judged = cut_lineage(near_duplicates(docs, doc_id=doc_id, text=text, **options).filter("doc_id is not null"))
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    twice = judged.filter("kept").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    name = spare("_id", docs)
+    gone = judged.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    twice = judged.filter("kept").groupBy(F.col("doc_id").alias(name)).count().filter("count > 1").select(name)
 
     def small(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    here = F.col(doc_id) == F.col("_id")
+    here = F.col(doc_id) == F.col(name)
     left = docs.join(small(gone), here, "left_anti")
     if twice.isEmpty():
         return left

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import table
+from .common import table, text_last
 
 #: Documents the forest is trained on, words of the dictionary at most, sampled documents a word must be in.
 TRAIN_DOCS, MOST_WORDS, LEAST_TEXTS = 20_000, 50_000, 3
@@ -245,9 +245,7 @@ def scan(docs: DataFrame, model: tuple[Lexicon, Forest], *, text: str = "text",
 
     made = ("n_candidates", "n_secrets", "secrets")
     keep = [c for c in (names if keep is None else keep) if c != text and c not in made]
-    picked = docs.select(*keep, F.col(text).alias("_text"))
-    spans = F.lit(None).cast("array<struct<start:int,end:int,kind:string>>")
-    schema = picked.drop("_text").withColumns({"n_candidates": F.lit(0).cast("long"), "n_secrets": F.lit(0).cast("long"), "secrets": spans}).schema
+    picked, schema = text_last(docs, keep, text, dict(zip(made, ("long", "long", "array<struct<start:int,end:int,kind:string>>"))))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_last
 
 #: Bytes of text whose pieces are encoded together.
 BATCH_BYTES = 2 << 20
@@ -108,11 +108,12 @@ def _counter(path: str, batch_bytes: int):
 def token_counts(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, batch_bytes: int = BATCH_BYTES):
     """``keep`` columns (default: all but the text) and ``n_tokens``; null and empty texts have none.
 
+    An existing column of that name is replaced. Rows stay as they are, repeated ones too; an empty table gives one.
+
     ``path`` names a file of a vocabulary whose pre-tokeniser is the byte-level one; every executor must find it there.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    picked = docs.select(*keep, F.col(text).alias("_text"))
-    schema = picked.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_tokens")]
+    picked, schema = text_last(docs, keep, text, {"n_tokens": "long"})
     return picked.mapInArrow(_counter(path, batch_bytes), schema)
 
 

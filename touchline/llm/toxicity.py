@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import table
+from .common import table, text_last
 
 #: Labelled rows the model is fitted on, texts of them a word must occur in, words of the vocabulary at most.
 TRAIN_ROWS, LEAST_TEXTS, MOST_WORDS = 20_000, 3, 20_000
@@ -165,9 +165,8 @@ def severity(docs: DataFrame, model: Ordinal, *, text: str = "text", keep: list[
     """
     made = [*(f"p_{k}" for k in range(GRADES)), "expected_severity", "severity", "toxic"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in made]
-    picked = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ["double"] * (GRADES + 1) + ["int", "boolean"]
-    schema = picked.drop("_text").withColumns({c: F.lit(None).cast(k) for c, k in zip(made, kinds)}).schema
+    picked, schema = text_last(docs, keep, text, dict(zip(made, kinds)))
 
     def run(batches):
         for batch in batches:
