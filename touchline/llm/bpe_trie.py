@@ -26,8 +26,8 @@ from .common import table, text_last
 from .token_counts import _by_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-BATCH_BYTES = 4 << 20
-REMEMBERED = 400_000
+BATCH_BYTES = 2 << 20
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 64
 
 # White space as the vocabulary's splitting pattern has it; \x1c-\x1f are none.

@@ -24,7 +24,7 @@ from .common import table, text_last
 #: Bytes of text whose pieces are encoded together.
 BATCH_BYTES = 2 << 20
 #: Pieces remembered by a task; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer pieces are not remembered.
 REMEMBERED_CHARS = 64
 LIMIT = 512
