@@ -284,8 +284,12 @@ def leg_result(market: str = "market") -> Column:
 
 
 def settle_slips(legs: DataFrame, results: DataFrame, on: list[str], slip: str = "slip_id", first: list[str] | None = None) -> DataFrame:
-    """WIN if every leg wins, LOSS if one loses, else PENDING (L8). Of several results the first by ``first`` counts."""
-    facts = _facts(results, on, first or [], ["status", *GOALS, *CORNERS, *CARDS])
+    """WIN if every leg wins, LOSS if one loses, else PENDING.
+
+    Of several results of a key the first by ``first`` counts, by default the earliest match if results have a date.
+    """
+    first = [c for c in ("match_date",) if c in results.columns] if first is None else first
+    facts = _facts(results, on, first, ["status", *GOALS, *CORNERS, *CARDS])
     marked = legs.join(facts, on, "left").withColumn("leg", leg_result())
     won, lost = F.col("leg") == "WIN", F.col("leg") == "LOSS"
     out = marked.groupBy(slip).agg(

@@ -277,23 +277,27 @@ def fit_negative_binomial(
     return model
 
 
-def fit_boosted(train: DataFrame, test: DataFrame, features: list[str], target: str, seed: int = 42) -> DataFrame:
+def fit_boosted(
+    train: DataFrame, test: DataFrame, features: list[str], target: str, seed: int = 42, rounds: int = 500, depth: int = 5, step: float = 0.05
+) -> DataFrame:
     """Boosted-tree count model and its test metrics (C9). MLlib has no Poisson loss, so the loss is squared error."""
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     filled = lambda d: d.filter(F.col(target).isNotNull()).fillna(0.0, subset=features)
-    model = GBTRegressor(labelCol=target, maxIter=20, maxDepth=4, stepSize=0.1, seed=seed).fit(assembler.transform(filled(train)))
+    model = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(assembler.transform(filled(train)))
     scored = model.transform(assembler.transform(filled(test))).withColumn("predicted", clamp(F.col("prediction"), 0.05, 4.0))
     hit = F.pow(1 - F.exp(-F.col("predicted")) - (F.col(target) > 0).cast("double"), F.lit(2))
     some = scored.agg(F.avg(hit).alias("scored_brier"))
     return regression_metrics(scored, target, "predicted").withColumn("scored_brier", some.scalar())
 
 
-def fit_outcome(train: DataFrame, test: DataFrame, features: list[str], actual: str = "actual", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def fit_outcome(
+    train: DataFrame, test: DataFrame, features: list[str], actual: str = "actual", seed: int = 42, trees: int = 500, depth: int = 6
+) -> tuple[DataFrame, DataFrame]:
     """Three-way outcome forest: (scored test rows, accuracy / log-loss / Brier)."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     filled = lambda d: assembler.transform(d.filter(F.col(actual).isNotNull()).fillna(0.0, subset=features))
     labels = StringIndexer(inputCol=actual, outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    forest = RandomForestClassifier(numTrees=40, maxDepth=6, seed=seed).fit(labels.transform(filled(train)))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(labels.transform(filled(train)))
     p = vector_to_array("probability")
     order = list(labels.labels)
     scored = forest.transform(filled(test)).withColumns(

@@ -120,7 +120,7 @@ def _(t):
 @query("c09_boosted_counts")
 def _(t):
     rows = matrix(t).withColumn("season", F.col("season"))
-    out = ml.fit_boosted(rows.filter("season <> 'S3'"), rows.filter("season = 'S3'"), INPUTS, "home_goals")
+    out = ml.fit_boosted(rows.filter("season <> 'S3'"), rows.filter("season = 'S3'"), INPUTS, "home_goals", rounds=20, depth=4, step=0.1)
     return rounded(out, "mae", "rmse", "r2", "bias", "scored_brier")
 
 
@@ -128,7 +128,7 @@ def _(t):
 def _(t):
     h, a = F.col("home_goals"), F.col("away_goals")
     rows = matrix(t).withColumn("actual", F.when(h > a, "H").when(h == a, "D").otherwise("A"))
-    _, out = ml.fit_outcome(rows.filter("season <> 'S3'"), rows.filter("season = 'S3'"), INPUTS)
+    _, out = ml.fit_outcome(rows.filter("season <> 'S3'"), rows.filter("season = 'S3'"), INPUTS, trees=40)
     return rounded(out, "accuracy", "log_loss", "brier")
 
 
