@@ -241,29 +241,37 @@ _IDS = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
 @functools.lru_cache(maxsize=1)
 def _shared(path: str) -> Encoder:
-    """One per Python worker, which runs many tasks."""
+    """The vocabulary is loaded once per Python worker, which runs many tasks."""
     return Encoder(path)
 
 
 def _encoder(path: str, digests: bool):
+    def encoded(encoder, batch):
+        *rest, text = [batch.column(i) for i in range(batch.num_columns)]
+        names = batch.schema.names[:-1]
+        for start, texts in _runs(text):
+            found = encoder.encode(texts)
+            kept = [c.slice(start, len(texts)) for c in rest]
+            n = pa.array([len(b) // 4 for b, _ in found], pa.int64())
+            if digests:
+                a = pa.array([hashlib.sha256(b).hexdigest() for b, _ in found])
+                b = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in found])
+                new, labels = [n, a, b], ["n_tokens", "ids_sha256", "decoded_sha256"]
+            else:
+                ids = pa.array([memoryview(b).cast("I").tolist() for b, _ in found], pa.list_(pa.int32()))
+                new, labels = [n, ids, pa.array([s for _, s in found], pa.string())], ["n_tokens", "ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=[*names, *labels])
+
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and collections would walk all remembered chunks
         encoder = _shared(path)
-        for batch in batches:
-            *rest, text = [batch.column(i) for i in range(batch.num_columns)]
-            names = batch.schema.names[:-1]
-            for start, texts in _runs(text):
-                found = encoder.encode(texts)
-                kept = [c.slice(start, len(texts)) for c in rest]
-                n = pa.array([len(b) // 4 for b, _ in found], pa.int64())
-                if digests:
-                    a = pa.array([hashlib.sha256(b).hexdigest() for b, _ in found])
-                    b = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in found])
-                    new, labels = [n, a, b], ["n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    ids = pa.array([memoryview(b).cast("I").tolist() for b, _ in found], pa.list_(pa.int32()))
-                    new, labels = [n, ids, pa.array([s for _, s in found], pa.string())], ["n_tokens", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([*kept, *new], names=[*names, *labels])
+        gc.disable()  # nothing here makes cycles, and collections would walk all remembered words
+        try:
+            for batch in batches:
+                yield from encoded(encoder, batch)
+        finally:
+            # The worker lives on for other stages.
+            encoder.known = {}
+            gc.enable()
 
     return run
 

@@ -87,20 +87,26 @@ def _by_bytes(texts, most: int):
 
 @functools.lru_cache(maxsize=1)
 def _shared(path: str) -> PieceCounter:
-    """One per Python worker, which runs many tasks."""
+    """The vocabulary is loaded once per Python worker, which runs many tasks."""
     return PieceCounter(path)
 
 
 def _counter(path: str, batch_bytes: int):
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and collections would walk all remembered pieces
         counter = _shared(path)
-        for batch in batches:
-            *rest, text = [batch.column(i) for i in range(batch.num_columns)]
-            counts: list[int] = []
-            for texts in _by_bytes((t.as_py() or "" for t in text), batch_bytes):
-                counts += counter.count(texts)
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
+        gc.disable()  # nothing here makes cycles, and collections would walk all remembered pieces
+        try:
+            for batch in batches:
+                *rest, text = [batch.column(i) for i in range(batch.num_columns)]
+                counts: list[int] = []
+                for texts in _by_bytes((t.as_py() or "" for t in text), batch_bytes):
+                    counts += counter.count(texts)
+                names = [*batch.schema.names[:-1], "n_tokens"]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64())], names=names)
+        finally:
+            # The worker lives on for other stages.
+            counter.known = {}
+            gc.enable()
 
     return run
 
