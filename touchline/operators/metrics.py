@@ -454,32 +454,42 @@ def long_values(df: DataFrame, columns: list[str], name: str = "feature", value:
     return df.select(F.inline(pairs)).filter(F.col(value).isNotNull() & ~F.isnan(value))
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, qs: dict[str, float], **kw) -> DataFrame:
-    """Interpolated quantiles per key without holding a key's values in one task.
+def _ranked(df: DataFrame, key: str, value: str, **kw) -> DataFrame:
+    """Distinct values with their number ``n``, the number of smaller ones ``before``, and the key's ``total``.
 
-    Values are counted first; running counts over the distinct values (chunked for a key with many) say which
-    value sits at each wanted rank.
+    Rows are counted once; all else works on the counts. Running counts are chunked for a key with many values.
     """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = point_in_time(counts, [key], [value], [Feature(running={"before": Running("sum", F.col("n"))})], **kw)
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    running = point_in_time(counts, [key], [value], [Feature(running={"before": Running("sum", F.col("n"))})], **kw)
     # totals has one row per feature or market
-    ranked = counts.withColumn("before", F.coalesce("before", F.lit(0))).join(totals, key)
-    aggs = []
-    for name, q in qs.items():
-        at = (F.col("total") - 1) * q
-        low, high = F.floor(at), F.ceil(at)
-        hit = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        lo, hi = F.max(F.when(hit(low), F.col(value))), F.max(F.when(hit(high), F.col(value)))
-        aggs.append((lo + (hi - lo) * F.max(at - low)).alias(name))
-    return ranked.groupBy(key).agg(*aggs)
+    return running.withColumn("before", F.coalesce("before", F.lit(0))).join(totals, key)
 
 
-def feature_baselines(df: DataFrame, columns: list[str], **kw) -> DataFrame:
-    """Mean, spread and exact quartiles per feature."""
+def _quantile(q: float, value: str) -> Column:
+    """Interpolated quantile over the rows of ``_ranked``: which value sits at each wanted rank."""
+    at = (F.col("total") - 1) * q
+    low, high = F.floor(at), F.ceil(at)
+    hit = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    lo, hi = F.max(F.when(hit(low), F.col(value))), F.max(F.when(hit(high), F.col(value)))
+    return lo + (hi - lo) * F.max(at - low)
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, qs: dict[str, float], **kw) -> DataFrame:
+    """Interpolated quantiles per key without holding a key's values in one task."""
+    return _ranked(df, key, value, **kw).groupBy(key).agg(*[_quantile(q, value).alias(name) for name, q in qs.items()])
+
+
+def feature_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, mean and spread per feature in one pass (D3)."""
     rows = long_values(df, columns)
-    basic = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return basic.join(exact_quantiles(rows, "feature", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, **kw), "feature")
+    return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
+def feature_baselines(df: DataFrame, columns: list[str], **kw) -> DataFrame:
+    """Mean, spread and exact quartiles per feature (G28): one pass for the moments, one for the counted values."""
+    quartiles = exact_quantiles(long_values(df, columns), "feature", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, **kw)
+    return feature_moments(df, columns).join(quartiles, "feature")
 
 
 def backtest_calibration(df: DataFrame) -> DataFrame:

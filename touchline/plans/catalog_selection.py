@@ -340,7 +340,7 @@ SELECT l_orderkey, l_linenumber, f1 + f2 + f3 + f4 AS flagged, round((f1 + f2 +
 )
 def _(t):
     items = t("lineitem")
-    base = g.feature_baselines(items.filter("l_linestatus = 'F'"), ["l_quantity", "l_extendedprice", "l_discount"]).select("feature", "mean", "std")
+    base = g.feature_moments(items.filter("l_linestatus = 'F'"), ["l_quantity", "l_extendedprice", "l_discount"]).select("feature", "mean", "std")
     constant = items.agg(F.lit("l_tax").alias("feature"), F.lit(0.08).alias("mean"), F.lit(0.0).alias("std"))
     live = items.withColumns(
         {
