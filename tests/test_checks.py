@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"c11_walk_forward", "c09_boosted_counts", "c09_outcome_model"}
 
 
 def test_names_and_coverage():
@@ -25,6 +24,6 @@ def test_same_rows_as_sql(spark, name):
     assert compare(got, connect(FOLDER).execute(entry.oracle_sql()[name]).fetch_df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
