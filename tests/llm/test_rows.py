@@ -220,8 +220,8 @@ def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
 
 
 def test_toxicity_on_held_out_labels(spark, odd_docs, no_docs):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").filter("doc_id < 8000")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet").filter("doc_id < 8000").select("doc_id", "toxic")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels.filter("doc_id % 2 = 0"))
     out = toxicity.severity(docs, model, keep=["doc_id"]).join(labels.withColumnRenamed("toxic", "truth").filter("doc_id % 2 = 1"), "doc_id").collect()
     bad = [r for r in out if r.truth == 1]
