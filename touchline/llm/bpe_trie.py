@@ -26,8 +26,8 @@ from .common import table, text_last
 from .token_counts import _by_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-BATCH_BYTES = 2 << 20
-REMEMBERED = 250_000
+BATCH_BYTES = 1 << 20
+REMEMBERED = 120_000
 REMEMBERED_CHARS = 64
 
 # White space as the vocabulary's splitting pattern has it; \x1c-\x1f are none.
@@ -45,8 +45,6 @@ class WordBpe:
     """The vocabulary: merges, the inverse of each merge, and what may follow what."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,8 +63,15 @@ class WordBpe:
         self.inner: dict[str, tuple] = {}  # by the longest token start that ends here: tokens that end here
         self.final: dict[str, tuple] = {}  # the same for tokens with the end mark
         self.pairs: dict[int, bool] = {}
-        rules = Tokenizer.from_file(path)
-        self.normalizer, self.splitter = rules.normalizer, rules.pre_tokenizer
+        self.path = path
+
+    @functools.cached_property
+    def rules(self) -> tuple:
+        """The vocabulary's own normaliser and splitter; loaded when a text needs them."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        return whole.normalizer, whole.pre_tokenizer
 
     def follows(self, left: int, right: int) -> bool:
         """True if encoding the two tokens' joined spelling gives just these two tokens.
@@ -171,7 +176,8 @@ class WordBpe:
             if max(low) < "\u0250":
                 out += _LATIN.findall(low)
             else:
-                spelt = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+                normalizer, splitter = self.rules
+                spelt = splitter.pre_tokenize_str(normalizer.normalize_str(chunk))
                 out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in spelt if w]
         return out
 
