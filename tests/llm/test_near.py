@@ -63,6 +63,24 @@ def test_same_components_as_all_pairs(docs_of, real, k, percent):
     assert all(out[i].kept == (expected[i] == i) for i in out)
 
 
+def test_one_base_of_many_unlike_variants(docs_of):
+    """Each variant is like the base only; all hang together by it."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(302)]
+    texts = [" ".join(base)]
+    for i in range(2_700):
+        at = rng.randrange(280)
+        texts.append(" ".join(base[:at] + [f"v{i}x{j}" for j in range(20)] + base[at + 20 :]))
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    like = [len(sets[0] & s) / len(sets[0] | s) for s in sets.values()]
+    assert sum(100 * x >= 85 for x in like) == len(texts)
+    apart = rng.sample(range(1, 2_701), 60)
+    unlike = [100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a in apart for b in apart if a < b]
+    assert sum(unlike) > 0.8 * len(unlike)
+    out = minhash_forest.near_duplicates(docs_of(texts), words=3, percent=85).collect()
+    assert {r.component_id for r in out} == {0}
+
+
 def test_shingle_hashes_do_not_depend_on_neighbours():
     texts = [t or "" for t in ODD] + ["a b c d", "a b c d e"]
     raw = [t.encode() for t in texts]

@@ -14,7 +14,11 @@ Steps, all on narrow tables but the first and the confirmation:
    more;
 4. each class's most alike candidates are confirmed first and components are formed; then all other candidates whose
    ends are still apart. A link inside a component changes nothing, so nothing is lost that the forest has found;
-5. components by alternating star contraction.
+5. components by alternating star contraction;
+6. dense regions: in every run of equal least prefixes that is larger than what a row is paired with, all rows outside
+   the run's largest component are compared with all rows of the run, block by block in tasks of their own. Signatures
+   go first; rows with a plausible partner are compared on their full sets. A block gives the links that unite its
+   components, so what comes out does not grow with the square of a run, though the comparisons of a run do.
 
 A hub or a group of copies never meets in one task: joins have one row per key on one side, and sums are combined first.
 """
@@ -44,6 +48,9 @@ PLAUSIBLE = 0.84
 WORDS, PERCENT = 5, 80
 #: Ids that are broadcast at most; beyond that texts meet them in a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Rows of a side that are compared together in a dense run, by signatures and by full sets, and the trees whose runs are
+#: gone through together: later ones find little left apart.
+SLIM_ROWS, FULL_ROWS, ROUNDS = 2048, 512, ((0, 1), (1, 4), (4, TREES))
 #: Bytes of text hashed together.
 RUN_BYTES = 1 << 20
 
@@ -318,6 +325,119 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def mixed_runs(members: DataFrame, block_rows: int, least: int = 2) -> DataFrame:
+    """``key, main, l, r``: runs of ``least`` rows, beyond which the forest has not met all pairs, and several components.
+
+    ``main`` is the component with the most rows; ``l`` and ``r`` are the blocks of the rows outside it and of all rows.
+    """
+    sizes = members.groupBy("key", "component").count()
+    runs = sizes.groupBy("key").agg(F.sum("count").alias("c"), F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"))
+    runs = runs.filter((F.col("parts") > 1) & (F.col("c") >= least))
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    return runs.select("key", F.col("m.component").alias("main"), blocks(F.col("c") - F.col("m.count")).alias("l"), blocks(F.col("c")).alias("r"))
+
+
+def cells(members: DataFrame, runs: DataFrame):
+    """``members`` grouped by the cells they belong to: block i of the rows outside ``main`` against block j of all."""
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_IDS else runs
+    met = members.join(runs, "key").withColumn("apart", F.col("component") != F.col("main"))
+    met = met.withColumns({"own_i": F.pmod(F.xxhash64("id", F.lit(1)), "l").cast("int"), "own_j": F.pmod(F.xxhash64("id", F.lit(2)), "r").cast("int")})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(upto("l"), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j"), F.lit(False).alias("left")))
+    left = F.transform(upto("r"), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    spots = F.explode(F.when(F.col("apart"), F.concat(right, left)).otherwise(right))
+    # A cell's name is one column: grouped by key and more, Spark would leave a run where a join by key has put it.
+    cell = F.concat_ws("/", F.hex("key"), "_at.i", "_at.j").alias("cell")
+    return met.withColumn("_at", spots).select(cell, "_at.left", "apart", *members.columns).groupBy("cell")
+
+
+class _Cell:
+    """One cell's rows, and for each left row the right rows it may link with."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        side = np.asarray(rows.column("left"))
+        self.sides = [np.flatnonzero(side), np.flatnonzero(~side)]
+        self.ids, self.n = np.asarray(rows.column("id")), np.asarray(rows.column("n"))
+        self.apart = np.asarray(rows.column("apart"))
+        _, self.part = np.unique(np.asarray(rows.column("component")), return_inverse=True)
+        self.hashes = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
+
+    def partners(self, a: int) -> np.ndarray:
+        """Right rows of another component than row ``a`` whose size and signature allow a link.
+
+        Of two rows outside the main component each is the left one once; the smaller id does the work.
+        """
+        r = self.sides[1]
+        r = r[(self.part[r] != self.part[a]) & (~self.apart[r] | (self.ids[r] > self.ids[a]))]
+        r = r[100 * np.minimum(self.n[r], self.n[a]) >= self.percent * np.maximum(self.n[r], self.n[a])]
+        return r[(self.hashes[r] == self.hashes[a]).mean(axis=1) >= PLAUSIBLE * self.percent / 100] if len(r) else r
+
+
+def _hopeful(percent: int):
+    """Rows of a cell that have a plausible partner there."""
+
+    def run(rows):
+        cell, held = _Cell(rows, percent), np.zeros(rows.num_rows, bool)
+        for a in cell.sides[0]:
+            found = cell.partners(a)
+            held[found] = True
+            held[a] |= len(found) > 0
+        ids = np.unique(cell.ids[held])
+        return pa.table({"key": pa.array([rows.column("key")[0].as_py()] * len(ids), pa.binary()), "id": pa.array(ids, pa.int64())})
+
+    return run
+
+
+def _unite(percent: int):
+    """Links on full sets that unite components of a cell."""
+
+    def run(rows):
+        cell = _Cell(rows, percent)
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for c in rows.column("own").chunks for x in c]
+        _, places = np.unique(np.concatenate(own), return_inverse=True)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+        own = [places[a:b] for a, b in zip(bounds, bounds[1:])]
+        flag, a_ids, b_ids = np.zeros(int(places.max()) + 1, np.int64), [], []
+        for a in cell.sides[0]:
+            r = cell.partners(a)
+            if not len(r):
+                continue
+            flag[own[a]] = 1
+            lengths = np.array([len(own[b]) for b in r])
+            both = np.add.reduceat(flag[np.concatenate([own[b] for b in r])], np.cumsum(lengths) - lengths)
+            flag[own[a]] = 0
+            for b in r[100 * both >= percent * (len(own[a]) + lengths - both)]:
+                if cell.part[b] != cell.part[a]:
+                    cell.part[cell.part == cell.part[b]] = cell.part[a]
+                    a_ids.append(int(cell.ids[a]))
+                    b_ids.append(int(cell.ids[b]))
+        return pa.table({"a": pa.array(a_ids, pa.int64()), "b": pa.array(b_ids, pa.int64())})
+
+    return run
+
+
+def dense_links(classes: DataFrame, parts: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int, trees: tuple[int, int]) -> DataFrame:
+    """Links ``a, b`` between components that share a run of equal least prefixes in one of the ``trees``."""
+    step = 2 * DEPTH
+    keys = [F.concat(F.lit(bytes([t])), F.substring("signature", 1 + t * step, 2 * LEAST_DEPTH)) for t in range(*trees)]
+    placed = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    slim = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component")
+    # Up to BEST neighbours of a row have all been candidates.
+    runs = cut_lineage(mixed_runs(slim, SLIM_ROWS, BEST + 2))
+    if runs.isEmpty():
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    members = slim.join(runs.select("key"), "key", "left_semi").join(classes, "id")
+    hopeful = cells(members, runs).applyInArrow(_hopeful(percent), "key binary, id long").distinct()
+    # Only rows with a plausible partner take their full sets along.
+    members = cut_lineage(members.join(hopeful, ["key", "id"]))
+    pairs = members.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    if members.isEmpty():
+        return pairs
+    members = members.join(full_sets(pairs, docs, doc_id, text, width), "id")
+    return cut_lineage(cells(members, cut_lineage(mixed_runs(members, FULL_ROWS))).applyInArrow(_unite(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -351,8 +471,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rest = found.join(first, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
     more = cut_lineage(confirmed(rest, sets, percent))
+    links = links.union(more)
     if not more.isEmpty():
-        parts = least_reachable(links.union(more))
+        parts = cut_lineage(least_reachable(links))
+    for trees in ROUNDS:
+        more = dense_links(one_each, parts, docs, doc_id, text, words, percent, trees)
+        if not more.isEmpty():
+            links = links.union(more)
+            parts = cut_lineage(least_reachable(links))
 
     classes = classes.join(parts, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     linked = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "n", "component")
