@@ -142,6 +142,21 @@ def test_links_of_vectors(spark, leaf_rows):
     assert all(r.kept == (r.component_id == r.vec_id) for r in out.values())
 
 
+def test_links_of_a_cluster_far_larger_than_a_leaf(spark):
+    rng = np.random.default_rng(4)
+    n, dim = 10_000, 64
+    centre = rng.normal(size=dim)
+    x = np.concatenate((centre + 0.2 * rng.normal(size=(n, dim)), rng.normal(size=(2 * n, dim)))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    out = {r.vec_id: r for r in vector_forest.near_vectors(vectors).collect()}
+    unit = vector_forest.unit(x)
+    close = np.array([np.count_nonzero(unit[i] @ unit.T >= 0.93) - 1 for i in range(0, n, 50)])
+    found = np.array([out[i].n_links for i in range(0, n, 50)])
+    assert close.mean() > 0.5 * n and (found <= close).all()
+    assert found.sum() >= 0.99 * close.sum()
+    assert {out[i].component_id for i in range(0, n, 50)} == {0}
+
+
 def test_odd_vectors(spark):
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (6, [None, 1.0], 1)]
     rows += [(7, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (8, [1e300, 0.0], 1), (9, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (10, [1.0, 0.0], None)]
