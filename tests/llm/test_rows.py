@@ -80,6 +80,17 @@ def test_disclosing_terms(spark, docs_of, no_docs):
     assert pii.detect(no_docs).count() == 0
 
 
+def test_disclosing_terms_everywhere(docs_of):
+    """A disclosing term is found far from its address, and in a text without any."""
+    texts = [f"see the mailbox u{i}@x.org now " + "and so on " * 30 + "by Mailbox" for i in range(8)]
+    texts += ["İ the Mailbox, alone; mailbox_x mailbox"] + [f"the plain text number {i} and now see so on rest by" for i in range(400)]
+    out = {r.doc_id: r for r in pii.detect(docs_of(texts)).collect()}
+    for i, t in enumerate(texts[:9]):
+        places = [(m.start(), m.end()) for m in re.finditer(r"(?i)\bmailbox(?!_)", t)]
+        assert len(places) == 2 and [(s.start, s.end) for s in out[i].terms if s.kind == "remove"] == places, i
+    assert not any(out[i].terms for i in range(9, len(texts)))
+
+
 def counts_of(text):
     w = WORD.findall(text or "")
     seen = collections.Counter(zip(w, w[1:], w[2:]))

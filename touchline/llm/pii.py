@@ -6,9 +6,13 @@ is what there is to hide. The ratio is 1 if t occurs with c alone and 0 if it sa
 different entities are generalised from one threshold on and removed from a higher one. A repeated copy of one text adds
 no entity, so copies cannot make a term suspicious.
 
+The context only tells which terms disclose; a disclosing term is then found wherever it stands in any text, with or
+without an entity beside it, and gets the strictest of its actions.
+
 Everything on the rows is DataFrame functions. The base pass reads each text once into a narrow checkpointed table;
 document frequencies are one map-side combined count over all words of all texts. Context rows are few; they meet the
-frequencies in a join on the term, of which each side has one row.
+frequencies in a join on the term, of which each side has one row. A last pass places all terms of all texts and keeps
+the disclosing ones by a join on the term, broadcast if they are few enough; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ GENERALISE, REMOVE = 0.6, 0.9
 SUPPORT = 5
 #: A span's context: this many terms on each side, within so many code points.
 CONTEXT_TERMS, CONTEXT_CHARS = 4, 80
+#: Disclosing terms that are broadcast at most.
+BROADCAST_TERMS = 1_000_000
 TERM = r"""[^\x20\x09-\x0D.,;:!?"()]+"""
 TERM_GAP = r"""[\x20\x09-\x0D.,;:!?"()]+"""
 _BLOCK = 64
@@ -153,6 +159,10 @@ def _context(text: Column, spans: Column) -> Column:
     return F.filter(near, lambda m: ~F.exists(spans, lambda s: (m["start"] < s["end"]) & (s["start"] < m["end"])))
 
 
+def _digest(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(F.reverse(text)).alias("b"), F.length(text).alias("n"))
+
+
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Narrow checkpointed table, a row per document: ``doc_id, digest, base, context``.
 
@@ -162,12 +172,11 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     picked = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_text"))
     spanned = picked.withColumn("base", base_spans(F.col("_text")))
     some = F.size("base") > 0
-    digest = F.struct(F.xxhash64("_text").alias("a"), F.hash(F.reverse("_text")).alias("b"), F.length("_text").alias("n"))
     none = F.array().cast("array<struct<kind:string,entity:bigint,term:string,start:int,end:int>>")
     return cut_lineage(
         spanned.select(
             "doc_id",
-            F.when(some, digest).alias("digest"),
+            _digest(F.col("_text")).alias("digest"),
             F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"),
             F.when(some, _context(F.col("_text"), F.col("base"))).otherwise(none).alias("context"),
         )
@@ -197,12 +206,22 @@ def disclosures(docs: DataFrame, found: DataFrame, *, text: str = "text", genera
     return judged.select("kind", "term", "support", "disclosure", action.alias("action"))
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """``digest, terms``: spans ``<kind, start, end>`` of disclosing terms in each text, kind ``generalise`` or ``remove``."""
-    near = found.filter(F.size("context") > 0).select("digest", "context").dropDuplicates(["digest"])
-    near = near.select("digest", F.explode("context").alias("c")).select("digest", "c.*")
-    hit = near.join(terms, ["kind", "term"]).groupBy("digest", "start", "end").agg(F.max("action").alias("kind"))
-    return hit.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, *, text: str = "text") -> DataFrame:
+    """``digest, terms``: spans ``<kind, start, end>`` of disclosing terms in each text, kind ``generalise`` or ``remove``.
+
+    Every place of a term counts that touches no base span.
+    """
+    judged = cut_lineage(terms.groupBy("term").agg(F.max("action").alias("kind")))
+    if judged.count() <= BROADCAST_TERMS:
+        judged = F.broadcast(judged)
+    t = F.coalesce(F.col(text), F.lit(""))
+    placed = docs.select(t.alias("_text")).select(_digest(F.col("_text")).alias("digest"), F.explode(matches(F.col("_text"), TERM)).alias("m"))
+    placed = placed.select("digest", F.lower("m.value").alias("term"), "m.start", "m.end")
+    hit = placed.join(judged, "term").groupBy("digest", "start", "end").agg(F.max("kind").alias("kind"))
+    hit = hit.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+    spans = found.filter(F.size("base") > 0).select("digest", "base").dropDuplicates(["digest"])
+    free = F.filter("terms", lambda m: ~F.exists("base", lambda s: (m["start"] < s["end"]) & (s["start"] < m["end"])))
+    return hit.join(spans, "digest", "left").select("digest", F.when(F.col("base").isNull(), F.col("terms")).otherwise(free).alias("terms"))
 
 
 def detect(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -212,11 +231,10 @@ def detect(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
     copies get the same spans. An empty table gives an empty one.
     """
     found = find(docs, doc_id=doc_id, text=text)
-    terms = term_spans(found, disclosures(docs, found, text=text, **options)).withColumnRenamed("digest", "_d")
+    terms = term_spans(docs, found, disclosures(docs, found, text=text, **options), text=text).withColumnRenamed("digest", "_d")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    plain = found.filter(F.size("context") == 0).select("doc_id", "base", none.alias("terms"))
-    near = found.filter(F.size("context") > 0).join(terms, F.col("digest") == F.col("_d"), "left")
-    return plain.union(near.select("doc_id", "base", F.coalesce("terms", none).alias("terms")))
+    near = found.join(terms, F.col("digest") == F.col("_d"), "left")
+    return near.select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:
