@@ -271,3 +271,13 @@ def test_components(spark):
     got = {r.id: r.component for r in least_reachable(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[500] == 0 and got[100] == 98 and got[1099] == 1000
     assert least_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dictionary_does_not_depend_on_the_sample(docs_of):
+    """Words and transitions are those of all texts, however few documents the forest is fitted on; copies count once."""
+    texts = [f"some plain words number {i} with key{'z' if i % 50 == 0 else ''} password: x{i}Yz9{i}kQ7" for i in range(400)]
+    texts += ["copied gibberish"] * 10 + [None]
+    every, _ = secrets.learn(docs_of(texts))
+    few, _ = secrets.learn(docs_of(texts), rows=20)
+    assert few.words == every.words and (few.bigrams == every.bigrams).all()
+    assert {"plain", "keyz"} <= few.words and "gibberish" not in few.words

@@ -4,7 +4,9 @@ Candidates are long mixed strings, and values assigned to a name. The forest see
 transitions, how much of them dictionary words cover, path signs, and the words beside them. It is trained with Spark ML
 on labelled findings of a bounded sample of documents: a finding is labelled a secret where its form is beyond doubt (a
 provider's key format, a private key, an assignment to a telling name) and its value is no dictionary text, and a false
-positive otherwise. The dictionary and the character transitions come from the same sample.
+positive otherwise. The dictionary and the character transitions come from all documents, by a combined count; a word is
+in the dictionary from a share of the different texts on, so its size is bounded by the words of a text over that share,
+whatever the size of the table.
 
 Scoring is a scan and a narrow map: the fitted trees (a few hundred nodes) travel with the function.
 """
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import table, text_last
 
-#: Documents the forest is trained on, words of the dictionary at most, sampled documents a word must be in.
-TRAIN_DOCS, MOST_WORDS, LEAST_TEXTS = 20_000, 50_000, 3
+#: Documents the forest is trained on, texts a word of the dictionary must be in, at least and as a share.
+TRAIN_DOCS, LEAST_TEXTS, LEAST_SHARE = 20_000, 3, 3 / 20_000
+#: Digests of copied texts that are broadcast at most, words a task counts before it hands them on.
+BROADCAST_IDS, HELD_WORDS = 1_000_000, 200_000
 TREES, TREE_DEPTH, SEED = 20, 6, 7
 SECRET_FROM = 0.5
 
@@ -188,22 +192,49 @@ class Forest:
         return total / len(self.trees) if self.trees else 0.0
 
 
+def _different(docs: DataFrame, text: str) -> DataFrame:
+    """``text``: each text once. Only texts that have copies are shuffled."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(t.alias("text")).withColumn("digest", F.struct(F.xxhash64("text"), F.xxhash64(F.reverse("text"))))
+    copied = cut_lineage(rows.groupBy("digest").count().filter("count > 1").select("digest"))
+    if copied.count() <= BROADCAST_IDS:
+        copied = F.broadcast(copied)
+    once = rows.join(copied, "digest", "left_anti").select("text")
+    return once.union(rows.join(copied, "digest", "left_semi").select("text").distinct())
+
+
+def _words(batches):
+    """Texts that each word is in, and under a null word the number of texts."""
+
+    def out(counts, texts):
+        return pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), texts], pa.int64())], names=["word", "n"])
+
+    found, texts = Counter(), 0
+    for batch in batches:
+        for x in batch.column("text"):
+            found.update(set(_WORD.findall(x.as_py().lower())))
+            texts += 1
+            if len(found) >= HELD_WORDS:
+                yield out(found, texts)
+                found, texts = Counter(), 0
+    yield out(found, texts)
+
+
+def dictionary(docs: DataFrame, *, text: str = "text") -> Lexicon:
+    """Words and character transitions of all documents (equal texts count once)."""
+    counted = cut_lineage(_different(docs, text).mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    texts = counted.filter("word is null").first()["n"] if not counted.isEmpty() else 0
+    held = counted.filter(F.col("word").isNotNull() & (F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * texts)))
+    return Lexicon.of([tuple(r) for r in held.orderBy(F.desc("n"), "word").collect()])
+
+
 def learn(docs: DataFrame, *, text: str = "text", rows: int = TRAIN_DOCS) -> tuple[Lexicon, Forest]:
-    """Dictionary and forest from about ``rows`` documents, drawn by a hash of the text (equal texts count once)."""
+    """Dictionary of all documents, and forest from about ``rows`` of them, drawn by a hash of the text (equal texts count once)."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = docs.count()
     drawn = docs.select(t.alias("text")).filter(F.xxhash64("text").cast("double") / 2.0**64 + 0.5 < rows / max(1, n)).dropDuplicates(["text"])
     drawn = cut_lineage(drawn)
-
-    def words(batches):
-        for batch in batches:
-            found = Counter()
-            for x in batch.column("text"):
-                found.update(set(_WORD.findall(x.as_py().lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    held = drawn.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
-    lexicon = Lexicon.of([tuple(r) for r in held.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()])
+    lexicon = dictionary(docs, text=text)
     found = cut_lineage(drawn.mapInArrow(_training(lexicon), "x array<double>, label double"))
     seen = {r[0] for r in found.select("label").distinct().collect()}
     if len(seen) < 2:
