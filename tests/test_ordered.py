@@ -42,22 +42,23 @@ def test_chunks_do_not_change_features(skewed, build):
     assert rows(build(skewed, chunk_rows=11)) == rows(build(skewed, split_hot_keys=False))
 
 
-def test_form_matches_the_recurrence(skewed):
-    got = {(r.team, r.match_id): r.form for r in ft.form(skewed, block=16, chunk_rows=50).collect()}
+@pytest.mark.parametrize("decay", [0.5, 0.9])
+def test_form_matches_the_recurrence_when_cut(skewed, decay):
+    got = {(r.team, r.match_id): r.form for r in ft.form(skewed, decay=decay, chunk_rows=50).collect()}
     data = {}
     for r in sorted(skewed.select("team", "match_date", "match_id", "points").collect(), key=lambda r: (r.match_date, r.match_id)):
         data.setdefault(r.team, []).append((r.match_id, r.points))
     for team, matches in data.items():
         state = None
         for match_id, points in matches:
-            assert got[team, match_id] == pytest.approx(1.5 if state is None else state, abs=0.9**48 * 4)
-            state = float(points) if state is None else 0.9 * state + 0.1 * points
+            assert got[team, match_id] == pytest.approx(1.5 if state is None else state, abs=1e-9)
+            state = float(points) if state is None else decay * state + (1 - decay) * points
 
 
-def test_form_default_block_is_exact(tables):
-    a = {(r.team, r.match_id): r.form for r in ft.form(tables.team).collect()}
-    b = {(r.team, r.match_id): r.form for r in ft.form(tables.team, block=64).collect()}
-    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+def test_form_does_not_depend_on_chunks(tables):
+    whole = {(r.team, r.match_id): r.form for r in ft.form(tables.team, split_hot_keys=False).collect()}
+    cut = {(r.team, r.match_id): r.form for r in ft.form(tables.team, chunk_rows=7).collect()}
+    assert whole.keys() == cut.keys() and all(whole[k] == pytest.approx(cut[k], abs=1e-9) for k in whole)
 
 
 def test_no_leak_from_the_future(tables):

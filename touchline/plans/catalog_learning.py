@@ -16,9 +16,9 @@ ORDER = ["match_date", "match_id"]
 INPUTS = ["home_goals_for_avg5", "home_goals_against_avg5", "away_goals_for_avg5", "away_goals_against_avg5", "home_rest_days", "h2h_avg_goals"]
 
 
-def matrix(t):
+def matrix(t, *inputs):
     """The matches with the fits' inputs as a written table, so fits do not replay its windows."""
-    return cut_lineage(flows.feature_matrix(t.contests, ordered=False).select(*t.contests.columns, *INPUTS))
+    return cut_lineage(flows.feature_matrix(t.contests, ordered=False).select(*t.contests.columns, *(inputs or INPUTS)))
 
 
 @query(
@@ -110,8 +110,9 @@ def _(t):
 
 @query("c08_fit_negative_binomial")
 def _(t):
-    rows = matrix(t)
-    model = ml.fit_negative_binomial(rows, ["home_corners_for_avg5", "away_corners_against_avg5"], "home_corners", ORDER)
+    inputs = ["home_corners_for_avg5", "away_corners_against_avg5"]
+    rows = matrix(t, *inputs)
+    model = ml.fit_negative_binomial(rows, inputs, "home_corners", ORDER)
     scored = rows.withColumn("rate", model.rate())
     out = scored.select("match_id", "rate", model.range_probability(0, 5, F.col("rate")).alias("p_0_5"), model.range_probability(6, 12, F.col("rate")).alias("p_6_12"))
     return rounded(out, "rate", "p_0_5", "p_6_12")
