@@ -51,6 +51,40 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), GAP_JAVA, -1), "")
 
 
+def matches(pattern: re.Pattern, raw: bytes, size: int = 1 << 20):
+    """Lists of the matches of a run ``[...]+`` of bytes, about ``size`` bytes of the text at a time; none is cut."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + size)
+        if rest := pattern.match(raw, end):
+            end = rest.end()
+        yield pattern.findall(raw, at, end)
+        at = end
+
+
+def binaries(column):
+    """The UTF-8 bytes of an Arrow column of strings, a null as none."""
+    import pyarrow as pa
+
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``name``: position from 1 in the order of all rows. A range shuffle; the rows before a partition are a sum over
+    one row per partition. Rows that are equal in ``order`` follow each other in any order."""
+    spark, at = df.sparkSession, spare("_at", df)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = cut_lineage(sorted_.withColumn(at, F.monotonically_increasing_id()))
+    part, before, seen = F.shiftright(at, 33), [], 0
+    for p, n in sorted(sorted_.groupBy(part.alias("p")).count().collect()):
+        before.append((p, seen))
+        seen += n
+    offsets = spark.createDataFrame(before, "_part long, _before long")
+    placed = sorted_.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left")
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return placed.withColumn(name, place).select(*df.columns, name)
+
+
 def spare(name: str, *frames: DataFrame) -> str:
     """``name``, made longer until no column of the frames is called so."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, minhash_forest, mixing, pii, quality, secrets, token_counts, toxicity, url_filter, vector_forest
+from . import bpe_trie, divergence, fingerprints, importance, minhash_forest, mixing, pii, quality, secrets, token_counts, toxicity, url_filter, vector_forest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_projection_forest": vector_forest.op8_projection_forest,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_minhash_forest": minhash_forest.op10_minhash_forest,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_rare_feature_digest": fingerprints.op12_rare_feature_digest,
+        "op13_divergence_audit": divergence.op13_divergence_audit,
     }
 
 
 def checks() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.OP2_SQL}
+    return {
+        "op2_url_filter": url_filter.OP2_SQL,
+        "op11_importance_resampling": importance.OP11_SQL,
+        "op13_divergence_audit": divergence.OP13_SQL,
+    }
