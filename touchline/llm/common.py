@@ -69,6 +69,16 @@ def binaries(column):
     return (x.as_py() or b"" for x in column.cast(pa.binary()))
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of frames that are not read any more. Their shuffles go when Spark collects them."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``name``: position from 1 in the order of all rows. A range shuffle; the rows before a partition are a sum over
     one row per partition. Rows that are equal in ``order`` follow each other in any order."""
@@ -100,29 +110,30 @@ def text_last(docs: DataFrame, keep: list[str], text: str, made: dict[str, str])
     return picked, picked.drop(name).withColumns({c: F.lit(None).cast(kind) for c, kind in made.items()}).schema
 
 
-def least_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def least_reachable(links: DataFrame) -> DataFrame:
     """Smallest id that links reach: ``(id, component)`` for each id that has a link.
 
     ``links`` has two long columns ``a`` and ``b``. Alternates large-star and small-star steps (Kiveris et al. 2014);
     minima are combined on the map side and each step is a join with one row per id, which Spark can split for a hub.
-    The number of rounds is logarithmic; each is checkpointed, so a lost executor costs one round at most.
+    The number of rounds is logarithmic; each is checkpointed, so a lost executor costs one round at most, and the round
+    before is deleted.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     edges = cut_lineage(edges)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = edges.filter("a > b").distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        hung = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-        edges = cut_lineage(hung.union(low.select("a", F.col("m").alias("b"))).distinct())
+        met = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        met = met.filter("a > b").distinct()
+        low = met.groupBy("a").agg(F.min("b").alias("m"))
+        hung = met.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        after = cut_lineage(hung.union(low.select("a", F.col("m").alias("b"))).distinct())
+        release(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

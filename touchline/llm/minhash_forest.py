@@ -15,10 +15,12 @@ Steps, all on narrow tables but the first and the confirmation:
 4. each class's most alike candidates are confirmed first and components are formed; then all other candidates whose
    ends are still apart. A link inside a component changes nothing, so nothing is lost that the forest has found;
 5. components by alternating star contraction;
-6. dense regions: in every run of equal least prefixes that is larger than what a row is paired with, all rows outside
-   the run's largest component are compared with all rows of the run, block by block in tasks of their own. Signatures
-   go first; rows with a plausible partner are compared on their full sets. A block gives the links that unite its
-   components, so what comes out does not grow with the square of a run, though the comparisons of a run do.
+6. dense regions: in a run of equal least prefixes that is larger than what a row is paired with, the forest has not met
+   all pairs. Signatures alone go into such runs, block by block: rows outside the run's largest component against all.
+   Rows that may link across components, by whatever chain of such pairs, form a region. Then the full sets of a region's
+   rows meet once, whatever the number of trees: rows outside its largest component against all, in blocks of a bounded
+   number of shingles, each block giving the links that unite its components. Comparisons grow with the square of a
+   region, and so do the copies of its rows once it is larger than a block; what comes out does not.
 
 A hub or a group of copies never meets in one task: joins have one row per key on one side, and sums are combined first.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SEPARATORS, least_reachable, spare, table
+from .common import SEPARATORS, least_reachable, ranked, release, spare, table
 
 #: The forest: trees, hashes in a tree's slice, hashes that neighbours must share, neighbours looked at on each side.
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 20, 8, 3, 16
@@ -48,9 +50,8 @@ PLAUSIBLE = 0.84
 WORDS, PERCENT = 5, 80
 #: Ids that are broadcast at most; beyond that texts meet them in a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Rows of a side that are compared together in a dense run, by signatures and by full sets, and the trees whose runs are
-#: gone through together: later ones find little left apart.
-SLIM_ROWS, FULL_ROWS, ROUNDS = 2048, 512, ((0, 1), (1, 4), (4, TREES))
+#: Rows of a side of a block of signatures, shingles of a side of a block of full sets.
+SLIM_ROWS, FULL_SHINGLES = 4096, 1_000_000
 #: Bytes of text hashed together.
 RUN_BYTES = 1 << 20
 
@@ -149,17 +150,21 @@ def _text_runs(batch):
         i = j
 
 
+def _digest(own: np.ndarray) -> tuple[np.int64, np.int64]:
+    """128 bits that name a set of shingles."""
+    return own.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(_mix(own + np.uint64(1))).view(np.int64)
+
+
 def _profiles(width: int):
     def run(batches):
         for batch in batches:
             for i, j, raw, bounds in _text_runs(batch):
                 hashes, starts = shingles(raw, bounds, width)
-                sizes, adds, xors = (np.zeros(j - i, t) for t in (np.int64, np.uint64, np.uint64))
+                sizes, adds, xors = (np.zeros(j - i, np.int64) for _ in range(3))
                 for k in range(j - i):
                     own = np.unique(hashes[starts[k] : starts[k + 1]])
                     sizes[k] = len(own)
-                    adds[k] = own.sum(dtype=np.uint64)
-                    xors[k] = np.bitwise_xor.reduce(_mix(own + np.uint64(1)))
+                    adds[k], xors[k] = _digest(own)
                 some = np.flatnonzero(sizes)
                 found: list[bytes | None] = [None] * (j - i)
                 if len(some):
@@ -168,7 +173,7 @@ def _profiles(width: int):
                         found[k] = row.tobytes()
                 ids = batch.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes), pa.array(adds.view(np.int64)), pa.array(xors.view(np.int64)), pa.array(found, pa.binary())],
+                    [ids, pa.array(sizes), pa.array(adds), pa.array(xors), pa.array(found, pa.binary())],
                     names=["id", "n", "d1", "d2", "signature"],
                 )
 
@@ -288,8 +293,9 @@ def _sets(width: int):
         for batch in batches:
             for i, j, raw, bounds in _text_runs(batch):
                 hashes, starts = shingles(raw, bounds, width)
-                own = [np.unique(hashes[starts[k] : starts[k + 1]]).tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], names=["id", "own"])
+                own = [np.unique(hashes[starts[k] : starts[k + 1]]) for k in range(j - i)]
+                named = [pa.array(d, pa.int64()) for d in zip(*(_digest(x) for x in own))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *named, pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "d1", "d2", "own"])
 
     return run
 
@@ -307,15 +313,19 @@ def _confirm(percent: int):
     return run
 
 
-def full_sets(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """``id, own``: the full set of each document in ``pairs``. Only their texts are read on and shuffled."""
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "id long, own binary")
-    # Of texts with one id the largest set, which is the one its class has been named by.
-    return cut_lineage(sets.groupBy("id").agg(F.max(F.struct(F.length("own"), "own"))["own"].alias("own")))
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """``id, own``: the full set of each class in ``ids``. Only the texts of their first documents are read on."""
+    wanted = cut_lineage(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2"))
+    small = wanted.count() <= BROADCAST_IDS
+    held = wanted.select("doc").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("_text"))
+    texts = texts.join(F.broadcast(held) if small else held, "doc", "left_semi")
+    sets = texts.mapInArrow(_sets(width), "doc long, d1 long, d2 long, own binary")
+    met = sets.join(F.broadcast(wanted) if small else wanted, ["doc", "d1", "d2"])
+    # Repeated rows have one set.
+    out = cut_lineage(met.groupBy("id").agg(F.max("own").alias("own")))
+    release(wanted)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -325,16 +335,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def mixed_runs(members: DataFrame, block_rows: int, least: int = 2) -> DataFrame:
-    """``key, main, l, r``: runs of ``least`` rows, beyond which the forest has not met all pairs, and several components.
+def mixed_runs(members: DataFrame, block: int, least: int = 2) -> DataFrame:
+    """``key, main, l, r``: groups of ``least`` rows and several components.
 
-    ``main`` is the component with the most rows; ``l`` and ``r`` are the blocks of the rows outside it and of all rows.
+    ``main`` is the component with the most weight; ``l`` and ``r`` are the blocks of the rows outside it and of all rows,
+    so many that a block weighs about ``block``.
     """
-    sizes = members.groupBy("key", "component").count()
-    runs = sizes.groupBy("key").agg(F.sum("count").alias("c"), F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+    runs = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("m"), F.count("*").alias("parts"))
     runs = runs.filter((F.col("parts") > 1) & (F.col("c") >= least))
-    blocks = lambda n: F.ceil(n / block_rows).cast("int")
-    return runs.select("key", F.col("m.component").alias("main"), blocks(F.col("c") - F.col("m.count")).alias("l"), blocks(F.col("c")).alias("r"))
+    blocks = lambda w: F.ceil(w / block).cast("int")
+    return runs.select("key", F.col("m.component").alias("main"), blocks(F.col("w") - F.col("m.w")).alias("l"), blocks(F.col("w")).alias("r"))
 
 
 def cells(members: DataFrame, runs: DataFrame):
@@ -363,28 +374,37 @@ class _Cell:
         _, self.part = np.unique(np.asarray(rows.column("component")), return_inverse=True)
         self.hashes = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
 
-    def partners(self, a: int) -> np.ndarray:
-        """Right rows of another component than row ``a`` whose size and signature allow a link.
+    def partners(self, a: int, group: np.ndarray) -> np.ndarray:
+        """Right rows of another component and group than row ``a`` whose size and signature allow a link.
 
         Of two rows outside the main component each is the left one once; the smaller id does the work.
         """
         r = self.sides[1]
-        r = r[(self.part[r] != self.part[a]) & (~self.apart[r] | (self.ids[r] > self.ids[a]))]
+        r = r[(group[r] != group[a]) & (self.part[r] != self.part[a]) & (~self.apart[r] | (self.ids[r] > self.ids[a]))]
         r = r[100 * np.minimum(self.n[r], self.n[a]) >= self.percent * np.maximum(self.n[r], self.n[a])]
         return r[(self.hashes[r] == self.hashes[a]).mean(axis=1) >= PLAUSIBLE * self.percent / 100] if len(r) else r
 
 
-def _hopeful(percent: int):
-    """Rows of a cell that have a plausible partner there."""
+def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _may_link(percent: int):
+    """Pairs that connect all rows of a cell which may link, by whatever chain of such pairs: a row less than rows."""
 
     def run(rows):
-        cell, held = _Cell(rows, percent), np.zeros(rows.num_rows, bool)
+        cell = _Cell(rows, percent)
+        # A row may stand on both sides.
+        _, group = np.unique(cell.ids, return_inverse=True)
+        found = []
         for a in cell.sides[0]:
-            found = cell.partners(a)
-            held[found] = True
-            held[a] |= len(found) > 0
-        ids = np.unique(cell.ids[held])
-        return pa.table({"key": pa.array([rows.column("key")[0].as_py()] * len(ids), pa.binary()), "id": pa.array(ids, pa.int64())})
+            r = cell.partners(a, group)
+            groups, first = np.unique(group[r], return_index=True)
+            if len(r):
+                found.append((np.full(len(first), cell.ids[a]), cell.ids[r[first]]))
+                group[np.isin(group, groups)] = group[a]
+        return _links(found)
 
     return run
 
@@ -398,44 +418,66 @@ def _unite(percent: int):
         _, places = np.unique(np.concatenate(own), return_inverse=True)
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in own])))
         own = [places[a:b] for a, b in zip(bounds, bounds[1:])]
-        flag, a_ids, b_ids = np.zeros(int(places.max()) + 1, np.int64), [], []
+        flag, found = np.zeros(int(places.max()) + 1, np.int64), []
         for a in cell.sides[0]:
-            r = cell.partners(a)
+            r = cell.partners(a, cell.part)
             if not len(r):
                 continue
             flag[own[a]] = 1
             lengths = np.array([len(own[b]) for b in r])
             both = np.add.reduceat(flag[np.concatenate([own[b] for b in r])], np.cumsum(lengths) - lengths)
             flag[own[a]] = 0
-            for b in r[100 * both >= percent * (len(own[a]) + lengths - both)]:
-                if cell.part[b] != cell.part[a]:
-                    cell.part[cell.part == cell.part[b]] = cell.part[a]
-                    a_ids.append(int(cell.ids[a]))
-                    b_ids.append(int(cell.ids[b]))
-        return pa.table({"a": pa.array(a_ids, pa.int64()), "b": pa.array(b_ids, pa.int64())})
+            r = r[100 * both >= percent * (len(own[a]) + lengths - both)]
+            parts, first = np.unique(cell.part[r], return_index=True)
+            if len(r):
+                found.append((np.full(len(first), cell.ids[a]), cell.ids[r[first]]))
+                cell.part[np.isin(cell.part, parts)] = cell.part[a]
+        return _links(found)
 
     return run
 
 
-def dense_links(classes: DataFrame, parts: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int, trees: tuple[int, int]) -> DataFrame:
-    """Links ``a, b`` between components that share a run of equal least prefixes in one of the ``trees``."""
+def dense_links(classes: DataFrame, parts: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components that share a run of equal least prefixes."""
     step = 2 * DEPTH
-    keys = [F.concat(F.lit(bytes([t])), F.substring("signature", 1 + t * step, 2 * LEAST_DEPTH)) for t in range(*trees)]
-    placed = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    slim = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component")
+    keys = [F.concat(F.lit(bytes([t])), F.substring("signature", 1 + t * step, 2 * LEAST_DEPTH)) for t in range(TREES)]
+    placed = classes.select("id", "n", "signature").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = cut_lineage(placed)
+    slim = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component", F.lit(1).alias("weight"))
     # Up to BEST neighbours of a row have all been candidates.
     runs = cut_lineage(mixed_runs(slim, SLIM_ROWS, BEST + 2))
     if runs.isEmpty():
         return classes.sparkSession.createDataFrame([], "a long, b long")
-    members = slim.join(runs.select("key"), "key", "left_semi").join(classes, "id")
-    hopeful = cells(members, runs).applyInArrow(_hopeful(percent), "key binary, id long").distinct()
-    # Only rows with a plausible partner take their full sets along.
-    members = cut_lineage(members.join(hopeful, ["key", "id"]))
-    pairs = members.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    if members.isEmpty():
-        return pairs
-    members = members.join(full_sets(pairs, docs, doc_id, text, width), "id")
-    return cut_lineage(cells(members, cut_lineage(mixed_runs(members, FULL_ROWS))).applyInArrow(_unite(percent), "a long, b long").distinct())
+    few = F.broadcast(runs.select("key")) if runs.count() <= BROADCAST_IDS else runs.select("key")
+    members = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component", "n", "signature").join(few, "key", "left_semi")
+    hoped = cut_lineage(cells(members, runs).applyInArrow(_may_link(percent), "a long, b long"))
+    regions = cut_lineage(least_reachable(hoped))
+    members = regions.select("id", F.hex("component").alias("key")).join(placed, "id").withColumn("weight", F.col("n"))
+    groups = cut_lineage(mixed_runs(members, FULL_SHINGLES))
+    sets = full_sets(regions, classes, docs, doc_id, text, width)
+    out = cut_lineage(cells(members.drop("weight").join(sets, "id"), groups).applyInArrow(_unite(percent), "a long, b long").distinct())
+    release(placed, runs, hoped, regions, groups, sets)
+    return out
+
+
+def named_classes(named: DataFrame) -> DataFrame:
+    """``id, doc, n, d1, d2, signature``: a row per different set, ``doc`` its smallest document id.
+
+    ``id`` is the class's name, ``doc`` where that names no other class; where one id has several texts, its other classes
+    get numbers below all ids.
+    """
+    classes = named.groupBy("n", "d1", "d2").agg(F.min("id").alias("doc"), F.min("signature").alias("signature"))
+    classes = cut_lineage(classes.withColumn("id", F.col("doc")))
+    shared = classes.groupBy("doc").count().filter("count > 1").select("doc")
+    if shared.isEmpty():
+        return classes
+    lowest = classes.agg(F.min("doc")).first()[0]
+    several = classes.join(shared, "doc", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("n", "d1", "d2"))
+    several = several.withColumn("_nth", nth)
+    others = ranked(several.filter("_nth > 1").select("doc", "n", "d1", "d2"), [F.col(c) for c in ("doc", "n", "d1", "d2")], "_place")
+    made = classes.join(others, ["doc", "n", "d1", "d2"], "left").withColumn("id", F.when(F.col("_place").isNull(), F.col("doc")).otherwise(lowest - F.col("_place")))
+    return cut_lineage(made.select(*classes.columns))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -449,16 +491,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     rows = cut_lineage(profiles(docs, doc_id, text, words))
     named = rows.filter("id is not null and n > 0")
-    classes = named.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
+    classes = named_classes(named)
     # Ids that stand in several classes (one id, different texts) tie them together.
-    classes = cut_lineage(classes)
     twice = named.groupBy("id").agg(F.count_distinct("n", "d1", "d2").alias("c")).filter("c > 1").select("id")
     tied = named.join(twice, "id", "left_semi").join(classes.select("n", "d1", "d2", F.col("id").alias("class")), ["n", "d1", "d2"])
-    ties = tied.select(F.col("id").alias("a"), F.col("class").alias("b")).filter("a <> b")
+    least = tied.groupBy("id").agg(F.min("class").alias("b"))
+    ties = tied.join(least, "id").select(F.col("class").alias("a"), "b").filter("a <> b")
 
-    one_each = classes.groupBy("id").agg(F.max(F.struct("n", "signature")).alias("c")).select("id", "c.*")
-    found = cut_lineage(plausible(candidates(one_each), one_each, percent))
-    sets = full_sets(found, docs, doc_id, text, words)
+    met = candidates(classes)
+    found = cut_lineage(plausible(met, classes, percent))
+    sets = full_sets(found.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, doc_id, text, words)
     ends = found.union(found.select("b", "a", "alike"))
     # A class has a bounded number of candidates: BEST in each tree, and those it is best for.
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
@@ -471,15 +513,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rest = found.join(first, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
     more = cut_lineage(confirmed(rest, sets, percent))
+    release(found, sets, first)
     links = links.union(more)
     if not more.isEmpty():
         parts = cut_lineage(least_reachable(links))
-    for trees in ROUNDS:
-        more = dense_links(one_each, parts, docs, doc_id, text, words, percent, trees)
-        if not more.isEmpty():
-            links = links.union(more)
-            parts = cut_lineage(least_reachable(links))
+    more = dense_links(classes, parts, docs, doc_id, text, words, percent)
+    if not more.isEmpty():
+        parts = cut_lineage(least_reachable(links.union(more)))
 
+    if not twice.isEmpty():
+        # A class whose first document's id names another class too has a made-up name: the smallest id is looked up.
+        placed = classes.join(parts, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "doc")
+        least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+        parts = cut_lineage(placed.join(least, "component").select("id", F.col("least").alias("component")))
     classes = classes.join(parts, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     linked = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "n", "component")
     alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
