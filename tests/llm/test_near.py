@@ -216,3 +216,29 @@ def test_clashing_names(spark, real):
         assert out.count() == 40 and len(set(out.columns)) == len(out.columns)
     for out in (quality.keep_good(docs), minhash_forest.keep_one(docs), mixing.in_training_order(docs)):
         assert out.columns == docs.columns and 0 < out.count() <= 120
+
+
+def test_texts_of_one_id_are_classes_of_their_own(spark):
+    """Near copies of either text of a repeated id are found, whichever has the larger set."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 90)))
+    rows = [(2, a), (2, b), (9, b + " more"), (7, "more " + a), (8, a), (5, "u v w x y z"), (5, "q r s t u v"), (6, "q r s t u v"), (5, "l m n o p q")]
+    out = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(2, 2), (9, 2), (7, 2), (8, 2), (5, 5), (6, 5)}
+
+
+@pytest.mark.parametrize("slim, full", [(4096, 1_000_000), (16, 3_000)])
+def test_dense_regions_against_all_pairs(docs_of, monkeypatch, slim, full):
+    """With hardly any neighbours looked at, regions find what the sorted orders missed, in blocks of any size."""
+    rng = random.Random(slim)
+    for name, value in (("NEIGHBOURS", 1), ("BEST", 1), ("FIRST", 1), ("SLIM_ROWS", slim), ("FULL_SHINGLES", full)):
+        monkeypatch.setattr(minhash_forest, name, value)
+    texts = []
+    for g in range(3):
+        base = [f"w{rng.randrange(900)}" for _ in range(200)]
+        texts += [edited(rng, base, rng.choice([0.01, 0.02, 0.03, 0.04])) for _ in range(120)]
+    # A common opening, unlike bodies.
+    texts += [" ".join(["all rights reserved"] * 4) + " " + " ".join(f"t{rng.randrange(9000)}" for _ in range(60)) for _ in range(60)]
+    expected = components({i: shingles(t, 3) for i, t in enumerate(texts)}, 85)
+    out = minhash_forest.near_duplicates(docs_of(texts), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in out} == expected
+    assert 20 < len(set(expected.values())) < len(texts)

@@ -181,6 +181,25 @@ def test_mix_targets_are_capped(docs_of, spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_targets_follow_the_integral_of_the_schedule(spark, real):
+    """Ramps that do not average 1 change the shares; demand at a copy's position is what comes before it."""
+    docs, _ = real
+    ramps = ((2.0, 1.0), (0.2, 0.4), (1.0, 3.0))
+    weights = (1.0, 2.0)
+    rows = mixing.mix(docs, weights=weights, ramps=ramps[:2], most=1000).collect()
+    size = {r.source: r.source_size for r in rows}
+    whole = {s: weights[i % 2] * sum(ramps[i % 2]) / 2 for i, s in enumerate(sorted(size))}
+    for r in rows:
+        assert r.target == pytest.approx(sum(size.values()) * whole[r.source] / sum(whole.values()))
+    placed = sorted((p, r) for r in rows for p in r.passes if r.source == min(size))
+    before = 0
+    for p, r in placed:
+        asked = (2.0 * p - p * p / 2) / 1.5 * r.target
+        # Ten documents: words come in lumps.
+        assert abs(asked - before - r.size / 2) < 0.1 * r.target
+        before += r.size
+
+
 def test_training_order(docs_of, real):
     texts = list(real[1].values())[:60] + ["same text here"] * 3
     docs = docs_of(texts).union(docs_of(texts[:5]))

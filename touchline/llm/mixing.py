@@ -62,15 +62,15 @@ def sizes(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def targets(totals: DataFrame, weights=WEIGHTS, ramps=RAMPS, most=MOST_COPIES) -> DataFrame:
     """Adds ``target`` and the ramp to one row per source with ``source`` and ``source_size``.
 
-    A target stops at ``most`` times its source; the excess is reshared by weight. The fixed point is
+    A source's ``weight`` is the integral of its schedule over the training time: its weight times the mean of its ramp's
+    ends. A target stops at ``most`` times its source; the excess is reshared by weight. The fixed point is
     target = min(most * size, level * weight): with sources ordered by most * size / weight, the level follows from
     the running sums of the capped ones.
     """
     k = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     pick = lambda values: F.array(*[F.lit(float(v)) for v in values])[k.cast("int")]
-    out = totals.withColumns(
-        {"weight": pick(weights), "_from": pick([r[0] for r in ramps]), "_to": pick([r[1] for r in ramps])}
-    )
+    out = totals.withColumns({"_from": pick([r[0] for r in ramps]), "_to": pick([r[1] for r in ramps])})
+    out = out.withColumn("weight", pick(weights) * (F.col("_from") + F.col("_to")) / 2)
     cap = most * F.col("source_size")
     out = out.withColumns({"_cap": cap, "_full_at": cap / F.col("weight")})
     everything = Window.partitionBy()
@@ -214,5 +214,7 @@ def in_training_order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
 def op5_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    position = F.get("passes", F.lit(0)).alias("first_position")
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), position)
+    out = out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "key", F.col("passes").alias("positions"))
+    first = F.get("positions", F.lit(0))
+    ordered = out.withColumn("first_position", first).repartitionByRange("first_position", "key").sortWithinPartitions("first_position", "key")
+    return ordered.drop("key")
