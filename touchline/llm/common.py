@@ -69,14 +69,26 @@ def binaries(column):
     return (x.as_py() or b"" for x in column.cast(pa.binary()))
 
 
+#: Rows of a partition of a settled table.
+SETTLED_ROWS = 250_000
+
+
+def settle(df: DataFrame, rows: int = SETTLED_ROWS) -> DataFrame:
+    """Checkpoint, in as many partitions as its rows need: what a large table was cut down to does not keep the partitions
+    of the large one, nor do the stages and shuffles that read it."""
+    df = cut_lineage(df)
+    return df.coalesce(-(-df.count() // rows) or 1)
+
+
 def release(*frames: DataFrame) -> None:
-    """Delete the checkpoint files of frames that are not read any more. Their shuffles go when Spark collects them."""
+    """Delete the files of checkpoints that are not read any more. Their shuffles go when Spark collects them."""
     for df in frames:
-        plan = df._jdf.queryExecution().logical()
-        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
-        if file is not None and file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        leaves = df._jdf.queryExecution().logical().collectLeaves()
+        for i in range(leaves.size()):
+            file = leaves.apply(i).rdd().getCheckpointFile() if leaves.apply(i).getClass().getSimpleName() == "LogicalRDD" else None
+            if file is not None and file.isDefined():
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -119,16 +131,18 @@ def least_reachable(links: DataFrame) -> DataFrame:
     before is deleted.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    edges = cut_lineage(edges)
+    edges = settle(edges)
+    # Steps never make more rows than edges and their ends.
+    parts = edges.rdd.getNumPartitions()
     before = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         met = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        met = met.filter("a > b").distinct()
+        met = met.filter("a > b").coalesce(parts).distinct().coalesce(parts)
         low = met.groupBy("a").agg(F.min("b").alias("m"))
         hung = met.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-        after = cut_lineage(hung.union(low.select("a", F.col("m").alias("b"))).distinct())
+        after = cut_lineage(hung.union(low.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts))
         release(edges)
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

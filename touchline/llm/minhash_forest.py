@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SEPARATORS, least_reachable, ranked, release, spare, table
+from .common import SEPARATORS, least_reachable, ranked, release, settle, spare, table
 
 #: The forest: trees, hashes in a tree's slice, hashes that neighbours must share, neighbours looked at on each side.
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 20, 8, 3, 16
@@ -52,6 +52,8 @@ WORDS, PERCENT = 5, 80
 BROADCAST_IDS = 1_000_000
 #: Rows of a side of a block of signatures, shingles of a side of a block of full sets.
 SLIM_ROWS, FULL_SHINGLES = 4096, 1_000_000
+#: Rows of a partition of a settled table that holds signatures.
+WIDE_ROWS = 20_000
 #: Bytes of text hashed together.
 RUN_BYTES = 1 << 20
 
@@ -260,7 +262,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     width = 2 * DEPTH
     trees = F.explode(F.array(*[F.concat(F.lit(bytes([t])), F.substring("signature", 1 + t * width, width)) for t in range(TREES)]))
     ordered = classes.select(trees.alias("key"), "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    found = cut_lineage(ordered.mapInArrow(_neighbours, "what string, part int, a long, b long, key binary"))
+    found = settle(ordered.mapInArrow(_neighbours, "what string, part int, a long, b long, key binary"))
     # One row per partition, few enough for the driver: which one comes before which.
     parts = sorted(r[0] for r in found.filter("what = 'head'").select("part").distinct().collect())
     before = F.create_map(*itertools.chain(*[(F.lit(b), F.lit(a)) for a, b in zip(parts, parts[1:])])) if len(parts) > 1 else None
@@ -315,7 +317,7 @@ def _confirm(percent: int):
 
 def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """``id, own``: the full set of each class in ``ids``. Only the texts of their first documents are read on."""
-    wanted = cut_lineage(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2"))
+    wanted = settle(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2"))
     small = wanted.count() <= BROADCAST_IDS
     held = wanted.select("doc").distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("_text"))
@@ -442,20 +444,20 @@ def dense_links(classes: DataFrame, parts: DataFrame, docs: DataFrame, doc_id: s
     step = 2 * DEPTH
     keys = [F.concat(F.lit(bytes([t])), F.substring("signature", 1 + t * step, 2 * LEAST_DEPTH)) for t in range(TREES)]
     placed = classes.select("id", "n", "signature").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut_lineage(placed)
+    placed = settle(placed, WIDE_ROWS)
     slim = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component", F.lit(1).alias("weight"))
     # Up to BEST neighbours of a row have all been candidates.
-    runs = cut_lineage(mixed_runs(slim, SLIM_ROWS, BEST + 2))
+    runs = settle(mixed_runs(slim, SLIM_ROWS, BEST + 2))
     if runs.isEmpty():
         return classes.sparkSession.createDataFrame([], "a long, b long")
     few = F.broadcast(runs.select("key")) if runs.count() <= BROADCAST_IDS else runs.select("key")
     members = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component", "n", "signature").join(few, "key", "left_semi")
-    hoped = cut_lineage(cells(members, runs).applyInArrow(_may_link(percent), "a long, b long"))
-    regions = cut_lineage(least_reachable(hoped))
+    hoped = settle(cells(members, runs).applyInArrow(_may_link(percent), "a long, b long"))
+    regions = settle(least_reachable(hoped))
     members = regions.select("id", F.hex("component").alias("key")).join(placed, "id").withColumn("weight", F.col("n"))
-    groups = cut_lineage(mixed_runs(members, FULL_SHINGLES))
+    groups = settle(mixed_runs(members, FULL_SHINGLES))
     sets = full_sets(regions, classes, docs, doc_id, text, width)
-    out = cut_lineage(cells(members.drop("weight").join(sets, "id"), groups).applyInArrow(_unite(percent), "a long, b long").distinct())
+    out = settle(cells(members.drop("weight").join(sets, "id"), groups).applyInArrow(_unite(percent), "a long, b long").distinct())
     release(placed, runs, hoped, regions, groups, sets)
     return out
 
@@ -467,7 +469,7 @@ def named_classes(named: DataFrame) -> DataFrame:
     get numbers below all ids.
     """
     classes = named.groupBy("n", "d1", "d2").agg(F.min("id").alias("doc"), F.min("signature").alias("signature"))
-    classes = cut_lineage(classes.withColumn("id", F.col("doc")))
+    classes = settle(classes.withColumn("id", F.col("doc")), WIDE_ROWS)
     shared = classes.groupBy("doc").count().filter("count > 1").select("doc")
     if shared.isEmpty():
         return classes
@@ -477,7 +479,7 @@ def named_classes(named: DataFrame) -> DataFrame:
     several = several.withColumn("_nth", nth)
     others = ranked(several.filter("_nth > 1").select("doc", "n", "d1", "d2"), [F.col(c) for c in ("doc", "n", "d1", "d2")], "_place")
     made = classes.join(others, ["doc", "n", "d1", "d2"], "left").withColumn("id", F.when(F.col("_place").isNull(), F.col("doc")).otherwise(lowest - F.col("_place")))
-    return cut_lineage(made.select(*classes.columns))
+    return settle(made.select(*classes.columns), WIDE_ROWS)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -489,7 +491,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     id links what either links. A null id links with nothing, its component is null and it is kept. An empty table
     gives an empty one.
     """
-    rows = cut_lineage(profiles(docs, doc_id, text, words))
+    rows = settle(profiles(docs, doc_id, text, words), WIDE_ROWS)
     named = rows.filter("id is not null and n > 0")
     classes = named_classes(named)
     # Ids that stand in several classes (one id, different texts) tie them together.
@@ -499,27 +501,27 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ties = tied.join(least, "id").select(F.col("class").alias("a"), "b").filter("a <> b")
 
     met = candidates(classes)
-    found = cut_lineage(plausible(met, classes, percent))
+    found = settle(plausible(met, classes, percent))
     sets = full_sets(found.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, doc_id, text, words)
     ends = found.union(found.select("b", "a", "alike"))
     # A class has a bounded number of candidates: BEST in each tree, and those it is best for.
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
     best = ends.withColumn("rank", rank).filter(F.col("rank") <= FIRST)
-    first = cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut_lineage(confirmed(first, sets, percent).union(ties))
-    parts = cut_lineage(least_reachable(links))
+    first = settle(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = settle(confirmed(first, sets, percent).union(ties))
+    parts = settle(least_reachable(links))
     named_a = parts.select(F.col("id").alias("a"), F.col("component").alias("p"))
     named_b = parts.select(F.col("id").alias("b"), F.col("component").alias("q"))
     rest = found.join(first, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
-    more = cut_lineage(confirmed(rest, sets, percent))
+    more = settle(confirmed(rest, sets, percent))
     release(found, sets, first)
     links = links.union(more)
     if not more.isEmpty():
-        parts = cut_lineage(least_reachable(links))
+        parts = settle(least_reachable(links))
     more = dense_links(classes, parts, docs, doc_id, text, words, percent)
     if not more.isEmpty():
-        parts = cut_lineage(least_reachable(links.union(more)))
+        parts = settle(least_reachable(links.union(more)))
 
     if not twice.isEmpty():
         # A class whose first document's id names another class too has a made-up name: the smallest id is looked up.
