@@ -393,20 +393,26 @@ def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def _may_link(percent: int):
-    """Pairs that connect all rows of a cell which may link, by whatever chain of such pairs: a row less than rows."""
+    """Rows of a cell which may link, by whatever chain of such pairs: each with the least id of its chain.
+
+    The least ids of a region are few, so cells of different trees give much the same pairs.
+    """
 
     def run(rows):
         cell = _Cell(rows, percent)
         # A row may stand on both sides.
         _, group = np.unique(cell.ids, return_inverse=True)
-        found = []
+        met = np.zeros(len(group), bool)
         for a in cell.sides[0]:
             r = cell.partners(a, group)
-            groups, first = np.unique(group[r], return_index=True)
             if len(r):
-                found.append((np.full(len(first), cell.ids[a]), cell.ids[r[first]]))
-                group[np.isin(group, groups)] = group[a]
-        return _links(found)
+                met[r] = met[a] = True
+                group[np.isin(group, group[r])] = group[a]
+        group, ids = group[met], cell.ids[met]
+        order = np.lexsort((ids, group))
+        group, ids = group[order], ids[order]
+        least = ids[np.searchsorted(group, group)]
+        return _links([(ids[ids != least], least[ids != least])])
 
     return run
 
@@ -452,7 +458,7 @@ def dense_links(classes: DataFrame, parts: DataFrame, docs: DataFrame, doc_id: s
         return classes.sparkSession.createDataFrame([], "a long, b long")
     few = F.broadcast(runs.select("key")) if runs.count() <= BROADCAST_IDS else runs.select("key")
     members = placed.select(F.explode(F.array(*keys)).alias("key"), "id", "component", "n", "signature").join(few, "key", "left_semi")
-    hoped = settle(cells(members, runs).applyInArrow(_may_link(percent), "a long, b long"))
+    hoped = settle(cells(members, runs).applyInArrow(_may_link(percent), "a long, b long").distinct())
     regions = settle(least_reachable(hoped))
     members = regions.select("id", F.hex("component").alias("key")).join(placed, "id").withColumn("weight", F.col("n"))
     groups = settle(mixed_runs(members, FULL_SHINGLES))
