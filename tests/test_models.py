@@ -3,12 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as x
+from touchline.operators import fits
 from touchline.operators import learning as ml
 from touchline.operators import metrics as g
 from touchline.operators import pricing as pr
@@ -39,11 +41,11 @@ def settled(spark):
 def test_calibrators(settled):
     df, p, y = settled
     fitted = ml.fit_calibrators(df)
-    assert set(fitted) == {"a"}  # one class only: no calibrator
-    c = fitted["a"]
-    assert c.n == 600
+    (c,) = fitted.chosen.collect()  # one class only: no calibrator
+    assert (c.market, c.n) == ("a", 600)
+    want = pooled(list(p), list(y))
+    assert [(r.x, r.y) for r in fitted.knots.orderBy("x").collect()] == [pytest.approx(k) for k in dict.fromkeys((x, v) for lo, hi, v in want for x in (lo, hi))]
     if c.kind == "isotonic":
-        want = pooled(list(p), list(y))
         scored = {r.probability: r.calibrated for r in ml.apply_calibrators(df.filter("market = 'a'"), fitted).distinct().collect()}
         for lo, hi, v in want:
             for score in {lo, hi}:
@@ -63,6 +65,78 @@ def test_calibration_slope(settled):
     assert got.slope == pytest.approx(beta[1], rel=1e-4)
 
 
+def test_isotonic_in_ranges_of_scores(spark, monkeypatch):
+    """Many scores in one market, pooled range by range: the same levels as one pass over all of them."""
+    rng = np.random.default_rng(7)
+    score = np.sort(rng.uniform(size=100_000))
+    hit = (rng.uniform(size=100_000) < 0.2 + 0.5 * score**2).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"market": "m", "x": score, "n": 1.0, "pos": hit}))
+    want, stack = [], []
+    for v, h in zip(score, hit):
+        stack.append([v, v, 1.0, h])
+        while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
+            last = stack.pop()
+            stack[-1] = [stack[-1][0], last[1], stack[-1][2] + last[2], stack[-1][3] + last[3]]
+    want = [tuple(b) for b in stack]
+    for rows in (200_000, 100):
+        monkeypatch.setattr(fits, "POOL_ROWS", rows)
+        got = [tuple(r)[1:] for r in fits.isotonic_levels(df, "market").orderBy("lo").collect()]
+        assert got == want
+    two = df.union(df.withColumn("market", F.lit("k"))).union(spark.createDataFrame([(None, 0.5, 1.0, 1.0)], df.schema))
+    assert fits.isotonic_levels(two, "market").groupBy("market").count().filter(F.col("market").isNotNull()).select("count").distinct().first()[0] == len(want)
+
+
+def test_calibrators_of_odd_tables(spark):
+    kind = "market string, probability double, hit double"
+    rows = [("one", 0.5, 1.0), ("two", 0.5, 1.0), ("two", 0.5, 0.0), ("two", None, 1.0), (None, 0.4, 1.0), ("up", 0.2, 0.0), ("up", 0.8, 1.0)]
+    df = spark.createDataFrame(rows, kind)
+    fitted = ml.fit_calibrators(df)
+    assert {r.market for r in fitted.chosen.collect()} == {"two", "up"}
+    got = {(r.market, r.probability): r.calibrated for r in ml.apply_calibrators(df, fitted).collect()}
+    assert got["one", 0.5] is None and got["two", None] is None and got[None, 0.4] is None
+    assert got["two", 0.5] == pytest.approx(0.5) and got["up", 0.8] > 0.5 > got["up", 0.2]
+    assert ml.apply_calibrators(df, fitted).count() == len(rows)
+    assert ml.fit_calibrators(spark.createDataFrame([], kind)).chosen.count() == 0
+    table = spark.createDataFrame([("a", 0.2, 0.1), ("a", 0.6, 0.5)], "market string, x double, y double")
+    probes = spark.createDataFrame([("a", v) for v in (0.0, 0.2, 0.3, 0.6, 0.9)] + [("b", 0.3)], "market string, probability double")
+    for rows in (2, 1000):
+        out = {(r.market, r.probability): r.calibrated for r in g.apply_calibrator(probes, table, chunk_rows=rows).collect()}
+        assert [out["a", v] for v in (0.0, 0.2, 0.3, 0.6, 0.9)] == pytest.approx([0.1, 0.1, 0.2, 0.5, 0.5]) and out["b", 0.3] is None
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 7])
+def test_refits_equal_separate_fits(spark, monkeypatch, cells):
+    """All refits at once against a Newton fit of its own for each, and against the library's single fit."""
+    monkeypatch.setattr(fits, "CELLS", cells)
+    rng = np.random.default_rng(9)
+    n, reg = 300, 0.01
+    a, b = rng.normal(2, 3, n), rng.uniform(size=n)
+    a[rng.uniform(size=n) < 0.1] = np.nan
+    at = np.sort(rng.integers(-1, 5, n))
+    y = rng.poisson(np.exp(0.2 + 0.1 * np.nan_to_num(a) - 0.4 * b)).astype(float)
+    z = rng.poisson(1.1, n).astype(float)
+    rows = [(int(c), None if np.isnan(u) else float(u), float(v), float(w), float(x)) for c, u, v, w, x in zip(at, a, b, y, z)]
+    rows += [(-1, 1.0, 1.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "at long, a double, b double, y double, z double").repartition(4)
+    got = fits.poisson_refits(df, "at", 6, ["a", "b"], ["y", "z"], reg, 0.05)
+    for k in range(6):
+        seen = at < k
+        if not seen.any():
+            assert np.allclose(got[:, k, 0], math.log(0.05))
+            continue
+        mean, spread = (np.array([f(a[seen & ~np.isnan(a)]), f(b[seen])]) for f in (np.mean, np.std))
+        design = np.column_stack([np.ones(seen.sum()), (np.column_stack([np.nan_to_num(a), b])[seen] - mean) / spread])
+        for t, goals in enumerate((y[seen], z[seen])):
+            beta, ridge = np.r_[math.log(goals.mean()), 0, 0], reg * goals.sum() * np.diag([0, 1, 1])
+            for _ in range(60):
+                mu = np.exp(design @ beta)
+                beta += np.linalg.solve(design.T @ (design * mu[:, None]) + ridge, design.T @ (goals - mu) - ridge @ beta)
+            raw = np.r_[beta[0] - (beta[1:] * mean / spread).sum(), beta[1:] / spread]
+            assert np.allclose(got[t, k], raw, atol=1e-8)
+    single = ml.fit_poisson(df.filter("at < 3 and y is not null"), ["a", "b"], "y", ["at"], reg)
+    assert np.array(single.coefficients) / np.array(single.stds) == pytest.approx(got[0, 3, 1:], rel=1e-4)
+
+
 def test_poisson_fit(spark):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=500), rng.uniform(size=500)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import array_sum, clamp, logit, negative_binomial_pmf, poisson_pmf
 from ..session import cut_lineage
-from .metrics import bin_of, multiclass_metrics, regression_metrics
+from . import fits
+from .metrics import apply_calibrator, bin_of, multiclass_metrics, regression_metrics
 from .ordered import sequence, top_per_key
 from .pricing import price_goals
 
@@ -71,116 +73,82 @@ def training_sets(df: DataFrame, required: list[str], min_rows: int = 1000) -> D
 
 
 @dataclass
-class Calibrator:
-    """A fitted isotonic (knots) or Platt (slope, intercept) calibrator; ``column`` applies it natively."""
-
-    kind: str
-    knots: list[tuple[float, float]] = field(default_factory=list)
-    slope: float = 0.0
-    intercept: float = 0.0
-    ece: float = 0.0
-    n: int = 0
-
-    def column(self, p: Column) -> Column:
-        x = clamp(p, CLIP, 1 - CLIP)
-        if self.kind == "platt":
-            return clamp(1 / (1 + F.exp(-(self.slope * x + self.intercept))), CLIP, 1 - CLIP)
-        table = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in self.knots])
-        below, above = F.filter(table, lambda k: k["x"] <= x), F.filter(table, lambda k: k["x"] > x)
-        lo, hi = F.try_element_at(below, F.lit(-1)), F.get(above, F.lit(0))
-        inside = lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"])
-        value = F.when(F.size(below) == 0, hi["y"]).when(F.size(above) == 0, lo["y"]).otherwise(inside)
-        return clamp(value, CLIP, 1 - CLIP)
-
-
-def _weighted_ece(counts: DataFrame, p: Column) -> float:
-    """ECE (a) of rows given as (score, positives, total)."""
-    bins = counts.withColumn("_c", p).groupBy(bin_of(F.col("_c"), "a").alias("_bin")).agg(
-        F.sum("n").alias("n"), F.sum(F.col("_c") * F.col("n")).alias("p"), F.sum("pos").alias("y")
+class Calibrators:
+    """Fitted calibrators as tables: ``chosen`` (market, kind, n, ece, slope, intercept, knots) has a row per market with
+    a calibrator, ``knots`` (market, x, y) the steps of those that are isotonic."""
+
+    chosen: DataFrame
+    knots: DataFrame
+    by: str
+
+
+def _platt(p: Column) -> Column:
+    x = clamp(p, CLIP, 1 - CLIP)
+    return clamp(1 / (1 + F.exp(-(F.col("slope") * x + F.col("intercept")))), CLIP, 1 - CLIP)
+
+
+def _weighted_ece(scored: DataFrame, by: str, p: str, name: str) -> DataFrame:
+    """ECE (a) per market of rows given as (score, positives, total)."""
+    bins = scored.groupBy(by, bin_of(F.col(p), "a").alias("_bin")).agg(
+        F.sum("n").alias("n"), F.sum(F.col(p) * F.col("n")).alias("p"), F.sum("pos").alias("y")
     )
     miss = F.when(F.col("_bin").isNotNull(), F.abs(F.col("p") - F.col("y")))
-    return bins.agg((F.coalesce(F.sum(miss), F.lit(0.0)) / F.sum("n")).alias("e")).first()["e"]
+    return bins.groupBy(by).agg((F.coalesce(F.sum(miss), F.lit(0.0)) / F.sum("n")).alias(name))
 
 
-def fit_calibrators(settled: DataFrame, by: str = "market") -> dict[str, Calibrator]:
+def fit_calibrators(settled: DataFrame, by: str = "market") -> Calibrators:
     """Isotonic and Platt per market, the lower ECE wins, ties go to isotonic; one class only: no calibrator.
 
     Rows are first counted per (market, score): both fits take weights, so the result is the same and a market
-    with most rows costs as many rows as it has scores. The loop is over markets; every fit runs on Spark.
+    with most rows costs as many rows as it has scores. All markets are fitted together (``fits``). Null markets get none.
     """
-    valid = settled.filter(F.col("probability").isNotNull() & ~F.isnan("probability") & F.col("hit").isNotNull())
-    counts = (
-        valid.groupBy(by, F.col("probability").alias("p"))
-        .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("hit").alias("pos"))
-        .persist()
+    valid = settled.filter(F.col(by).isNotNull() & F.col("probability").isNotNull() & ~F.isnan("probability") & F.col("hit").isNotNull())
+    counts = valid.groupBy(by, F.col("probability").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("hit").cast("double").alias("pos"))
+    counts = cut_lineage(counts)
+    totals = counts.groupBy(by).agg(F.sum("n").cast("long").alias("n"), F.sum("pos").alias("_pos"))
+    totals = totals.filter((F.col("_pos") > 0) & (F.col("_pos") < F.col("n"))).drop("_pos")
+    counts = counts.join(totals.select(by), by, "left_semi")
+    # C = 1 of the usual objective is a penalty of half the squared slope
+    lines = fits.logistic_lines(counts, by, penalty=1.0)
+    steps = cut_lineage(fits.knots(fits.isotonic_levels(counts, by), by))
+    scored = apply_calibrator(counts.withColumn("_p", F.col("x")).join(lines, by), steps, by, "_p", CLIP).withColumn("_line", _platt(F.col("_p")))
+    ece = _weighted_ece(scored, by, "calibrated", "_iso").join(_weighted_ece(scored, by, "_line", "_platt"), by)
+    line = F.col("_platt") < F.col("_iso")
+    chosen = totals.join(ece, by).join(lines, by).join(steps.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("_knots")), by)
+    chosen = chosen.select(
+        by,
+        F.when(line, "platt").otherwise("isotonic").alias("kind"),
+        "n",
+        F.least("_platt", "_iso").alias("ece"),
+        *[F.when(line, F.col(c)).otherwise(0.0).alias(c) for c in ("slope", "intercept")],
+        F.when(line, 0).otherwise(F.col("_knots")).cast("int").alias("knots"),
     )
-    out: dict[str, Calibrator] = {}
-    totals = counts.groupBy(by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    for row in totals.collect():  # one row per market
-        if row["pos"] in (0.0, row["n"]):
-            continue
-        one = counts.filter(F.col(by) == row[by])
-        iso_rows = one.select((F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight"), F.col("p").alias("features"))
-        iso = IsotonicRegression(weightCol="weight").fit(iso_rows)
-        knots = _dedupe(list(zip(iso.boundaries.toArray().tolist(), iso.predictions.toArray().tolist(), strict=True)))
-        isotonic = Calibrator("isotonic", knots=knots, n=int(row["n"]))
-
-        sides = F.inline(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("pos").alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("pos")).alias("weight")),
-            )
-        )
-        platt_rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(one.select("p", sides).filter("weight > 0"))
-        # C = 1 of the usual objective is regParam = 1 / rows here
-        fit = LogisticRegression(weightCol="weight", regParam=1.0 / row["n"], standardization=False, maxIter=200, tol=1e-9).fit(platt_rows)
-        platt = Calibrator("platt", slope=float(fit.coefficients[0]), intercept=float(fit.intercept), n=int(row["n"]))
-        for c in (isotonic, platt):
-            c.ece = _weighted_ece(one, c.column(F.col("p")))
-        out[row[by]] = platt if platt.ece < isotonic.ece else isotonic
-    counts.unpersist()
-    return out
-
-
-def _dedupe(knots: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    kept: list[tuple[float, float]] = []
-    for x, y in knots:
-        if not kept or x > kept[-1][0]:
-            kept.append((x, y))
-    return kept
-
-
-def apply_calibrators(df: DataFrame, calibrators: dict[str, Calibrator], by: str = "market") -> DataFrame:
+    chosen = cut_lineage(chosen)
+    return Calibrators(chosen, steps.join(chosen.filter("kind = 'isotonic'").select(by), by, "left_semi"), by)
+
+
+def apply_calibrators(df: DataFrame, fitted: Calibrators) -> DataFrame:
     """``calibrated``, null for markets without a calibrator."""
-    chain = None
-    for name, c in calibrators.items():
-        value = c.column(F.col("probability"))
-        chain = F.when(F.col(by) == name, value) if chain is None else chain.when(F.col(by) == name, value)
-    return df.withColumn("calibrated", F.lit(None).cast("double") if chain is None else chain)
+    by = fitted.by
+    out = apply_calibrator(df, fitted.knots, by, eps=CLIP).join(fitted.chosen.select(by, "kind", "slope", "intercept"), by, "left")
+    value = F.when(F.col("kind") == "platt", F.when(F.col("probability").isNotNull(), _platt(F.col("probability")))).otherwise(F.col("calibrated"))
+    return out.withColumn("calibrated", value).select(*[c for c in df.columns if c != "calibrated"], "calibrated")
 
 
-def calibrator_table(df: DataFrame, calibrators: dict[str, Calibrator]) -> DataFrame:
+def calibrator_table(fitted: Calibrators) -> DataFrame:
     """What was fitted, one row per market."""
-    rows = [(m, c.kind, c.n, float(c.ece), len(c.knots)) for m, c in sorted(calibrators.items())]
-    return df.sparkSession.createDataFrame(rows, "market string, kind string, n long, ece double, knots int")
+    return fitted.chosen.select(fitted.by, "kind", "n", "ece", "knots")
 
 
 def calibration_slopes(settled: DataFrame, by: str = "market") -> DataFrame:
-    """Slope of an unpenalised logistic fit on the logit of p clipped to 0.01..0.99, and Brier, per market."""
-    counts = (
-        settled.groupBy(by, logit(F.col("probability")).alias("x"), F.col("hit").alias("label"))
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        .persist()
-    )
-    rows = []
-    for (name,) in counts.select(by).distinct().collect():  # one row per market
-        one = VectorAssembler(inputCols=["x"], outputCol="features").transform(counts.filter(F.col(by) == name))
-        fit = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=200, tol=1e-9, standardization=False).fit(one)
-        rows.append((name, float(fit.coefficients[0])))
-    counts.unpersist()
-    slopes = settled.sparkSession.createDataFrame(rows, f"{by} string, slope double")
+    """Slope of an unpenalised logistic fit on the logit of p clipped to 0.01..0.99, and Brier, per market.
+
+    Rows are counted per (market, logit) and all markets fitted together; a market of one class has no slope.
+    """
+    counts = settled.groupBy(by, logit(F.col("probability")).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("hit").cast("double").alias("pos"))
+    slopes = fits.logistic_lines(cut_lineage(counts), by).select(by, "slope")
     brier = settled.groupBy(by).agg(F.avg(F.pow(F.col("probability") - F.col("hit"), F.lit(2))).alias("brier"))
-    return brier.join(slopes, by)
+    return brier.join(slopes, by, "left")
 
 
 def adopt(measured: DataFrame, current: DataFrame, by: str = "market") -> DataFrame:
@@ -312,8 +280,9 @@ def walk_forward(
     """Price blocks of test matches with models refitted on everything before each block (C11).
 
     A block is ``block`` test matches in ``order``, whatever their number, or the test matches of one calendar
-    ``period``. The features are point-in-time already, so they are computed once by the caller. The loop is over
-    refits; all fits read one prepared table.
+    ``period``. The features are point-in-time already, so they are computed once by the caller. All refits run together
+    (``fits.poisson_refits``): a job per Newton step, whatever the number of blocks, and one plan that looks a row's
+    coefficients up by its block. What passes the driver is a few numbers per refit.
     """
     marked = df.withColumn("_test", F.coalesce(test, F.lit(False)))
     if period is None:
@@ -323,18 +292,24 @@ def walk_forward(
         tests = marked.filter("_test").withColumn("_block", period)
     train = marked.filter(~F.col("_test")).withColumn("_block", F.lit(None).cast(tests.schema["_block"].dataType))
     rows = cut_lineage(train.unionByName(tests))
-    parts = []
-    for (b,) in rows.filter("_test").select("_block").distinct().orderBy("_block").collect():
-        known = rows.filter(~F.col("_test") | (F.col("_block") < F.lit(b)))
-        known = known.filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
-        home = fit_poisson(known, features, "home_goals", order, reg)
-        away = fit_poisson(known, features, "away_goals", order, reg)
-        parts.append((b, home.rate(), away.rate()))
-    if not parts:
+    blocks = [r[0] for r in rows.filter("_test").select("_block").distinct().orderBy("_block").collect()]
+    if not blocks:
         raise ValueError("no test matches")
-    rate = lambda i: F.coalesce(*[F.when(F.col("_block") == F.lit(p[0]), p[i]) for p in parts])
-    scored = rows.filter("_test").withColumns({"home_rate": rate(1), "away_rate": rate(2)})
-    played = scored.filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
+    spark, kind = df.sparkSession, rows.schema["_block"].dataType
+    numbered = spark.createDataFrame(list(zip(blocks, range(len(blocks)))), T.StructType([T.StructField("_block", kind), T.StructField("_at", T.LongType())]))
+    rows = rows.join(F.broadcast(numbered), "_block", "left").withColumn("_at", F.coalesce("_at", F.lit(-1)))
+    home, away = fits.poisson_refits(rows, "_at", len(blocks), features, ["home_goals", "away_goals"], reg, RATE_LOW)
+    table = spark.createDataFrame([(i, home[i].tolist(), away[i].tolist()) for i in range(len(blocks))], "_at long, _home array<double>, _away array<double>")
+
+    def rate(name: str) -> Column:
+        terms = F.col(name)[0]
+        for i, c in enumerate(features, 1):
+            x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+            terms = terms + F.col(name)[i] * F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+        return clamp(F.exp(terms), RATE_LOW, RATE_HIGH)
+
+    scored = rows.filter("_test").join(F.broadcast(table), "_at").withColumns({"home_rate": rate("_home"), "away_rate": rate("_away")})
+    played = scored.drop("_at", "_home", "_away").filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
     return price_goals(played, "home_rate", "away_rate")
 
 

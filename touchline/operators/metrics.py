@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import Feature, Running, point_in_time, top_per_key
+from .ordered import Feature, Running, as_of, point_in_time, top_per_key
 
 # Bin edges as doubles, names and limits.
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -617,22 +617,25 @@ def multiclass_metrics(df: DataFrame, eps: float = 1e-15) -> DataFrame:
     )
 
 
-def apply_calibrator(df: DataFrame, table: DataFrame, by: str = "market", p: str = "probability", eps: float = 1e-6) -> DataFrame:
+def apply_calibrator(df: DataFrame, table: DataFrame, by: str = "market", p: str = "probability", eps: float = 1e-6, **kw) -> DataFrame:
     """Piecewise-linear calibration from a table (market, x, y) of increasing x, ends held constant.
 
-    Each market's table becomes one sorted array of knots, so the range lookup is a lookup in the row's own
-    array and the join an equi-join on the market. Markets without a table give null.
+    Every knot carries the next one along, and a row takes the last knot at or before its score by an as-of join on
+    (market, score): one shuffle, hot markets cut along the score. Markets without a table, and null scores, give null.
     """
-    knots = table.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_k"))
-    out = df.join(knots, by, "left")
+    following = Window.partitionBy(by).orderBy("x")
+    knots = table.filter(F.col(by).isNotNull()).select(
+        by, F.col("x").alias("_x"), F.col("x").alias("_kx"), F.col("y").alias("_ky"), F.lead("x").over(following).alias("_nx"), F.lead("y").over(following).alias("_ny")
+    )
     x = F.greatest(F.least(F.col(p), F.lit(1 - eps)), F.lit(eps))
-    below = F.filter("_k", lambda k: k["x"] <= x)
-    above = F.filter("_k", lambda k: k["x"] > x)
-    lo, hi = F.element_at(below, -1), F.get(above, F.lit(0))
-    inside = lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"])
-    value = F.when(F.size(below) == 0, hi["y"]).when(F.size(above) == 0, lo["y"]).otherwise(inside)
-    value = F.when(F.col("_k").isNotNull(), F.greatest(F.least(value, F.lit(1 - eps)), F.lit(eps)))
-    return out.withColumn("calibrated", value).drop("_k")
+    able = F.col(by).isNotNull() & F.col(p).isNotNull()
+    rows = df.drop("calibrated")
+    met = as_of(rows.filter(able).withColumn("_x", x), knots, [by], "_x", ["_kx", "_ky", "_nx", "_ny"], right_tie=["_ky"], default_first=True, **kw)
+    inside = F.col("_ky") + (F.col("_ny") - F.col("_ky")) * (F.col("_x") - F.col("_kx")) / (F.col("_nx") - F.col("_kx"))
+    value = F.when((F.col("_x") <= F.col("_kx")) | F.col("_nx").isNull(), F.col("_ky")).otherwise(inside)
+    value = F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(1 - eps)), F.lit(eps)))
+    out = met.withColumn("calibrated", value).drop("_x", "_kx", "_ky", "_nx", "_ny")
+    return out.unionByName(rows.filter(~able).withColumn("calibrated", F.lit(None).cast("double")))
 
 
 def rate_from_probability(p: Column) -> Column:

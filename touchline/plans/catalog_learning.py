@@ -93,12 +93,45 @@ def _(t):
     return ml.split_by_season(rows).select("o_orderkey", "split")
 
 
-@query("c02_fit_calibrators")
+def newton_sql(counts: str, state: str, penalty: float, steps: int = 14) -> str:
+    """Newton steps of a logistic line per market as one common table expression each; the last is ``{state}{steps}``."""
+    texts = [f"{state}0 AS (SELECT market, ln(sum(pos) / (sum(n) - sum(pos))) AS a, 0.0e0 AS b FROM {counts} GROUP BY 1 HAVING sum(pos) > 0 AND sum(pos) < sum(n))"]
+    for i in range(steps):
+        texts.append(
+            f"""{state}{i}s AS (SELECT c.market, a, b, sum(pos - n * p) AS g0, sum((pos - n * p) * x) - {penalty} * b AS g1, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * x) AS h1, sum(n * p * (1 - p) * x * x) + {penalty} AS h2
+ FROM (SELECT c.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM {counts} c JOIN {state}{i} s ON c.market = s.market) c GROUP BY c.market, a, b),
+{state}{i + 1} AS (SELECT market, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM {state}{i}s)"""
+        )
+    return ",\n".join(texts)
+
+
+SETTLED = "SELECT market, probability, CASE WHEN outcome = 'WON' THEN 1.0e0 ELSE 0.0e0 END AS hit FROM ledger WHERE outcome <> 'VOID'"
+
+
+@query(
+    "c02_fit_calibrators",
+    # The isotonic level of the i-th score is the largest, over starts up to i, of the least mean that a run from there to
+    # i or beyond can have.
+    f"""WITH q AS ({SETTLED}), c AS (SELECT market, probability AS x, CAST(count(*) AS DOUBLE) AS n, sum(hit) AS pos FROM q GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM c WINDOW w AS (PARTITION BY market ORDER BY x)),
+r AS (SELECT f.market, f.i AS f, t.i AS t, (t.cp - f.cp + f.pos) / (t.cn - f.cn + f.n) AS m FROM o f JOIN o t ON f.market = t.market AND f.i <= t.i),
+l AS (SELECT market, f, t, min(m) OVER (PARTITION BY market, f ORDER BY t DESC) AS least FROM r), y AS (SELECT market, t AS i, max(least) AS y FROM l GROUP BY 1, 2),
+iso AS (SELECT o.*, greatest(least(y, 1 - 1e-6), 1e-6) AS iso, abs(coalesce(y - lag(y) OVER v, 1)) > 1e-12 AS opens, abs(coalesce(lead(y) OVER v - y, 1)) > 1e-12 AS closes FROM o JOIN y USING (market, i) WINDOW v AS (PARTITION BY market ORDER BY i)),
+{newton_sql("c", "s", 1.0)},
+e AS (SELECT iso.*, greatest(least(1 / (1 + exp(-(a + b * greatest(least(x, 1 - 1e-6), 1e-6)))), 1 - 1e-6), 1e-6) AS line FROM iso JOIN s14 USING (market)),
+u AS (SELECT market, 'iso' AS kind, iso AS probability, n, pos FROM e UNION ALL SELECT market, 'line', line, n, pos FROM e),
+b AS (SELECT market, kind, {BIN['a']} AS bin, sum(n) AS n, sum(probability * n) AS p, sum(pos) AS y FROM u GROUP BY ALL),
+k AS (SELECT market, kind, coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(p - y) END), 0) / sum(n) AS ece FROM b GROUP BY ALL),
+z AS (SELECT market, max(CASE WHEN kind = 'iso' THEN ece END) AS iso_ece, max(CASE WHEN kind = 'line' THEN ece END) AS line_ece FROM k GROUP BY 1),
+a AS (SELECT market, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST(opens OR closes AS INT)) AS INT) AS knots, sum(iso * n) / sum(n) AS iso, sum(line * n) / sum(n) AS line FROM e GROUP BY 1)
+SELECT market, CASE WHEN line_ece < iso_ece THEN 'platt' ELSE 'isotonic' END AS kind, n, round(least(line_ece, iso_ece), 6) AS ece, CASE WHEN line_ece < iso_ece THEN 0 ELSE knots END AS knots,
+ round(CASE WHEN line_ece < iso_ece THEN line ELSE iso END, 6) AS mean_calibrated FROM z JOIN a USING (market)""",
+)
 def _(t):
     fitted = ml.fit_calibrators(g.settled(t.ledger))
     out = ml.apply_calibrators(g.settled(t.ledger), fitted)
     mean = out.groupBy("market").agg(F.avg("calibrated").alias("mean_calibrated"))
-    return rounded(ml.calibrator_table(t.ledger, fitted).join(mean, "market"), "ece", "mean_calibrated")
+    return rounded(ml.calibrator_table(fitted).join(mean, "market"), "ece", "mean_calibrated")
 
 
 @query("c07_fit_poisson")
@@ -149,7 +182,14 @@ def _(t):
     return rounded(wilson.withColumn("brier", brier), "accuracy", "baseline", "low", "high", "brier")
 
 
-@query("c12_calibration_slope")
+@query(
+    "c12_calibration_slope",
+    f"""WITH q AS ({SETTLED}), h AS (SELECT market, 0.5e0 + 0.3e0 * (probability - 0.5e0) AS p, hit, probability FROM q),
+c AS (SELECT market, ln(greatest(least(p, 0.99e0), 0.01e0) / (1 - greatest(least(p, 0.99e0), 0.01e0))) AS x, CAST(count(*) AS DOUBLE) AS n, sum(hit) AS pos FROM h GROUP BY 1, 2),
+{newton_sql("c", "s", 0.0)},
+m AS (SELECT market, avg((p - hit) * (p - hit)) AS brier, avg((probability - hit) * (probability - hit)) AS now FROM h GROUP BY 1)
+SELECT market, round(b, 6) AS slope, round(brier, 6) AS brier, round(now - brier, 6) AS gain, now - brier >= 0.001 AND b BETWEEN 0.8 AND 1.2 AS adopted FROM m JOIN s14 USING (market)""",
+)
 def _(t):
     rows = g.settled(t.ledger)
     shrunk = rows.withColumn("probability", 0.5 + 0.3 * (F.col("probability") - 0.5))
