@@ -10,7 +10,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as x
-from touchline.operators import fits
+from touchline.operators import boosting, fits
 from touchline.operators import learning as ml
 from touchline.operators import metrics as g
 from touchline.operators import pricing as pr
@@ -137,6 +137,58 @@ def test_refits_equal_separate_fits(spark, monkeypatch, cells):
     assert np.array(single.coefficients) / np.array(single.stds) == pytest.approx(got[0, 3, 1:], rel=1e-4)
 
 
+def plain_trees(bins, y, base, rounds, depth, step):
+    """Boosting by trying every split of every node on the rows themselves."""
+    margins, deviance = np.full(len(y), base), []
+    loss = lambda m: 2 * np.mean(np.where(y > 0, y * (np.log(np.maximum(y, 1e-300)) - m), 0) - (y - np.exp(m)))
+    for _ in range(rounds):
+        deviance.append(loss(margins))
+        g, h = np.exp(margins) - y, np.exp(margins)
+        leaves, change = [np.arange(len(y))], np.zeros(len(y))
+        for _ in range(depth):
+            following = []
+            for rows in leaves:
+                best = (boosting.LEAST_GAIN, None)
+                for j in range(bins.shape[1]):
+                    for b in range(bins[:, j].max() + 1):
+                        left, right = rows[bins[rows, j] <= b], rows[bins[rows, j] > b]
+                        if len(left) and len(right):
+                            part = lambda r: g[r].sum() ** 2 / (h[r].sum() + boosting.RIDGE)
+                            gain = part(left) + part(right) - part(rows)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (left, right))
+                if best[1]:
+                    for r in best[1]:
+                        change[r] = step * np.clip(-g[r].sum() / (h[r].sum() + boosting.RIDGE), -boosting.MOST_STEP, boosting.MOST_STEP)
+                    following += best[1]
+            leaves = following
+        margins = margins + change
+    return margins, [*deviance, loss(margins)]
+
+
+def test_boosting_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BINS", 8)
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    rng = np.random.default_rng(21)
+    n = 240
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 4, n).astype(float), rng.uniform(size=n)])
+    x[rng.uniform(size=n) < 0.1, 0] = np.nan
+    y = rng.poisson(np.exp(0.3 + 0.4 * np.nan_to_num(x[:, 0]) - 0.3 * (x[:, 1] > 1))).astype(float)
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows + [(n, 0.1, 1.0, 0.5, None)], "id long, a double, b double, c double, y double").repartition(3)
+    model = boosting.fit_poisson_trees(df, ["a", "b", "c"], "y", rounds=6, depth=3, step=0.3)
+    bins = np.column_stack([np.where(np.isnan(x[:, j]), 0, np.searchsorted(model.cuts[j], x[:, j], "right") + 1) for j in range(3)])
+    margins, deviance = plain_trees(bins, y, math.log(y.mean()), 6, 3, 0.3)
+    assert model.deviance == pytest.approx(deviance)
+    assert all(b < a for a, b in zip(model.deviance, model.deviance[1:]))
+    got = {r.id: r.predicted for r in model.predict(df).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(np.exp(margins)) and got[n] > 0
+    flat = boosting.fit_poisson_trees(df.withColumn("y", F.lit(2.0)), ["a"], "y", rounds=5)
+    assert not flat.trees and flat.predict(df).first().predicted == pytest.approx(2.0)
+    with pytest.raises(ValueError):
+        boosting.fit_poisson_trees(df.filter("y is null"), ["a"], "y")
+
+
 def test_poisson_fit(spark):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=500), rng.uniform(size=500)

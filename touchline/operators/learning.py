@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import array_sum, clamp, logit, negative_binomial_pmf, poisson_pmf
 from ..session import cut_lineage
 from . import fits
+from .boosting import fit_poisson_trees
 from .metrics import apply_calibrator, bin_of, multiclass_metrics, regression_metrics
 from .ordered import sequence, top_per_key
 from .pricing import price_goals
@@ -245,14 +246,11 @@ def fit_negative_binomial(
     return model
 
 
-def fit_boosted(
-    train: DataFrame, test: DataFrame, features: list[str], target: str, seed: int = 42, rounds: int = 500, depth: int = 5, step: float = 0.05
-) -> DataFrame:
-    """Boosted-tree count model and its test metrics (C9). MLlib has no Poisson loss, so the loss is squared error."""
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    filled = lambda d: d.filter(F.col(target).isNotNull()).fillna(0.0, subset=features)
-    model = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(assembler.transform(filled(train)))
-    scored = model.transform(assembler.transform(filled(test))).withColumn("predicted", clamp(F.col("prediction"), 0.05, 4.0))
+def fit_boosted(train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 500, depth: int = 5, step: float = 0.05) -> DataFrame:
+    """Boosted-tree count model under Poisson deviance (``boosting``), and its test metrics."""
+    model = fit_poisson_trees(train, features, target, rounds=rounds, depth=depth, step=step)
+    scored = model.predict(test.filter(F.col(target).isNotNull()))
+    scored = scored.withColumn("predicted", clamp(F.col("predicted"), 0.05, 4.0))
     hit = F.pow(1 - F.exp(-F.col("predicted")) - (F.col(target) > 0).cast("double"), F.lit(2))
     some = scored.agg(F.avg(hit).alias("scored_brier"))
     return regression_metrics(scored, target, "predicted").withColumn("scored_brier", some.scalar())
