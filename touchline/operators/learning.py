@@ -230,6 +230,27 @@ def fit_poisson(
     return CountModel(features, means, stds, [float(c) for c in fit.coefficients], float(fit.intercept))
 
 
+def optimality(model: CountModel, df: DataFrame, target: str, reg: float = 0.0, dispersion: bool = False) -> DataFrame:
+    """``input, score``: the penalised log-likelihood's derivative by each coefficient, per row; all are 0 at the optimum.
+
+    With ``dispersion`` a row more holds what the method of moments sets to 0; without spread beyond a Poisson one that
+    is what exceeds it (C8).
+    """
+    known = df.filter(F.col(target).isNotNull())
+    y, mu = F.col(target).cast("double"), model.rate(low=0.0, high=float("inf"))
+    sums = {"intercept": F.sum(y - mu)}
+    for name, mean, std, w in zip(model.features, model.means, model.stds, model.coefficients, strict=True):
+        z = (F.coalesce(F.col(name).cast("double"), F.lit(0.0)) - mean) / std
+        sums[name] = F.sum((y - mu) * z) - reg * w * F.sum(mu)
+    if dispersion:
+        held = model.rate()
+        left = F.sum((y - held) * (y - held) - held - model.alpha * held * held)
+        sums["dispersion"] = left if model.alpha > 0 else F.greatest(left, F.lit(0.0))
+    one = known.agg(*[(v / F.count(F.lit(1))).alias(f"s{i}") for i, v in enumerate(sums.values())])
+    named = F.array(*[F.struct(F.lit(k).alias("input"), F.col(f"s{i}").alias("score")) for i, k in enumerate(sums)])
+    return one.select(F.inline(named))
+
+
 def fit_negative_binomial(
     df: DataFrame, features: list[str], target: str, order: list[str], reg: float = 0.0, anchor_rows: int | None = None
 ) -> CountModel:

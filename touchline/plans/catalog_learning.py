@@ -151,9 +151,34 @@ def _(t):
     return rounded(out, "rate", "p_0_5", "p_6_12")
 
 
+def zeros(*names):
+    """A fit is convex, so scores of 0 say that it is the optimum; the rows counted are those with a target."""
+    listed = ", ".join(f"('{n}')" for n in names)
+    return "SELECT input, 0.0e0 AS score, (SELECT count({target}) FROM contests) AS matches FROM (VALUES " + listed + ") v(input)"
+
+
+def scores(rows, model, target, reg=0.0, **options):
+    out = ml.optimality(model, rows, target, reg, **options)
+    matches = rows.agg(F.count(target).alias("n")).scalar()
+    return out.select("input", F.abs(F.round("score", 4)).alias("score"), matches.alias("matches"))
+
+
+@query("c07_optimality", zeros("intercept", *INPUTS).format(target="home_goals"))
+def _(t):
+    rows = matrix(t)
+    return scores(rows, ml.fit_poisson(rows, INPUTS, "home_goals", ORDER, reg=0.01), "home_goals", 0.01)
+
+
+@query("c08_optimality", zeros("intercept", "home_corners_for_avg5", "away_corners_against_avg5", "dispersion").format(target="home_corners"))
+def _(t):
+    inputs = ["home_corners_for_avg5", "away_corners_against_avg5"]
+    rows = matrix(t, *inputs)
+    return scores(rows, ml.fit_negative_binomial(rows, inputs, "home_corners", ORDER), "home_corners", dispersion=True)
+
+
 @query("c09_boosted_counts")
 def _(t):
-    rows = matrix(t).withColumn("season", F.col("season"))
+    rows = matrix(t)
     out = ml.fit_boosted(rows.filter("season <> 'S3'"), rows.filter("season = 'S3'"), INPUTS, "home_goals", rounds=20, depth=4, step=0.1)
     return rounded(out, "mae", "rmse", "r2", "bias", "scored_brier")
 
