@@ -4,7 +4,9 @@ import datetime as dt
 import itertools
 import json
 import math
+import os
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -355,28 +357,68 @@ def test_append_survives_a_replay(spark, tmp_path):
     assert rows(spark.read.parquet(sink)) == [(1, "a"), (2, "c")]
 
 
-def test_market_state_cools_down(spark, tmp_path):
-    source = str(tmp_path / "in")
-    hour = 3_600_000_000
-    bad = [("m", i, i, 0.9, 0.0, "TIER_A") for i in range(150)]
-    good = [("m", 200 + i, 200 + i, 0.1, 1.0, "TIER_A") for i in range(400)]
-    later = [("m", 30 * hour, 9999, 0.1, 1.0, "TIER_A")]
-    schema = "market string, at long, id long, conf double, hit double, tier string"
-    import os
-    from pathlib import Path
-
-    for n, part in enumerate((bad, good, later)):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{source}/{n}")
-        for f in Path(f"{source}/{n}").glob("*.parquet"):
+BETS = "market string, ts timestamp, id long, conf double, hit double, tier string"
+
+
+def judged(spark, folder, parts):
+    """Verdicts of bets that come in as one file per part."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, BETS).coalesce(1).write.parquet(f"{folder}/in/{n}")
+        for f in Path(f"{folder}/in/{n}").glob("*.parquet"):
             os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    out = str(tmp_path / "out")
-    writer = ss.stream_market_drift(stream).writeStream.outputMode("update").foreachBatch(
-        lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-    )
-    ss.run_available(writer, str(tmp_path / "c"))
-    got = [r.status for r in spark.read.parquet(out).orderBy("batch").collect()]
-    assert got == ["STOP", "STOP", "GO"]  # the second is good but still cooling
+    stream = spark.readStream.schema(BETS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    out = f"{folder}/out"
+    with ss.state_store(spark):
+        writer = ss.stream_market_drift(stream, "1 hour").writeStream.outputMode("append").format("parquet").option("path", out)
+        ss.run_available(writer, f"{folder}/mark")
+    return [tuple(r) for r in spark.read.parquet(out).orderBy("market", "at", "id").collect()]
+
+
+def test_market_state_cools_down(spark, tmp_path):
+    at = lambda minutes: dt.datetime(2024, 1, 1, tzinfo=UTC) + dt.timedelta(minutes=minutes)
+    bets = [("m", at(i), i, 0.9, 0.0, "TIER_A") for i in range(150)]
+    bets += [("m", at(200 + i), 200 + i, 0.1, 1.0, "TIER_A") for i in range(1500)]
+    bets += [("m", at(10_000), 9999, 0.1, 1.0, None), ("m", None, 1, 0.1, 1.0, "TIER_A"), (None, at(1), 1, 0.1, 1.0, "TIER_A")]
+    got = judged(spark, str(tmp_path), [bets])
+    status = {r[2]: r[-1] for r in got}
+    assert set(status) == {*range(150), *range(200, 1700)}  # the last one waits for the watermark
+    assert {status[i] for i in range(99)} == {"WATCH"}
+    start = 99  # the hundredth bet stops the market for a day, however good the later ones are
+    assert {status[i] for i in status if start <= i < start + 1440} == {"STOP"}
+    assert {status[i] for i in status if i >= start + 1440} == {"GO"}
+    assert max(r[3] for r in got) == 1000
+
+
+def test_market_state_does_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(5)
+    begin = dt.datetime(2024, 1, 1, tzinfo=UTC)
+    bets = []
+    for i in range(1500):
+        when = begin + dt.timedelta(minutes=6 * (i // 2))  # two at the same moment
+        bets.append((rng.choice("aab"), when, rng.randrange(10**6), rng.random(), float(rng.random() < 0.47), rng.choice(["TIER_A", "TIER_B", None])))
+    # Out of order within the hour that the watermark waits.
+    arrival = sorted(bets, key=lambda b: b[1] + dt.timedelta(minutes=rng.randrange(50)))
+    runs = [judged(spark, str(tmp_path / str(n)), [arrival[len(bets) * i // n : len(bets) * (i + 1) // n] for i in range(n)]) for n in (1, 3, 10)]
+    assert runs[0] == runs[1] == runs[2]
+    # Brute force, bet by bet.
+    limit = bets[-1][1] - dt.timedelta(hours=1)
+    expected = []
+    for market in "ab":
+        past, until = [], begin
+        for b in sorted((b for b in bets if b[0] == market), key=lambda b: (b[1], b[2])):
+            past.append(b)
+            recent = past[-300:]
+            conf, hit = (sum(x[c] for x in recent) / len(recent) for c in (3, 4))
+            tiers = {t: [x[4] for x in recent if x[5] == t] for t in ("TIER_A", "TIER_B")}
+            enough = len(past) >= 300 and all(len(v) >= 20 for v in tiers.values())
+            bad = conf - hit > 0.04 or (enough and np.mean(tiers["TIER_A"]) < np.mean(tiers["TIER_B"]))
+            status = "STOP" if b[1] < until else "WATCH" if len(past) < 100 else "STOP" if bad else "GO"
+            if status == "STOP" and b[1] >= until:
+                until = b[1] + dt.timedelta(hours=24)
+            if b[1] < limit:
+                expected.append((market, b[2], status))
+    assert [(r[0], r[2], r[-1]) for r in runs[0]] == expected
+    assert {r[-1] for r in runs[0]} == {"WATCH", "STOP", "GO"}
 
 
 def test_market_drift_needs_a_hundred_bets(spark):

@@ -80,6 +80,8 @@ def check_sql(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -251,20 +251,29 @@ def _(t):
 
 @query(
     "t04_stream_market_drift",
-    f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY ts DESC, bet_id DESC) AS rn, count(*) OVER (PARTITION BY market) AS n FROM s),
-a AS (SELECT market, least(max(n), 1000) AS n, avg(probability) AS mc, avg(hit) AS hr, count(*) AS rc, count(*) FILTER (tier = 'TIER_A') AS na, count(*) FILTER (tier = 'TIER_B') AS nb, avg(hit) FILTER (tier = 'TIER_A') AS ha, avg(hit) FILTER (tier = 'TIER_B') AS hb FROM r WHERE rn <= 300 GROUP BY 1)
-SELECT market, n, round(mc, 6) AS mean_conf, round(hr, 6) AS hit_rate, CASE WHEN n < 100 THEN 'WATCH' WHEN mc - hr > 0.04 OR (rc >= 300 AND na >= 20 AND nb >= 20 AND ha < hb) THEN 'STOP' ELSE 'GO' END AS status FROM a""",
+    f"""WITH RECURSIVE {S}, e AS (SELECT *, epoch_us(ts) AS us FROM s WHERE market IS NOT NULL AND ts IS NOT NULL AND probability IS NOT NULL),
+r AS (SELECT market, us, bet_id, count(*) OVER a AS n, avg(probability) OVER w AS mc, avg(hit) OVER w AS hr, count(*) FILTER (tier = 'TIER_A') OVER w AS na,
+  count(*) FILTER (tier = 'TIER_B') OVER w AS nb, avg(hit) FILTER (tier = 'TIER_A') OVER w AS ha, avg(hit) FILTER (tier = 'TIER_B') OVER w AS hb FROM e
+  WINDOW a AS (PARTITION BY market ORDER BY us, bet_id ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY market ORDER BY us, bet_id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, n >= 100 AND (round(mc - hr, 9) > 0.04 OR (n >= 300 AND na >= 20 AND nb >= 20 AND ha < hb)) AS bad FROM r),
+f AS (SELECT market, us, bet_id, n FROM b WHERE bad),
+c AS (SELECT market, min(us) AS us FROM f GROUP BY 1 UNION ALL SELECT market, us FROM (SELECT c.market, min(f.us) AS us FROM c JOIN f ON c.market = f.market AND f.us >= c.us + 86400000000 GROUP BY c.market, c.us) x),
+g AS (SELECT c.market, c.us, min(f.n) AS n FROM c JOIN f ON c.market = f.market AND c.us = f.us GROUP BY 1, 2),
+h AS (SELECT b.*, g.us AS started, g.n AS first_n FROM b ASOF LEFT JOIN g ON b.market = g.market AND b.us >= g.us)
+SELECT market, us AS "at", bet_id AS id, least(n, 1000) AS n, round(mc, 12) AS mean_conf, round(hr, 12) AS hit_rate,
+ CASE WHEN us < started + 86400000000 AND n >= first_n THEN 'STOP' WHEN n < 100 THEN 'WATCH' ELSE 'GO' END AS status
+FROM h WHERE us < (SELECT (max(us) // 1000 - 3600000) * 1000 FROM e)""",
 )
 def _(t):
     out, mark, source = fresh(t.spark, "out"), fresh(t.spark, "mark"), fresh(t.spark, "bets")
-    bets = g.settled(t.ledger).select(
-        "market", F.unix_micros("ts").alias("at"), F.col("bet_id").alias("id"), F.col("probability").alias("conf"), "hit", "tier"
-    )
+    bets = g.settled(t.ledger).select("market", "ts", F.col("bet_id").alias("id"), F.col("probability").alias("conf"), "hit", "tier")
     bets.write.parquet(source)
     stream = t.spark.readStream.schema(bets.schema).option("maxFilesPerTrigger", 1000).parquet(source)
-    ss.run_available(ss.to_partitions(ss.stream_market_drift(stream), out, F.col("market")), mark)
-    got = t.spark.read.parquet(out).select("market", "n", "mean_conf", "hit_rate", "status")
-    return rounded(got, "mean_conf", "hit_rate")
+    with ss.state_store(t.spark):
+        verdicts = ss.stream_market_drift(stream, "1 hour").writeStream.outputMode("append").format("parquet").option("path", out)
+        ss.run_available(verdicts, mark)
+    # Means of up to 300 prices of a few digits have ties at the sixth digit, not at the twelfth.
+    return t.spark.read.parquet(out).withColumns({c: F.round(c, 12) for c in ("mean_conf", "hit_rate")})
 
 
 @query("t05_stream_append", "SELECT o_custkey, count(*) AS copies FROM (SELECT DISTINCT o_custkey FROM orders) GROUP BY 1")

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,56 +105,122 @@ def stream_suppress(alerts: DataFrame, key: str, time: str, hours: int = COOLDOW
 
 
 class MarketState(StatefulProcessor):
-    """Last bets of a market and the end of its cooldown (T4)."""
+    """Bets not yet behind the watermark, the last judged ones, and the end of the cooldown of a market (T4).
+
+    One event-time timer stands at the earliest waiting bet. When the watermark passes it, all bets behind the
+    watermark are judged in the order (time, id), so a verdict does not depend on which batch brought a bet.
+    """
+
+    BET = ["at", "id", "conf", "hit", "tier"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bets = handle.getListState("bets", "at long, id long, conf double, hit double, tier string")
+        self.handle = handle
+        bet = "at long, id long, conf double, hit long, tier string"
+        self.waiting = handle.getListState("waiting", bet)
+        self.recent = handle.getListState("recent", bet)
+        self.seen = handle.getValueState("seen", "n long")
         self.stop_until = handle.getValueState("stop_until", "at long")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def wake_at(self, micros: int) -> None:
+        """Move the timer to ``micros`` where that is earlier than its present time."""
+        when = micros // 1000
+        if self.alarm.exists():
+            if self.alarm.get()[0] <= when:
+                return
+            self.handle.deleteTimer(self.alarm.get()[0])
+        self.handle.registerTimer(when)
+        self.alarm.update((when,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["at", "id", "conf", "hit", "tier"]
-        kept = pd.DataFrame([tuple(b) for b in self.bets.get()], columns=columns)
         for batch in rows:
-            both = pd.concat([kept, batch[columns]]) if len(kept) else batch[columns]
-            kept = both.sort_values(["at", "id"]).tail(KEPT_BETS)
-        self.bets.put([tuple(r) for r in kept.itertuples(index=False, name=None)])
-        recent = kept.tail(d.MARKET_WINDOW)
-        now = int(kept["at"].iloc[-1])
-        mean_conf, hit_rate = float(recent["conf"].mean()), float(recent["hit"].mean())
-        by_tier = recent.groupby("tier")["hit"].agg(["count", "mean"])
-        tiers = [t for t in ("TIER_A", "TIER_B") if t in by_tier.index and by_tier.loc[t, "count"] >= d.TIER_MIN]
-        inverted = (
-            len(kept) >= d.MARKET_WINDOW and len(tiers) == 2 and by_tier.loc["TIER_A", "mean"] < by_tier.loc["TIER_B", "mean"]
-        )
-        cooling = self.stop_until.exists() and now < self.stop_until.get()[0]
-        if cooling:
-            status = "STOP"
-        elif len(kept) < d.MARKET_MIN:
-            status = "WATCH"
-        elif mean_conf - hit_rate > d.MARKET_DRIFT or inverted:
-            status = "STOP"
-            self.stop_until.update((now + COOLDOWN_HOURS * 3_600_000_000,))
-        else:
-            status = "GO"
-        yield pd.DataFrame(
-            {"market": [key[0]], "at": [now], "n": [len(kept)], "mean_conf": [mean_conf], "hit_rate": [hit_rate], "status": [status]}
-        )
+            if len(batch):
+                self.waiting.appendList(list(batch[self.BET].itertuples(index=False, name=None)))
+                self.wake_at(int(batch["at"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.clear()
+        bets = pd.DataFrame(list(self.waiting.get()), columns=self.BET).sort_values(["at", "id"], ignore_index=True)
+        ready = int(bets["at"].searchsorted(timerValues.getCurrentWatermarkInMs() * 1000, side="left"))
+        self.waiting.clear()
+        if ready < len(bets):
+            self.waiting.put(list(bets.iloc[ready:].itertuples(index=False, name=None)))
+            self.wake_at(int(bets["at"].iloc[ready]))
+        if ready:
+            yield self.judge(key[0], bets.iloc[:ready])
+
+    def judge(self, market: str, new: pd.DataFrame) -> pd.DataFrame:
+        """A verdict per bet over the window that ends with it."""
+        old = pd.DataFrame(list(self.recent.get()), columns=self.BET) if self.recent.exists() else new.iloc[:0]
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        both = pd.concat([old, new], ignore_index=True) if len(old) else new
+        window = d.MARKET_WINDOW
+
+        def last(values: pd.Series) -> np.ndarray:
+            """Sums over the window of every new bet, in the same order of addition whatever came before."""
+            padded = np.concatenate([np.zeros(window - 1, values.dtype), values.to_numpy()])
+            return np.lib.stride_tricks.sliding_window_view(padded, window)[len(old) :].sum(axis=1)
+
+        n = seen + 1 + np.arange(len(new))
+        size = np.minimum(n, window)
+        mean_conf, hit_rate = last(both["conf"]) / size, last(both["hit"]) / size
+        in_tier = {t: (both["tier"] == t).astype("int64") for t in ("TIER_A", "TIER_B")}
+        (na, ha), (nb, hb) = [(last(rows), last(rows * both["hit"])) for rows in in_tier.values()]
+        inverted = (n >= window) & (na >= d.TIER_MIN) & (nb >= d.TIER_MIN) & (ha * nb < hb * na)
+        drifting = np.round(mean_conf - hit_rate, 9) > d.MARKET_DRIFT
+        judged = n >= d.MARKET_MIN
+        at = new["at"].to_numpy()
+        status = np.where(judged, "GO", "WATCH").astype(object)
+        stop_until = self.stop_until.get()[0] if self.stop_until.exists() else None
+        place = 0
+        if stop_until is not None:
+            place = int(np.searchsorted(at, stop_until))
+            status[:place] = "STOP"
+        alarms = np.flatnonzero(judged & (drifting | inverted))
+        while (k := int(np.searchsorted(alarms, place))) < len(alarms):
+            start = int(alarms[k])
+            stop_until = int(at[start]) + COOLDOWN_HOURS * 3_600_000_000
+            place = int(np.searchsorted(at, stop_until))
+            status[start:place] = "STOP"
+            self.stop_until.update((stop_until,))
+        self.seen.update((int(n[-1]),))
+        self.recent.put(list(both.tail(window).itertuples(index=False, name=None)))
+        columns = {"at": at, "id": new["id"].to_numpy(), "n": np.minimum(n, KEPT_BETS), "mean_conf": mean_conf, "hit_rate": hit_rate}
+        return pd.DataFrame({"market": market, **columns, "status": status})
 
     def close(self) -> None:
         pass
 
 
-def stream_market_drift(bets: DataFrame) -> DataFrame:
-    """Drift verdict per market after each batch, with a 24-hour stop (T4). ``bets``: market, at, id, conf, hit, tier.
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB) -> Iterator[None]:
+    """The state store for queries started inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_market_drift(bets: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Drift verdict after every bet of a market in the order of event time, with a 24-hour stop (T4).
 
-    Needs the RocksDB state store provider.
+    ``bets``: market, ts, id, conf, hit (0 or 1), tier. A bet is judged once the watermark has passed it, over the
+    last 300 bets before and with it; any cut into batches gives the same rows, as long as no bet is later than
+    ``late``. Such bets are dropped by Spark and counted in the progress. Rows that lack anything but the tier are
+    not judged. A task holds a market's bets of one trigger and those waiting, so bound the trigger by
+    ``maxFilesPerTrigger``. Append mode; start the query inside ``state_store``.
     """
-    bets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return bets.groupBy("market").transformWithStateInPandas(
+    whole = bets.dropna(subset=["market", "ts", "id", "conf", "hit"]).withWatermark("ts", late)
+    rows = whole.select("market", "ts", F.unix_micros("ts").alias("at"), "id", "conf", F.col("hit").cast("long").alias("hit"), "tier")
+    return rows.groupBy("market").transformWithStateInPandas(
         statefulProcessor=MarketState(),
-        outputStructType="market string, at long, n long, mean_conf double, hit_rate double, status string",
-        outputMode="Update",
-        timeMode="None",
+        outputStructType="market string, at long, id long, n long, mean_conf double, hit_rate double, status string",
+        outputMode="Append",
+        timeMode="EventTime",
     )
 
 
