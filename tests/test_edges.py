@@ -357,16 +357,93 @@ def test_append_survives_a_replay(spark, tmp_path):
     assert rows(spark.read.parquet(sink)) == [(1, "a"), (2, "c")]
 
 
+def in_turn(spark, folder, schema, parts):
+    """A stream that brings one part per batch."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/{n}")
+        for f in Path(f"{folder}/{n}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_suppression_forgets_keys(spark, tmp_path):
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour, tzinfo=UTC)
+    parts = [[("a", at(1)), ("a", at(1)), ("b", at(1, 5)), (None, at(2)), ("c", None)], [("b", at(2, 4)), ("x", at(20))], [("a", at(21)), ("y", at(30))], [("y", at(30, 3))]]
+    stream = in_turn(spark, f"{tmp_path}/in", "key string, ts timestamp", parts)
+    out = f"{tmp_path}/out"
+    query = ss.stream_suppress(stream, "key", "ts", late="1 day").writeStream.outputMode("append").format("parquet").option("path", out)
+    done = ss.run_available(query, f"{tmp_path}/mark")
+    got = sorted((r.key or "", r.at) for r in spark.read.parquet(out).collect())
+    sent = [("", at(2)), ("a", at(1)), ("a", at(21)), ("b", at(1, 5)), ("x", at(20)), ("y", at(30))]
+    assert got == [(k, int(t.timestamp() * 1_000_000)) for k, t in sent]
+    assert done.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # of five keys, the one still cooling
+
+
+def test_append_reads_touched_folders_only(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    schema = "id long, day string, v string"
+    first = spark.createDataFrame([(1, "01", "a"), (2, "02", "b"), (2, "02", "c"), (3, None, "d")], schema)
+    second = spark.createDataFrame([(1, "01", "z"), (3, None, "z"), (4, "01", "e")], schema)
+    for batch in (first, second, second, first):
+        ss.append_batch(batch, sink, ["id"], [F.col("v")], F.col("day"))
+    assert rows(spark.read.parquet(sink).select("id", "v")) == [(1, "a"), (2, "b"), (3, "d"), (4, "e")]
+    # A batch does not open folders it adds nothing to.
+    (broken,) = (tmp_path / "sink" / "folder=f02").glob("*.parquet")
+    broken.write_bytes(b"not parquet")
+    ss.append_batch(spark.createDataFrame([(5, "01", "f"), (1, "01", "z")], schema), sink, ["id"], [F.col("v")], F.col("day"))
+    assert sorted(r.id for r in spark.read.parquet(f"{sink}/folder=f01").collect()) == [1, 4, 5]
+
+
+def test_predictions_wait_for_results(spark, tmp_path):
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour, tzinfo=UTC)
+    facts = ("home_goals", "away_goals", "home_corners", "away_corners", "home_cards", "away_cards")
+    pred = "id long, match_hash string, market string, probability double, kickoff timestamp, home_goals int"
+    result = "match_hash string, match_date timestamp, " + ", ".join(f"{f} int" for f in facts)
+    preds = [
+        [(1, "a", "home_win", 0.5, at(1), 9), (2, "a", "draw", 0.5, at(1), 9), (3, "b", "draw", 0.5, at(1), 9), (4, "a", "home_win", 1.5, at(1), 9), (5, None, "draw", 0.5, at(1), 9)],
+        [(6, "a", "home_win", 0.4, at(1, 1), 9), (7, "c", "draw", 0.5, at(2), 9)],
+        [(8, "d", "home_win", 0.5, at(3), 9), (9, "e", "home_win", 0.5, None, 9)],
+        [(10, "z", "draw", 0.5, at(30), 9)],
+    ]
+    game = lambda key, when, *goals: (key, when, *goals, 5, 5, 1, 1)
+    results = [
+        [game("q", at(1), 0, 0)],
+        [game("c", at(1, 20), 1, 1), (None, at(1), 1, 1, 1, 1, 1, 1)],  # dated before its prediction
+        [game("a", at(1, 2), 2, 0), game("d", at(3), None, 0)],  # two batches after the prediction
+        [game("a", at(1, 2), 0, 3), game("q", at(30), 0, 0)],  # a copy that disagrees
+    ]
+    left, right = in_turn(spark, f"{tmp_path}/p", pred, preds), in_turn(spark, f"{tmp_path}/r", result, results)
+    out = f"{tmp_path}/out"
+    settled = ss.stream_resolve(left, right, lab.default_markets()).writeStream.outputMode("append").format("parquet").option("path", out)
+    done = ss.run_available(settled, f"{tmp_path}/mark")
+    got = {(r.match_hash, r.market): (r.state, r.home_goals) for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == len(got) == 5
+    assert {k: s for k, (s, _) in got.items()} == {("a", "home_win"): "WON", ("a", "draw"): "LOST", ("b", "draw"): "UNMATCHED", ("c", "draw"): "TIME_TRAVEL", ("d", "home_win"): "VOID"}
+    assert {goals for _, goals in got.values()} == {9}  # the prediction's own column of that name stays
+    assert max(o["numRowsTotal"] for o in done.lastProgress["stateOperators"]) <= 2  # only the latest rows still wait
+
+
+def test_settled_logs_repair_their_keys(spark):
+    from touchline.operators import validate
+    from touchline.plans import flows
+
+    at = dt.datetime(2024, 5, 1)
+    base = spark.createDataFrame([(1, "L", at, "Alpha ", "Beta", "bad key")], "id long, league string, kickoff timestamp, home_team string, away_team string, match_hash string")
+    preds = base.withColumns({"market": F.lit("home_win"), "probability": F.lit(0.5), "confidence": F.lit(0.5)})
+    key = validate.repair_key(base, "match_hash", "kickoff").first().match_hash
+    facts = "home_goals int, away_goals int, home_corners int, away_corners int, home_cards int, away_cards int"
+    results = spark.createDataFrame([(key, at, 2, 0, 5, 5, 1, 1)], f"match_hash string, match_date timestamp, {facts}")
+    resolved = lambda **kw: lab.resolve(preds, results, lab.default_markets(), order=["id"], **kw).first().state
+    assert resolved() == "UNMATCHED" and resolved(natural_date="kickoff") == "WON"
+    assert flows.settle(preds, results, ["id"], natural_date="kickoff")[0].first().outcome == "WON"
+
+
 BETS = "market string, ts timestamp, id long, conf double, hit double, tier string"
 
 
 def judged(spark, folder, parts):
     """Verdicts of bets that come in as one file per part."""
-    for n, part in enumerate(parts):
-        spark.createDataFrame(part, BETS).coalesce(1).write.parquet(f"{folder}/in/{n}")
-        for f in Path(f"{folder}/in/{n}").glob("*.parquet"):
-            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
-    stream = spark.readStream.schema(BETS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    stream = in_turn(spark, f"{folder}/in", BETS, parts)
     out = f"{folder}/out"
     with ss.state_store(spark):
         writer = ss.stream_market_drift(stream, "1 hour").writeStream.outputMode("append").format("parquet").option("path", out)

@@ -178,7 +178,8 @@ def _facts(results: DataFrame, key: str | list[str], first: list[str], columns:
     return first_per_key(results.filter(all_of([F.col(k).isNotNull() for k in keys])).select(*keys, *rest), keys, [F.col(c) for c in rest])
 
 
-def _needs(registry: MarketRegistry) -> list[str]:
+def needs(registry: MarketRegistry) -> list[str]:
+    """Result columns that the markets read."""
     return sorted({c for _, cols in registry.markets.values() for c in cols})
 
 
@@ -222,7 +223,7 @@ def resolve(
         first = first.join(seen.select(key, market).distinct().withColumn("_seen", F.lit(True)), [key, market], "left")
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
-    facts = _facts(results, key, [result_time], _needs(registry)).withColumnsRenamed({result_time: "_result_time"})
+    facts = _facts(results, key, [result_time], needs(registry)).withColumnsRenamed({result_time: "_result_time"})
     out = valid.join(first, [key, market], "left").join(facts.withColumn("_found", F.lit(True)), key, "left")
     out = out.withColumn("_label", registry.lookup(F.col("_market")))
     duplicate = F.coalesce(F.col("_seen"), F.lit(False)) | (F.struct(*order) != F.col("_first"))
@@ -246,14 +247,14 @@ def outcome_rows(resolved: DataFrame) -> DataFrame:
 def backfill_void(outcomes: DataFrame, results: DataFrame, registry: MarketRegistry, key: str = "match_id", market: str = "market") -> DataFrame:
     """Resolve again only the VOID rows; the rest skips the join."""
     void = outcomes.filter(F.col("outcome") == "VOID").withColumn("_market", canonical_market(market))
-    redone = void.join(_facts(results, key, [], _needs(registry)), key, "left").withColumn("_label", registry.lookup(F.col("_market")))
+    redone = void.join(_facts(results, key, [], needs(registry)), key, "left").withColumn("_label", registry.lookup(F.col("_market")))
     redone = redone.withColumn("outcome", F.when(F.col("_label").isNull(), "VOID").when(F.col("_label") == 1.0, "WON").otherwise("LOST"))
     return outcomes.filter(F.col("outcome") != "VOID").unionByName(redone.select(*outcomes.columns))
 
 
 def evaluate(preds: DataFrame, results: DataFrame, registry: MarketRegistry, key: str = "match_id", market: str = "market") -> DataFrame:
     """Signed and absolute error of predictions whose market is a label column."""
-    joined = preds.filter(F.col(market).isin(*registry.markets)).join(_facts(results, key, [], _needs(registry)), key)
+    joined = preds.filter(F.col(market).isin(*registry.markets)).join(_facts(results, key, [], needs(registry)), key)
     out = joined.withColumn("actual", registry.lookup(F.col(market))).filter(F.col("actual").isNotNull())
     out = out.withColumn("error", F.col("probability") - F.col("actual"))
     return out.withColumn("abs_error", F.abs("error")).select(*preds.columns, "actual", "error", "abs_error")

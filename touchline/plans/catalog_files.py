@@ -282,32 +282,38 @@ def _(t):
     rows = t("orders").select("o_custkey", "o_orderkey")
     rows.repartition(4).write.parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ss.run_available(ss.stream_append(stream, sink, ["o_custkey"], [F.col("o_orderkey")]), mark)
+    ss.run_available(ss.stream_append(stream, sink, ["o_custkey"], [F.col("o_orderkey")], F.col("o_custkey") % 16), mark)
     return t.spark.read.parquet(sink).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query(
     "t06_stream_resolve",
-    """WITH p AS (SELECT DISTINCT match_id, market_key FROM ledger) SELECT p.match_id, p.market_key AS market, coalesce(CASE CASE market_key WHEN 'home_win' THEN home_goals > away_goals WHEN 'draw' THEN home_goals = away_goals
-  WHEN 'away_win' THEN away_goals > home_goals WHEN 'over_2_5' THEN home_goals + away_goals > 2.5 WHEN 'btts_yes' THEN home_goals > 0 AND away_goals > 0 WHEN 'corn_o75' THEN home_corners + away_corners > 7.5 END WHEN true THEN 'WON' WHEN false THEN 'LOST' END, 'VOID') AS outcome
-FROM p JOIN contests c ON p.match_id = c.match_id""",
+    """WITH p AS (SELECT DISTINCT match_id, market_key FROM ledger WHERE probability BETWEEN 0 AND 1),
+r AS (SELECT *, match_date - to_hours(match_id % 40) AS kickoff, CASE WHEN match_id % 7 = 0 THEN match_date + INTERVAL 10 DAY WHEN match_id % 11 = 0 THEN match_date - INTERVAL 30 HOUR ELSE match_date END AS played FROM contests),
+j AS (SELECT p.match_id, p.market_key, r.* EXCLUDE (match_id) FROM p JOIN r ON p.match_id = r.match_id AND played BETWEEN kickoff - INTERVAL 24 HOUR AND kickoff + INTERVAL 72 HOUR)
+SELECT match_id, market_key AS market, CASE WHEN played < kickoff THEN 'TIME_TRAVEL' ELSE coalesce(CASE CASE market_key WHEN 'home_win' THEN home_goals > away_goals WHEN 'draw' THEN home_goals = away_goals
+  WHEN 'away_win' THEN away_goals > home_goals WHEN 'over_2_5' THEN home_goals + away_goals > 2.5 WHEN 'btts_yes' THEN home_goals > 0 AND away_goals > 0 WHEN 'corn_o75' THEN home_corners + away_corners > 7.5 END WHEN true THEN 'WON' WHEN false THEN 'LOST' END, 'VOID') END AS state
+FROM j""",
 )
 def _(t):
-    sink, mark, source = fresh(t.spark, "sink"), fresh(t.spark, "mark"), fresh(t.spark, "preds")
-    rows = t.ledger.select("bet_id", F.col("match_id").alias("match_hash"), F.col("market_key").alias("market"), "probability", F.col("ts").alias("kickoff"))
-    rows.repartition(3, "bet_id").write.parquet(source)
-    known = t.contests.withColumnRenamed("match_id", "match_hash")
-    calls = []
-
-    def results():
-        # the results of odd matches arrive with the second batch
-        calls.append(1)
-        return known if len(calls) > 1 else known.filter("match_hash % 2 = 0")
-
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ss.run_available(ss.stream_resolve(stream, results, MARKETS, sink, order=["bet_id"]), mark)
-    out = t.spark.read.parquet(f"{sink}/outcomes")
-    return out.select(F.col("match_hash").alias("match_id"), "market", "outcome")
+    out, mark = fresh(t.spark, "outcomes"), fresh(t.spark, "mark")
+    made = t.contests.select("match_id", F.expr("match_date - make_interval(0, 0, 0, 0, CAST(match_id % 40 AS INT))").alias("kickoff"))
+    preds = t.ledger.select("bet_id", "match_id", F.col("market_key").alias("market"), "probability").join(made, "match_id", "left")
+    # Results come ten days late (beyond the wait), early (before the prediction) or in time, those of odd matches in a later batch.
+    played = F.expr("CASE WHEN match_id % 7 = 0 THEN match_date + INTERVAL 10 DAY WHEN match_id % 11 = 0 THEN match_date - INTERVAL 30 HOUR ELSE match_date END")
+    known = t.contests.withColumn("match_date", played)
+
+    def streamed(parts, name):
+        folder = fresh(t.spark, name)
+        for rows in parts:
+            rows.coalesce(1).write.mode("append").parquet(folder)
+        return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    predictions = streamed([preds.filter(F.col("bet_id") % 3 == i) for i in range(3)], "preds")
+    results = streamed([known.filter(F.col("match_id") % 2 == i) for i in range(2)], "results")
+    settled = ss.stream_resolve(predictions, results, MARKETS, key="match_id", late_hours=24 * 60)
+    ss.run_available(settled.writeStream.outputMode("append").format("parquet").option("path", out), mark)
+    return t.spark.read.parquet(out).filter("state <> 'UNMATCHED'").select("match_id", "market", "state")
 
 
 NOW = dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC)

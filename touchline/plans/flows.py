@@ -58,9 +58,14 @@ def price_fixtures(fixtures: DataFrame, home_rate: str, away_rate: str) -> DataF
     return pr.price_handicap(pr.price_derived(priced, home_rate, away_rate), home_rate, away_rate)
 
 
-def settle(preds: DataFrame, results: DataFrame, order: list[str], seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes to append, drift state per league) of a prediction log."""
-    resolved = lab.resolve(preds, results, lab.default_markets(), order=order, seen=seen)
+def settle(
+    preds: DataFrame, results: DataFrame, order: list[str], seen: DataFrame | None = None, natural_date: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(outcomes to append, drift state per league) of a prediction log.
+
+    With ``natural_date`` (the log's date column) malformed keys are rebuilt before they meet the results.
+    """
+    resolved = lab.resolve(preds, results, lab.default_markets(), order=order, seen=seen, natural_date=natural_date)
     outcomes = lab.outcome_rows(resolved)
     return outcomes, d.drift_state(g.settled(outcomes))
 

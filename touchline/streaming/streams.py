@@ -23,6 +23,7 @@ from ..functions.scalars import season_start, short_fingerprint
 from ..operators import drift as d
 from ..operators import joins as j
 from ..operators import labels as lab
+from ..operators import validate as v
 from ..operators.ordered import first_per_key
 from ..sources.files import EVENT_SCHEMA
 
@@ -79,28 +80,40 @@ def alert_hash(message: str, context: str) -> Column:
     return F.substring(F.md5(F.concat(F.col(message), F.lit(":"), F.col(context))), 1, 12)
 
 
-def stream_suppress(alerts: DataFrame, key: str, time: str, hours: int = COOLDOWN_HOURS) -> DataFrame:
+def stream_suppress(alerts: DataFrame, key: str, time: str, hours: int = COOLDOWN_HOURS, late: str = "7 days") -> DataFrame:
     """First alert per key, then the next one no sooner than ``hours`` after the last that was *sent*.
 
     ``dropDuplicatesWithinWatermark`` would also drop an alert after the cooldown while the watermark lags, so a
-    per-key state of one timestamp is kept. Only a batch's timestamps of a key are held at once.
+    per-key state of one timestamp is kept, until the watermark has passed its cooldown: whatever comes then would be
+    sent anyway. Alerts without a time are not sent; those
+    later than ``late`` are dropped by Spark and counted in the progress.
     """
     wait = hours * 3_600_000_000
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        times = pd.concat([b["at"] for b in batches]).sort_values()
+        times = np.sort(np.concatenate([b["at"].to_numpy() for b in batches]))
         sent = []
-        for at in times:
-            if last is None or at >= last + wait:
-                sent.append(at)
-                last = at
-        state.update((int(last),))
+        place = 0 if last is None else int(np.searchsorted(times, last + wait))
+        while place < len(times):
+            last = int(times[place])
+            sent.append(last)
+            place = int(np.searchsorted(times, last + wait))
+        expiry = (last + wait) // 1000 + 1
+        if expiry > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(expiry)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"key": [group[0]] * len(sent), "at": pd.Series(sent, dtype="int64")})
 
-    keyed = alerts.select(F.col(key).alias("key"), F.unix_micros(time).alias("at"))
+    timed = alerts.filter(F.col(time).isNotNull()).select(F.col(key).alias("key"), F.col(time).alias("_time"))
+    keyed = timed.withWatermark("_time", late).withColumn("at", F.unix_micros("_time"))
     return keyed.groupBy("key").applyInPandasWithState(
-        run, "key string, at long", "last long", "append", GroupStateTimeout.NoTimeout
+        run, "key string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -231,40 +244,80 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_batch(batch: DataFrame, sink: str, key: list[str], order: list[Column]) -> None:
-    """Add rows whose key the sink lacks, one copy each."""
-    existing = read_or_none(batch.sparkSession, sink)
+def append_batch(batch: DataFrame, sink: str, key: list[str], order: list[Column], part: Column | None = None) -> None:
+    """Add rows whose key the sink lacks, one copy each.
+
+    ``part`` (a function of the key, such as the day of a match) cuts the sink into folders; only those that the batch
+    touches are read. Their names pass the driver, a row per folder touched.
+    """
     new = first_per_key(batch, key, order)
+    existing = read_or_none(batch.sparkSession, sink)
+    if part is None:
+        if existing is not None:
+            new = j.unseen(new, existing, key)
+        new.write.mode("append").parquet(sink)
+        return
+    # The letter keeps folder names text, whatever they look like.
+    new = new.withColumn("folder", F.concat(F.lit("f"), F.coalesce(part.cast("string"), F.lit(""))))
     if existing is not None:
-        new = j.unseen(new, existing, key)
-    new.write.mode("append").parquet(sink)
+        touched = [r.folder for r in new.select("folder").distinct().collect()]
+        new = j.unseen(new, existing.filter(F.col("folder").isin(touched)), key)
+    new.write.mode("append").partitionBy("folder").parquet(sink)
 
 
-def stream_append(results: DataFrame, sink: str, key: list[str], order: list[Column]) -> DataStreamWriter:
-    """Exactly-once append across batches and replays (T5)."""
-    return results.writeStream.foreachBatch(lambda batch, _: append_batch(batch, sink, key, order))
+def stream_append(results: DataFrame, sink: str, key: list[str], order: list[Column], part: Column | None = None) -> DataStreamWriter:
+    """Exactly-once append across batches and replays (T5). With ``part`` a batch reads only the folders it adds to."""
+    return results.writeStream.foreachBatch(lambda batch, _: append_batch(batch, sink, key, order, part))
 
 
 def stream_resolve(
-    preds: DataFrame, results: Callable[[], DataFrame], registry: lab.MarketRegistry, sink: str, *, order: list[str], key: str = "match_hash"
-) -> DataStreamWriter:
-    """Settle a prediction stream against the results known at each batch; unmatched ones wait.
-
-    ``results`` is called per batch, so later batches see later results. The waiting rows of batch n are the
-    numbered folder n; a replayed batch reads n - 1 again and overwrites n.
+    preds: DataFrame,
+    results: DataFrame,
+    registry: lab.MarketRegistry,
+    *,
+    key: str = "match_hash",
+    market: str = "market",
+    probability: str = "probability",
+    pred_time: str = "kickoff",
+    result_time: str = "match_date",
+    wait_hours: int = 72,
+    back_hours: int = 24,
+    late_hours: int = 24,
+    natural_date: str | None = None,
+) -> DataFrame:
+    """Settle a prediction stream against a result stream; both wait for each other in the state of a join.
+
+    A result settles a prediction if it is dated from ``back_hours`` before (TIME_TRAVEL then) to ``wait_hours`` after
+    it. Unmatched predictions leave the state as UNMATCHED once the watermark has passed that span; the watermark is
+    that of the slower stream, so a lagging result stream loses nothing. States, columns and key repair
+    (``natural_date``) are those of ``labels.resolve``; ``labels.outcome_rows`` picks what to persist.
+
+    A (key, market) and the result of a key count once, the first to arrive. The watermarks wait for the whole span of
+    the join (or ``late_hours``, if longer), so copies that outlive the state of the first cannot settle a second time.
+    Rows that are invalid, or without a time, are left out, as no outcome is written for them.
     """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        waiting = read_or_none(spark, f"{sink}/waiting/{number - 1}") if number > 0 else None
-        rows = batch if waiting is None else batch.unionByName(waiting)
-        seen = read_or_none(spark, f"{sink}/outcomes")
-        done = lab.resolve(rows, results(), registry, seen=seen, order=order, key=key).persist()
-        done.filter(F.col("state") == "UNMATCHED").select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/waiting/{number}")
-        lab.outcome_rows(done).write.mode("append").parquet(f"{sink}/outcomes")
-        done.unpersist()
-
-    return preds.writeStream.foreachBatch(run)
+    span = f"{max(late_hours, wait_hours + back_hours)} hours"
+    p = F.col(probability)
+    rows = preds if natural_date is None else v.repair_key(preds, key, natural_date)
+    ok_key = F.col(key).isNotNull() if natural_date is None else v.valid_key(key)
+    rows = rows.filter(p.between(0, 1) & ~F.isnan(p) & ok_key & F.col(pred_time).isNotNull())
+    whole = F.struct(*[F.col(c) for c in preds.columns]).alias("_pred")
+    left = rows.select(F.col(key).alias("_key"), lab.canonical_market(market).alias("_market"), F.col(market).alias("_name"), F.col(pred_time).alias("_at"), whole)
+    left = left.withWatermark("_at", span).dropDuplicatesWithinWatermark(["_key", "_name"])
+    facts = [F.col(c) for c in lab.needs(registry)]
+    known = results.filter(F.col(key).isNotNull() & F.col(result_time).isNotNull())
+    right = known.select(F.col(key).alias("_result_key"), F.col(result_time).alias("_result_time"), *facts)
+    right = right.withWatermark("_result_time", span).dropDuplicatesWithinWatermark(["_result_key"])
+    near = F.expr(f"_key = _result_key AND _result_time >= _at - INTERVAL {back_hours} HOURS AND _result_time <= _at + INTERVAL {wait_hours} HOURS")
+    joined = left.join(right, near, "left_outer").withColumn("_label", registry.lookup(F.col("_market")))
+    state = (
+        F.when(F.col("_result_time").isNull(), "UNMATCHED")
+        .when(F.col("_result_time") < F.col("_at"), "TIME_TRAVEL")
+        .when(F.col("_label").isNull(), "VOID")
+        .when(F.col("_label") == 1.0, "WON")
+        .otherwise("LOST")
+    )
+    return joined.select("_pred.*", state.alias("state"), F.col("_result_time").alias("result_time"))
 
 
 def ingest_fixtures(df: DataFrame, now: dt.datetime, max_age_hours: int = 24) -> DataFrame:
