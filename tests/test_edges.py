@@ -19,6 +19,7 @@ from touchline.operators import labels as lab
 from touchline.operators import selection as k
 from touchline.operators import standings as st
 from touchline.operators import validate as v
+from touchline.operators.names import weighted_candidates
 from touchline.sources import files as io
 from touchline.streaming import streams as ss
 
@@ -357,6 +358,74 @@ def test_append_survives_a_replay(spark, tmp_path):
     assert rows(spark.read.parquet(sink)) == [(1, "a"), (2, "c")]
 
 
+LEAGUE = ["MANCHESTER UNITED", "MANCHESTER CITY", "NEWCASTLE UNITED", "WEST HAM UNITED", "BRIGHTON AND HOVE ALBION", "WEST BROMWICH ALBION", "ASTON VILLA", "ÉVIAN"]
+
+
+def brute_candidates(asked, teams, cutoff):
+    """All pairs, word by word."""
+    cut = lambda name: {"".join(g) for ok, g in itertools.groupby(name.upper(), str.isalnum) if ok}
+    having = {}
+    for team in teams:
+        for word in cut(team):
+            having[word] = having.get(word, 0) + 1
+    weight = lambda word: math.log1p(len(teams) / having.get(word, 1))
+
+    def alike(a, b):
+        short, long = sorted((a, b), key=len)
+        return 1.0 if a == b else 0.9 if len(short) >= 3 and long.startswith(short) else 0.0
+
+    out = {}
+    for name, team in itertools.product(asked, teams):
+        q, t = cut(name), cut(team)
+        met = sum(weight(x) * max((alike(x, y) for y in q), default=0) for x in t)
+        strange = sum(weight(y) for y in q if not any(alike(x, y) for x in t))
+        score = 100 * met / (sum(map(weight, t)) + strange)
+        if q and score >= cutoff:
+            out[name, team] = score
+    return out
+
+
+@pytest.mark.parametrize("cutoff", [30.0, 60.0, 85.0, 100.0])
+def test_weighted_names_equal_all_pairs(spark, cutoff):
+    rng = random.Random(3)
+    vocabulary = [w for team in LEAGUE for w in team.split()]
+    asked = {"UNITED MANCHESTER", "MAN UNITED", "UNITED", "évian", "FC", "--", "W", "UNITED UNITED"}
+    for _ in range(150):
+        picked = [w[: rng.choice([2, 3, 4, 20])] + rng.choice(["", "", "X"]) for w in rng.sample(vocabulary, rng.randint(1, 4))]
+        asked.add(rng.choice([" ", "-", " / "]).join(picked))
+    names = spark.createDataFrame([(n,) for n in [*asked, "UNITED", None, ""]], "name string")
+    teams = spark.createDataFrame([(n,) for n in [*LEAGUE, LEAGUE[0], None]], "team string")
+    got = {(r.name, r.team): r.score for r in weighted_candidates(names, teams, [], cutoff).collect()}
+    expected = brute_candidates(asked, LEAGUE, cutoff - 1e-9)
+    assert got.keys() == expected.keys() and got
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in got)
+    assert weighted_candidates(names, teams.limit(0), [], cutoff).count() == 0 == weighted_candidates(names.limit(0), teams, [], cutoff).count()
+
+
+def test_words_resolve_names(spark):
+    members = spark.createDataFrame([("PL", "24", t) for t in LEAGUE] + [("PL", "23", "LEEDS UNITED"), ("L2", "24", "OLYMPIQUE LYON")], "league string, season string, team string")
+    aliases = spark.createDataFrame([("PL", "24", "The Reds", "MANCHESTER UNITED"), ("PL", "23", "The Reds", "LEEDS UNITED"), ("PL", None, "Villans", "ASTON VILLA"), ("PL", "23", "Peacocks", "LEEDS UNITED")], "league string, season string, alias string, team string")
+    asked = ["UNITED MANCHESTER", "MAN UNITED", "man city", "Newcastle", "UNITED", "The Reds", "Villans", "Peacocks", "LYON OLYMPIQUE", "ASTON VILA", "NOBODY"]
+    names = spark.createDataFrame([("PL", "24", n) for n in asked] + [("PL", "23", "The Reds")], "league string, season string, name string")
+    got = {(r.season, r.name): (r.team, r.via) for r in j.resolve_names(names, members, aliases, weighted=True).collect()}
+    assert got == {
+        ("24", "UNITED MANCHESTER"): ("MANCHESTER UNITED", "words"),
+        ("24", "MAN UNITED"): ("MANCHESTER UNITED", "words"),
+        ("24", "MAN CITY"): ("MANCHESTER CITY", "words"),
+        ("24", "NEWCASTLE"): ("NEWCASTLE", "unresolved"),
+        ("24", "UNITED"): ("UNITED", "unresolved"),
+        ("24", "THE REDS"): ("MANCHESTER UNITED", "alias"),
+        ("23", "THE REDS"): ("LEEDS UNITED", "alias"),
+        ("24", "VILLANS"): ("ASTON VILLA", "alias"),
+        ("24", "PEACOCKS"): ("LEEDS UNITED", "other season"),
+        ("24", "LYON OLYMPIQUE"): ("OLYMPIQUE LYON", "words other league"),
+        ("24", "ASTON VILA"): ("ASTON VILLA", "fuzzy"),
+        ("24", "NOBODY"): ("NOBODY", "unresolved"),
+    }
+    plain = j.resolve_names(names, members, aliases.drop("season"))
+    assert {r.name: r.via for r in plain.collect()}["MAN UNITED"] == "unresolved"
+
+
 def in_turn(spark, folder, schema, parts):
     """A stream that brings one part per batch."""
     for n, part in enumerate(parts):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import join_name, similarity
+from .names import best_team, weighted_candidates
 from .ordered import Feature, Rolling, as_of, first_per_key, point_in_time
 
 
@@ -236,29 +237,39 @@ def fuzzy_candidates(names: DataFrame, canonical: DataFrame, scope: list[str], c
     return pairs.withColumn("score", score).filter(F.col("score") >= cutoff - 1e-9)
 
 
-def resolve_names(names: DataFrame, membership: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve_names(names: DataFrame, membership: DataFrame, aliases: DataFrame, weighted: bool = False) -> DataFrame:
     """Canonical name of each distinct (league, season, name).
 
     Stages: this season's list, its aliases, other seasons, fuzzy in the league's list, the same over all
-    leagues, else the name itself. ``membership``: league, season, team. ``aliases``: league, alias, team.
-    The similarity is edit distance over the longer length; ties go to the smallest name.
+    leagues, else the name itself. ``membership``: league, season, team. ``aliases``: league, alias, team and, if
+    they hold for one season only, season (null: any); aliases of other seasons come after other seasons' lists.
+    The similarity is edit distance over the longer length; ties go to the smallest name. With ``weighted`` names
+    that no edit reaches are scored by weighted words (``names.weighted_candidates``) in the league's list of the
+    season, and at the very end over all leagues.
     """
     keys = ["league", "season", "name"]
     asked = names.select("league", "season", F.upper(F.trim("name")).alias("name")).distinct()
     members = membership.select("league", "season", F.upper("team").alias("team")).distinct()
-    alias = aliases.select("league", F.upper("alias").alias("name"), F.upper("team").alias("team"))
+    bound = F.col("season") if "season" in aliases.columns else F.lit(None).cast("string")
+    dated = aliases.select("league", bound.alias("season"), F.upper("alias").alias("name"), F.upper("team").alias("team"))
+    alias = dated.drop("season")
 
     def stage(frame: DataFrame, on: list[str], label: str) -> DataFrame:
         return frame.groupBy(*on).agg(F.min("team").alias(label))
 
     exact = members.withColumn("name", F.col("team"))
     in_season = stage(exact, ["league", "season", "name"], "s1")
-    by_alias = stage(alias, ["league", "name"], "s2")
+    by_alias = stage(dated.filter("season IS NULL").drop("season"), ["league", "name"], "s2")
+    of_season = stage(dated.filter("season IS NOT NULL"), keys, "s2a")
+    of_other = stage(dated.filter("season IS NOT NULL"), ["league", "name"], "s3a")
     other = stage(exact, ["league", "name"], "s3")
     anywhere = stage(exact.unionByName(alias.withColumn("season", F.lit(None).cast("string"))), ["name"], "s5")
     out = (
         asked.join(in_season, keys, "left").join(by_alias, ["league", "name"], "left").join(other, ["league", "name"], "left")
     )
+    if "season" in aliases.columns:
+        out = out.join(of_season, keys, "left").join(of_other, ["league", "name"], "left")
+        out = out.withColumns({"s2": F.coalesce("s2a", "s2"), "s3": F.coalesce("s3", "s3a")})
     open_names = out.filter(F.coalesce("s1", "s2", "s3").isNull()).select("league", "season", "name")
     local = fuzzy_candidates(open_names, members, ["league", "season"])
     top = local.groupBy(*keys).agg(F.max("score").alias("score"))
@@ -267,13 +278,22 @@ def resolve_names(names: DataFrame, membership: DataFrame, aliases: DataFrame) -
     top = wide.groupBy("name").agg(F.max("score").alias("score"))
     wide = wide.join(top, ["name", "score"]).groupBy("name").agg(F.min("team").alias("s6"))
     out = out.join(local, keys, "left").join(anywhere, "name", "left").join(wide, "name", "left")
+    out = out.withColumns({"s4w": F.lit(None).cast("string"), "s7": F.lit(None).cast("string")})
+    if weighted:
+        by_words = weighted_candidates(open_names, members, ["league", "season"])
+        by_all_words = weighted_candidates(open_names, members, [])
+        out = out.drop("s4w", "s7").join(best_team(by_words, keys, "s4w"), keys, "left").join(best_team(by_all_words, ["name"], "s7"), "name", "left")
+        nothing = F.coalesce("s1", "s2", "s3", "s4", "s4w", "s5", "s6").isNull()
+        out = out.withColumn("s7", F.when(nothing, F.col("s7")))
     via = (
         F.when(F.col("s1").isNotNull(), "season")
         .when(F.col("s2").isNotNull(), "alias")
         .when(F.col("s3").isNotNull(), "other season")
         .when(F.col("s4").isNotNull(), "fuzzy")
+        .when(F.col("s4w").isNotNull(), "words")
         .when(F.col("s5").isNotNull(), "other league")
         .when(F.col("s6").isNotNull(), "fuzzy other league")
+        .when(F.col("s7").isNotNull(), "words other league")
         .otherwise("unresolved")
     )
-    return out.select(*keys, F.coalesce("s1", "s2", "s3", "s4", "s5", "s6", "name").alias("team"), via.alias("via"))
+    return out.select(*keys, F.coalesce("s1", "s2", "s3", "s4", "s4w", "s5", "s6", "s7", "name").alias("team"), via.alias("via"))

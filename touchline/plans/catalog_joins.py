@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as j
 from ..operators import labels as lab
 from ..operators import validate as v
+from ..operators.names import weighted_candidates
 from ..operators.ordered import as_of
 from .registry import micros, query, r6, rounded
 
@@ -331,6 +332,35 @@ def _(t):
     return j.resolve_names(names, members, aliases)
 
 
+VARIED = """CASE match_id % 5 WHEN 0 THEN split_part(home_team, '-', 2) || ' ' || league WHEN 1 THEN substring(league, 1, 4) || ' ' || split_part(home_team, '-', 2)
+ WHEN 2 THEN 'FC ' || home_team WHEN 3 THEN home_team || ' ' || league ELSE league END"""
+
+
+def word_sql(name, frame):
+    words = f"unnest(regexp_split_to_array({name}, '[^\\p{{L}}\\p{{N}}]+')) AS word"
+    return f"SELECT DISTINCT * FROM (SELECT league, season, {name}, {words} FROM {frame}) WHERE word <> ''"
+
+
+@query(
+    "x04_weighted_names",
+    f"""WITH nm AS (SELECT DISTINCT league, season, upper({VARIED}) AS name FROM contests), m AS (SELECT DISTINCT league, season, upper(away_team) AS team FROM contests WHERE match_id % 7 <> 0),
+sz AS (SELECT league, season, count(*) AS n FROM m GROUP BY 1, 2), mw AS ({word_sql('team', 'm')}), nw AS ({word_sql('name', 'nm')}),
+df AS (SELECT league, season, word, count(*) AS having_it FROM mw GROUP BY 1, 2, 3),
+tw AS (SELECT mw.*, ln(1 + n / having_it) AS w FROM mw JOIN sz USING (league, season) JOIN df USING (league, season, word)),
+qw AS (SELECT nw.*, ln(1 + n / coalesce(having_it, 1)) AS w FROM nw JOIN sz USING (league, season) LEFT JOIN df USING (league, season, word)),
+p AS (SELECT t.league, t.season, name, team, q.word AS q, q.w AS qw, t.word AS t, t.w AS tw,
+  CASE WHEN q.word = t.word THEN 1.0e0 WHEN least(length(q.word), length(t.word)) >= 3 AND (starts_with(q.word, t.word) OR starts_with(t.word, q.word)) THEN 0.9e0 ELSE 0.0e0 END AS alike
+  FROM qw q JOIN tw t ON q.league = t.league AND q.season = t.season),
+a AS (SELECT league, season, name, team, sum(w * best) AS met, sum(w) AS whole FROM (SELECT league, season, name, team, t, any_value(tw) AS w, max(alike) AS best FROM p GROUP BY ALL) GROUP BY ALL),
+b AS (SELECT league, season, name, team, sum(CASE WHEN best = 0 THEN w ELSE 0 END) AS strange FROM (SELECT league, season, name, team, q, any_value(qw) AS w, max(alike) AS best FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT league, season, name, team, round(100 * met / (whole + strange), 6) AS score FROM a JOIN b USING (league, season, name, team) WHERE round(100 * met / (whole + strange), 9) >= 85""",
+)
+def _(t):
+    names = t.contests.select("league", "season", F.upper(F.expr(VARIED)).alias("name"))
+    members = t.contests.filter("match_id % 7 <> 0").select("league", "season", F.upper("away_team").alias("team"))
+    return rounded(weighted_candidates(names, members, ["league", "season"]), "score")
+
+
 # ---- labels and settlement ------------------------------------------------------------------------------
 
 TC = [(f"{s}_corners_{d}_{str(x).replace('.', '_')}", f"{s}_corners {'<' if d == 'under' else '>'} {x}") for s in ("home", "away") for x in (2.5, 3.5, 4.5, 5.5, 6.5) for d in ("under", "over")]
