@@ -120,6 +120,49 @@ def test_hot_pairs_and_standings(tables):
     assert rows(a) == rows(st.with_standings(tables.contests, tables.team, columns, split_hot_keys=False))
 
 
+@pytest.mark.parametrize("kw", [{}, {"chunk_rows": 30}])
+def test_standings_by_brute_force(spark, kw):
+    rng = random.Random(8)
+    begin = dt.datetime(2024, 1, 1)
+    games = []
+    for i in range(160):
+        home, away = rng.sample(["Á", "B", "b", "C", "Z", "Late"] if i > 120 else ["Á", "B", "b", "C", "Z"], 2)
+        games.append((i, rng.choice("LM"), "S", begin + dt.timedelta(hours=i // 3), home, away, rng.randrange(3), rng.choice([0, 1, 2, None])))
+    schema = "match_id long, league string, season string, match_date timestamp, home_team string, away_team string, home_goals int, away_goals int"
+    matches = spark.createDataFrame(games, schema)
+    side = lambda us, them: matches.select(
+        "match_id", "league", "season", "match_date", F.col(f"{us}_team").alias("team"), F.col(f"{us}_goals").alias("goals_for"), F.col(f"{them}_goals").alias("goals_against"),
+        F.expr(f"CASE WHEN {us}_goals > {them}_goals THEN 3 WHEN {us}_goals = {them}_goals THEN 1 ELSE 0 END").alias("points"),
+    )
+    odd = [(900, "L", None, begin, "B", "C", 1, 1), (901, "L", "S", None, "B", "C", 1, 1), (902, "Q", "S", begin, "B", "C", 1, 1), (903, "L", "S", begin + dt.timedelta(days=90), None, "C", 1, 1)]
+    fixtures = spark.createDataFrame([*games, games[70], *odd], schema).withColumn("rank", F.lit("own"))
+    columns = ["rank", "points", "gd", "league_size", "recent_ppg"]
+    got = rows(st.with_standings(fixtures, side("home", "away").union(side("away", "home")), columns, **kw))
+
+    def table(league, when):
+        sides = {}
+        for _, lg, _, at, home, away, h, a in sorted(games):
+            if lg == league and at < when:
+                for team, f, g in ((home, h, a), (away, a, h)):
+                    row = sides.setdefault(team, {"gd": None, "gs": None, "points": []})
+                    row["points"].append(0 if f is None or g is None else 3 if f > g else 1 if f == g else 0)
+                    if f is not None:
+                        row["gs"] = (row["gs"] or 0) + f
+                        if g is not None:
+                            row["gd"] = (row["gd"] or 0) + f - g
+        least = lambda x: math.inf if x is None else -x
+        order = sorted(sides, key=lambda t: (-sum(sides[t]["points"]), least(sides[t]["gd"]), least(sides[t]["gs"]), t))
+        return {t: (order.index(t) + 1, sum(r["points"]), r["gd"], len(order), np.mean(r["points"][-5:])) for t, r in sides.items()}
+
+    expected = []
+    for g in [*games, games[70], *odd]:
+        known = table(g[1], g[3]) if g[2] and g[3] else {}
+        expected.append((*g, "own", *known.get(g[4], (None,) * 5), *known.get(g[5], (None,) * 5)))
+    assert len(got) == len(expected)
+    for a, b in zip(got, sorted(expected, key=str)):
+        assert a == tuple(round(float(x), 2) if isinstance(x, np.floating) else x for x in b)
+
+
 def test_standings_ties(spark):
     games = [("A", "B", 2, 0), ("C", "D", 1, 1), ("B", "C", 0, 0), ("D", "A", 0, 1)]
     base = dt.datetime(2024, 8, 1, tzinfo=UTC)

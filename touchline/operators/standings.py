@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import Feature, Rolling, Running, as_of, point_in_time, top_per_key
+from ..session import cut_lineage
+from .ordered import CHUNK_ROWS, Feature, Rolling, Running, all_of, hot_keys, point_in_time, top_per_key, with_chunks
 
 # Thresholds of the bands.
 FORM_WINDOW, MIN_FORM = 5, 3
@@ -35,22 +39,24 @@ def status_band(rank: Column, size: Column) -> Column:
     return F.when(rank <= TOP_PLACES, "TOP").when(rank >= size - BOTTOM_PLACES + 1, "LOW").otherwise("MID")
 
 
+def _derived(c: Callable[[str], Column]) -> dict[str, Column]:
+    """Points per game and bands; ``c`` gives the column of a table by its name."""
+    season, recent = c("points") / c("played"), c("recent_points") / c("recent_n")
+    return {
+        "season_ppg": F.round(season, 2),
+        "recent_ppg": F.round(recent, 2),
+        "divergence": F.round(recent - season, 2),
+        "momentum_band": momentum_band(recent - season, c("recent_n")),
+        "status_band": status_band(c("rank"), c("league_size")),
+    }
+
+
 def _finish(table: DataFrame, scope: list[str]) -> DataFrame:
     """Points per game, bands and ranks. A league's table has one row per side, so these windows stay small."""
-    season = F.col("points") / F.col("played")
-    recent = F.col("recent_points") / F.col("recent_n")
     place = Window.partitionBy(*scope).orderBy(F.col("points").desc(), F.col("gd").desc(), F.col("gs").desc(), "team")
     size = F.count(F.lit(1)).over(Window.partitionBy(*scope))
-    out = table.withColumns({"_d": recent - season, "rank": F.row_number().over(place), "league_size": size})
-    return out.withColumns(
-        {
-            "season_ppg": F.round(season, 2),
-            "recent_ppg": F.round(recent, 2),
-            "divergence": F.round("_d", 2),
-            "momentum_band": momentum_band(F.col("_d"), F.col("recent_n")),
-            "status_band": status_band(F.col("rank"), F.col("league_size")),
-        }
-    ).drop("_d", "recent_points", "recent_n")
+    out = table.withColumns({"rank": F.row_number().over(place), "league_size": size})
+    return out.withColumns(_derived(F.col)).drop("recent_points", "recent_n")
 
 
 def standings(team: DataFrame, as_of: dt.datetime, league: str | None = None, season: str | None = None) -> DataFrame:
@@ -73,12 +79,71 @@ def standings(team: DataFrame, as_of: dt.datetime, league: str | None = None, se
     return _finish(total.join(recent, keys), SCOPE)
 
 
+STATE = ["points", "gd", "gs", "played", "recent_points", "recent_n"]
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """Table rows of both sides of every fixture of one scope (or one stretch of its time).
+
+    One table is carried through the kickoffs in order; only the sides that played since the last one change.
+    """
+    changes = rows[rows["team"].notna()].sort_values(["us", "match_id"])
+    fixtures = rows[rows["team"].isna()].sort_values("us", ignore_index=True)
+    names, side = np.unique(changes["team"].to_numpy(dtype=object), return_inverse=True)
+    facts = changes[STATE].to_numpy(dtype="float64")
+    number = {n: i for i, n in enumerate(names)}
+    asked = np.array([[number.get(n, -1) for n in fixtures[c]] for c in ("home_team", "away_team")], dtype="int64").reshape(2, -1)
+    table = np.full((len(names) + 1, len(STATE)), np.nan)  # the last row stands for sides without a match
+    rank = np.full(len(names) + 1, np.nan)
+    # What the places go by, least first: goals, difference, points (missing ones last), and who has played at all.
+    falling = np.vstack([-np.nan_to_num(facts[:, [2, 1, 0]], nan=-np.inf).T, np.zeros(len(facts))])
+    places = np.ones((4, len(names)))
+    size = 0
+    out = np.full((2, len(fixtures), len(STATE) + 2), np.nan)
+    kickoffs, first = np.unique(fixtures["us"].to_numpy(), return_index=True)
+    until = np.searchsorted(changes["us"].to_numpy(), kickoffs, side="left")
+    done = 0
+    for now, begin, end in zip(until, first, [*first[1:], len(fixtures)]):
+        if now > done:
+            table[side[done:now]] = facts[done:now]  # in order, so a side's last match counts
+            places[:, side[done:now]] = falling[:, done:now]
+            done = now
+            size = len(names) - np.count_nonzero(places[3])
+            rank[np.lexsort(places)[:size]] = np.arange(1, size + 1)  # stable, so names settle ties
+        for which in (0, 1):
+            at = asked[which, begin:end]
+            out[which, begin:end, :-2] = table[at]
+            out[which, begin:end, -2] = rank[at]
+            out[which, begin:end, -1] = size
+    result = fixtures[[*SCOPE, "us", "home_team", "away_team"]].copy()
+    for which, name in enumerate(("home", "away")):
+        for k, c in enumerate([*STATE, "rank", "league_size"]):
+            result[f"{name}_{c}"] = out[which, :, k]
+    return result
+
+
+def _stretches(rows: DataFrame, chunk_rows: int, bucket: Column) -> DataFrame:
+    """Cut scopes along time; the latest row per side goes on into the following stretches, up to the one of its next match."""
+    cut = cut_lineage(with_chunks(rows, SCOPE, bucket, chunk_rows))
+    changes = cut.filter(F.col("team").isNotNull())
+    whole = F.struct(*rows.columns)
+    last = changes.groupBy(*SCOPE, "team", "_chunk").agg(F.max_by(whole, F.struct("us", "match_id")).alias("_row"))
+    end = cut.groupBy(*SCOPE).agg(F.max("_chunk").alias("_end"))
+    following = F.lead("_chunk").over(Window.partitionBy(*SCOPE, "team").orderBy("_chunk"))  # a row per stretch
+    spans = last.withColumn("_next", following).join(end, SCOPE)
+    upto = F.coalesce("_next", "_end")
+    later = F.when(upto > F.col("_chunk"), F.sequence(F.col("_chunk") + 1, upto))
+    carried = spans.select("_row", F.explode(later).alias("_chunk")).select("_row.*", "_chunk")
+    return cut.select(*rows.columns, "_chunk").unionByName(carried)
+
+
 def with_standings(fixtures: DataFrame, team: DataFrame, columns: list[str], **kw) -> DataFrame:
     """Both sides' table rows as the league stood before each fixture.
 
-    Cumulative states come from one running window per side. The sides of a league are taken to every kickoff
-    of that league by an equi-join (a league has some twenty sides) and read their state there as of strictly
-    before.
+    Cumulative states come from one running window per side. The states and the fixtures of a league and season meet
+    in one group, which carries the table through the kickoffs; no row is made per side and kickoff. Scopes beyond
+    ``chunk_rows`` rows are cut along time, and each stretch begins with the latest state of every side. Fixtures
+    without a time or scope, and sides without an earlier match, have null columns.
     """
     keys = [*SCOPE, "team"]
     order = ["match_date", "match_id"]
@@ -86,24 +151,41 @@ def with_standings(fixtures: DataFrame, team: DataFrame, columns: list[str], **k
     last = lambda v: Rolling(FORM_WINDOW, v, include_current=True)
     state = Feature(
         running={
-            "played": here("count", F.lit(1)),
-            "pts": here("sum", F.col("points")),
-            "gd": here("sum", F.col("goals_for") - F.col("goals_against")),
-            "gs": here("sum", F.col("goals_for")),
+            "_played": here("count", F.lit(1)),
+            "_points": here("sum", F.col("points")),
+            "_gd": here("sum", F.col("goals_for") - F.col("goals_against")),
+            "_gs": here("sum", F.col("goals_for")),
         },
-        rolling={"recent_points": last(F.sum("points")), "recent_n": last(F.count(F.lit(1)))},
+        rolling={"_recent_points": last(F.sum("points")), "_recent_n": last(F.count(F.lit(1)))},
+        finish={f"s_{c}": F.col(f"_{c}") for c in STATE},
+    )
+    us = F.unix_micros(F.col("match_date").cast("timestamp"))
+    placed = all_of([F.col(c).isNotNull() for c in (*SCOPE, "match_date")])
+    played = team.filter(placed & F.col("team").isNotNull())
+    chunk_rows = kw.get("chunk_rows", CHUNK_ROWS)
+    # One count for both: where no scope is large, no side is.
+    counted = played.select(*SCOPE).unionByName(fixtures.filter(placed).select(*SCOPE))
+    split = kw.get("split_hot_keys", True) and hot_keys(counted, SCOPE, chunk_rows) is not None
+    states = point_in_time(played, keys, order, [state], **{**kw, "split_hot_keys": split})
+    states = states.select(*keys, us.alias("us"), "match_id", *[F.col(f"s_{c}").cast("long").alias(c) for c in STATE])
+    pairs = fixtures.filter(placed).select(*SCOPE, us.alias("us"), "home_team", "away_team").distinct()
+    rows = states.unionByName(pairs, allowMissingColumns=True)
+    if split:
+        hour = F.floor(F.col("us") / 3_600_000_000)
+        rows = _stretches(rows, chunk_rows, hour if kw.get("bucket") is None else F.col("us"))
+    fields = {f"{side}_{c}": "long" for side in ("home", "away") for c in [*STATE, "rank", "league_size"]}
+    kinds = {**{c: rows.schema[c].dataType.simpleString() for c in SCOPE}, "us": "long", "home_team": "string", "away_team": "string", **fields}
+    folded = rows.groupBy(*SCOPE, *(["_chunk"] if split else [])).applyInPandas(
+        lambda group: _fold(group), ", ".join(f"{n} {k}" for n, k in kinds.items())
     )
-    payload = ["played", "pts", "gd", "gs", "recent_points", "recent_n"]
-    states = point_in_time(team, keys, order, [state], **kw).select(*keys, *order, *payload)
-    kickoffs = fixtures.select(*SCOPE, "match_date").distinct()
-    sides = team.select(*keys).distinct()
-    probes = kickoffs.join(sides, SCOPE)
-    seen = as_of(probes, states, keys, "match_date", payload, right_tie=["match_id"], strict=True, **kw)
-    table = seen.filter(F.col("played").isNotNull()).withColumnRenamed("pts", "points")
-    table = _finish(table, [*SCOPE, "match_date"])
-    # One row per kickoff with its league's sides in a map (a league has some twenty); one join for both sides.
-    entry = F.struct("team", F.struct(*columns).alias("row"))
-    per_kickoff = table.groupBy(*SCOPE, "match_date").agg(F.map_from_entries(F.collect_list(entry)).alias("_table"))
-    out = fixtures.join(per_kickoff, [*SCOPE, "match_date"], "left")
-    at = lambda side, c: F.try_element_at("_table", F.col(f"{side}_team"))[c].alias(f"{side}_{c}")
-    return out.select(*fixtures.columns, *[at(side, c) for side in ("home", "away") for c in columns])
+    meet = [*SCOPE, "us", "home_team", "away_team"]
+    right = folded.select(*[F.col(c).alias(f"_k_{c}") for c in meet], *[F.col(c).alias(f"_t_{c}") for c in fields])
+    both = all_of([(us if c == "us" else F.col(c)).eqNullSafe(F.col(f"_k_{c}")) for c in meet])
+    out = fixtures.join(right, both, "left")
+
+    def at(side: str, name: str) -> Column:
+        c = lambda n: F.col(f"_t_{side}_{n}")
+        known = {**_derived(c), "rank": c("rank").cast("int")}
+        return F.when(c("rank").isNotNull(), known[name] if name in known else c(name)).alias(f"{side}_{name}")
+
+    return out.select(*[fixtures[c] for c in fixtures.columns], *[at(side, c) for side in ("home", "away") for c in columns])
