@@ -16,6 +16,7 @@ from touchline.operators import drift as d
 from touchline.operators import features as ft
 from touchline.operators import joins as j
 from touchline.operators import labels as lab
+from touchline.operators import pricing as pr
 from touchline.operators import selection as k
 from touchline.operators import standings as st
 from touchline.operators import validate as v
@@ -469,6 +470,15 @@ def test_words_resolve_names(spark):
     assert {r.name: r.via for r in plain.collect()}["MAN UNITED"] == "unresolved"
 
 
+def test_sql_table_functions(spark):
+    pr.register_table_functions(spark)
+    given = [(1, ["a", "b"], [0.5, None]), (2, [], []), (3, None, None), (4, ["a"], [float("nan")]), (5, ["a", "b", "b"], [0.0, 1.0, 1.0]), (6, ["a", "b"], [0.25])]
+    spark.createDataFrame(given, "id int, names array<string>, prices array<double>").createOrReplaceTempView("priced_rows")
+    expected = [(1, "a", 0.5), (5, "a", 0.0), (5, "b", 1.0), (5, "b", 1.0), (6, "a", 0.25)]
+    assert rows(spark.sql("SELECT id, market, probability FROM priced_rows, LATERAL market_rows(names, prices)")) == expected
+    assert rows(spark.sql("SELECT id, inline(e) FROM (SELECT id, market_entries(names, prices) AS e FROM priced_rows)")) == expected
+
+
 def in_turn(spark, folder, schema, parts):
     """A stream that brings one part per batch."""
     for n, part in enumerate(parts):

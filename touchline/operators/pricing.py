@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, dampen
@@ -474,3 +474,29 @@ def to_market_rows(df: DataFrame, names: dict[str, str], keep: list[str]) -> Dat
     """Wide prices to one row per market, nulls skipped."""
     pairs = F.array(*[F.struct(F.lit(m).alias("market"), F.col(c).cast("double").alias("probability")) for c, m in names.items()])
     return df.select(*keep, F.inline(pairs)).filter(F.col("probability").isNotNull() & ~F.isnan("probability"))
+
+
+class MarketRows:
+    """One row per market of a row's prices, nulls skipped: the table function behind ``market_rows``."""
+
+    def eval(self, names: list[str], prices: list[float]):
+        for name, price in zip(names or [], prices or []):
+            if price is not None and price == price:
+                yield name, price
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Make ``market_rows(names, prices)`` and ``market_entries(names, prices)`` known to SQL.
+
+    ``FROM prices, LATERAL market_rows(array('draw'), array(p_draw))`` runs in Arrow batches beside the rows, without a
+    shuffle. ``SELECT id, inline(e) FROM (SELECT id, market_entries(...) AS e FROM prices)`` gives the same rows and
+    stays in the JVM, so prefer it on large tables. (Spark takes no SQL function inside a generator, and plans a table
+    function written in SQL as a join on its arguments.)
+    """
+    spark.udtf.register("market_rows", F.udtf(MarketRows, returnType="market string, probability double", useArrow=True))
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION market_entries(names ARRAY<STRING>, prices ARRAY<DOUBLE>)
+        RETURNS ARRAY<STRUCT<market: STRING, probability: DOUBLE>>
+        RETURN filter(transform(names, (n, i) -> named_struct('market', n, 'probability', get(prices, i))),
+          e -> e.probability IS NOT NULL AND NOT isnan(e.probability))"""
+    )

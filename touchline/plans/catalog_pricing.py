@@ -315,6 +315,26 @@ def _(t):
     return rounded(pr.to_market_rows(pr.price_cards_zip(t.rates), {n: n for n in ZIP_NAMES}, ["match_id"]), "probability")
 
 
+def priced_by_sql(t, text):
+    pr.register_table_functions(t.spark)
+    names, prices = (f"array({', '.join(q + n + q for n in ZIP_NAMES)})" for q in ("'", ""))
+    priced = pr.price_cards_zip(t.rates).select("match_id", *ZIP_NAMES)
+    return rounded(t.spark.sql(text.format(priced="{priced}", args=f"{names}, {prices}"), priced=priced), "probability")
+
+
+U05 = f"WITH {ZIP_VIEW} " + " UNION ALL ".join(f"SELECT match_id, '{n}' AS market, round({n}, 6) AS probability FROM z" for n in ZIP_NAMES)
+
+
+@query("u05_sql_table_function", U05)
+def _(t):
+    return priced_by_sql(t, "SELECT match_id, market, probability FROM {priced}, LATERAL market_rows({args})")
+
+
+@query("u05_sql_inline_function", U05)
+def _(t):
+    return priced_by_sql(t, "SELECT match_id, inline(entries) FROM (SELECT match_id, market_entries({args}) AS entries FROM {priced})")
+
+
 AUDIT = {
     "home_win": ("hw", "home_goals > away_goals"),
     "draw": ("d", "home_goals = away_goals"),
