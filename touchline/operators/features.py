@@ -173,6 +173,14 @@ def season_blend(df: DataFrame, columns: list[str], k: int = 5, **kw) -> DataFra
     return out.withColumns(result).drop(*temp)
 
 
+def _form_blocks(decay: float) -> tuple[int, int]:
+    """Matches per block, and how many earlier blocks still weigh."""
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between 0 and 1")
+    block = max(1, min(256, int(math.log(1e-12) / math.log(decay))))
+    return block, math.ceil(math.log(1e-18) / (block * math.log(decay)))
+
+
 def form(df: DataFrame, decay: float = 0.9, **kw) -> DataFrame:
     """Exponentially weighted points before the match, seeded with the first result.
 
@@ -180,10 +188,7 @@ def form(df: DataFrame, decay: float = 0.9, **kw) -> DataFrame:
     sum with weights decay**-position, plus the state carried in from the blocks before. Blocks are short enough for
     decay**-position to stay below 1e12, and blocks are carried until what is older weighs less than 1e-18.
     """
-    if not 0 < decay < 1:
-        raise ValueError("decay must lie between 0 and 1")
-    block = max(1, min(256, int(math.log(1e-12) / math.log(decay))))
-    blocks = math.ceil(math.log(1e-18) / (block * math.log(decay)))
+    block, blocks = _form_blocks(decay)
     gain = 1.0 - decay
     x = F.when(F.col("seq_") == 1, F.col("points")).otherwise(F.col("points") * gain)
     rows = sequence(df, TEAM_KEY, TEAM_ORDER, "seq_", **kw)
@@ -219,6 +224,62 @@ def streaks(df: DataFrame, **kw) -> DataFrame:
     return add_features(rows, [Feature(running=breaks, finish=finish)], **kw).drop("seq_")
 
 
+def side_history(df: DataFrame, columns: list[str], *, decay: float = 0.9, days: int = 7, k: int = 5, time: str = "match_date") -> DataFrame:
+    """Season blends of ``columns``, season goal difference, form, streaks and congestion together.
+
+    Equal to ``season_blend``, ``season_goal_difference``, ``form``, ``streaks`` and ``congestion``, but every window here
+    partitions by the side or finer, so the rows are shuffled once and only sorted anew: by time, by season, by block of
+    the form sum. Frames over a whole earlier season or block are range frames on its number and are added up once per
+    season or block. A side's rows meet in one task: for sides that ``hot_keys`` does not name, others need the operators.
+    """
+    block, blocks = _form_blocks(decay)
+    past = (Window.unboundedPreceding, -1)
+    by_time = Window.partitionBy(*TEAM_KEY).orderBy(*TEAM_ORDER)
+    rows = df.withColumn("_seq", F.row_number().over(by_time).cast("long"))
+    rows = rows.withColumns(
+        {
+            "_nowin": F.max(F.when(F.col("points") < 3, F.col("_seq"))).over(by_time.rowsBetween(*past)),
+            "_loss": F.max(F.when(F.col("points") < 1, F.col("_seq"))).over(by_time.rowsBetween(*past)),
+            "_at": F.unix_micros(time),
+            "_block": F.floor((F.col("_seq") - 1) / block),
+            "_pos": (F.col("_seq") - 1) % block,
+        }
+    )
+    # strictly between ``days`` ago and now
+    near = Window.partitionBy(*TEAM_KEY).orderBy("_at").rangeBetween(1 - days * 86_400_000_000, -1)
+    gain = F.when(F.col("_seq") == 1, F.col("points")).otherwise(F.col("points") * (1.0 - decay))
+    rows = rows.withColumns({"congestion": F.count(F.lit(1)).over(near), "_x": gain * F.pow(F.lit(decay), -F.col("_pos"))})
+
+    inside = Window.partitionBy(*TEAM_KEY, "_block").orderBy(*TEAM_ORDER).rowsBetween(*past)
+    by_block = Window.partitionBy(*TEAM_KEY).orderBy("_block")
+    carried = F.lit(0.0)
+    for d in range(1, blocks + 1):
+        carried += F.coalesce(F.sum("_x").over(by_block.rangeBetween(-d, -d)), F.lit(0.0)) * decay ** (block * d - 1)
+    rows = rows.withColumns({"_own": F.coalesce(F.sum("_x").over(inside), F.lit(0.0)), "_carry": carried})
+
+    season = Window.partitionBy(*TEAM_KEY, "season").orderBy(*TEAM_ORDER).rowsBetween(*past)
+    rows = rows.withColumn("_season", F.dense_rank().over(Window.partitionBy(*TEAM_KEY).orderBy("season")))
+    before = Window.partitionBy(*TEAM_KEY).orderBy("_season").rangeBetween(-1, -1)
+    sums = {"_gd": F.sum(F.col("goals_for") - F.col("goals_against")).over(season)}
+    for c in columns:
+        sums |= {f"_s_{c}": F.sum(c).over(season), f"_n_{c}": F.count(c).over(season), f"_p_{c}": F.avg(c).over(before)}
+    rows = rows.withColumns(sums)
+
+    weight = lambda n: F.pow(F.lit(decay), F.col("_pos") - n)
+    out = {
+        "season_goal_diff": F.coalesce("_gd", F.lit(0)),
+        "form": F.when(F.col("_seq") == 1, F.lit(FORM_START)).otherwise(F.col("_own") * weight(1) + F.col("_carry") * weight(0)),
+        "win_streak": F.col("_seq") - 1 - F.coalesce("_nowin", F.lit(0)),
+        "unbeaten_streak": F.col("_seq") - 1 - F.coalesce("_loss", F.lit(0)),
+        "congestion": F.col("congestion"),
+    }
+    for c in columns:
+        prev = F.coalesce(F.col(f"_p_{c}"), df.agg(F.avg(c).alias("m")).scalar())
+        seen = (F.coalesce(F.col(f"_s_{c}"), F.lit(0)) + prev * k) / (F.col(f"_n_{c}") + k)
+        out[f"{c}_season"] = F.when(F.col(f"_n_{c}") == 0, prev).otherwise(seen)
+    return rows.select(*df.columns, *[value.alias(name) for name, value in out.items()])
+
+
 def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 marker per rolling column, always emitted so the schema does not depend on the data."""
     return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
@@ -248,12 +309,14 @@ def schedule_strength(df: DataFrame, scored: str, conceded: str) -> DataFrame:
 
 
 def reassemble(matches: DataFrame, team: DataFrame, columns: list[str], key: str = "match_id") -> DataFrame:
-    """Home and away feature columns back on the match row: one combinable aggregate, one join."""
-    home, away = F.col("is_home") == 1, F.col("is_home") == 0
-    wide = team.groupBy(key).agg(
-        *[F.max(F.when(home, F.col(c))).alias(f"home_{c}") for c in columns],
-        *[F.max(F.when(away, F.col(c))).alias(f"away_{c}") for c in columns],
-    )
+    """Home and away feature columns back on the match row: one aggregate of two structs, one join.
+
+    Of several rows for one side of a match the largest by ``columns``, in their order, stands.
+    """
+    row = F.struct(*columns)
+    sides = [F.max(F.when(F.col("is_home") == flag, row)).alias(f"_{side}") for side, flag in (("home", 1), ("away", 0))]
+    wide = team.groupBy(key).agg(*sides)
+    wide = wide.select(key, *[F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("home", "away") for c in columns])
     return matches.join(wide, key, "left")
 
 

@@ -29,23 +29,28 @@ def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), imput
     """One row per match with both sides' features, deltas, head-to-head, referee and calendar columns.
 
     Beside the window features of a side: season blends, season goal difference, form, streaks and congestion, and a
-    missing flag for each rolling mean. ``impute`` fills those means with the priors of their family afterwards. Season
-    blends, goal difference, form, streaks and congestion take passes of their own; ``ordered=False`` leaves them out.
-    Write the result as a table before fitting on it.
+    missing flag for each rolling mean. ``impute`` fills those means with the priors of their family afterwards.
+    ``ordered=False`` leaves season blends, goal difference, form, streaks and congestion out. Sides are counted first: if
+    none is hot, all their features share one shuffle on the side, and a pair's one on the pair; otherwise each operator
+    cuts the hot keys by itself. Write the result as a table before fitting on it.
     """
     team = ft.team_rows(contests)
     # Sides are counted once. If none is hot, no season of a side and no pair is, and they need no count of their own.
-    calm = {"split_hot_keys": False} if hot_keys(team, ft.TEAM_KEY, CHUNK_ROWS) is None else {}
+    hot = hot_keys(team, ft.TEAM_KEY, CHUNK_ROWS) is not None
+    calm = {} if hot else {"split_hot_keys": False}
     team = side_features(team, widths, **calm)
-    team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
     means = [f"{c}_avg{w}" for w in widths for c in RATES]
     names = means + ["sos_attack", "sos_defence", "rest_days", "clean_sheet_rate", "goals_dominance", "shots_dominance"]
     names += ["pressure_index", "home_advantage"]
     if ordered:
-        team = ft.season_goal_difference(ft.season_blend(team, RATES, **calm), **calm)
-        team = ft.congestion(ft.streaks(ft.form(team, **calm), **calm), **calm)
+        if hot:
+            team = ft.congestion(ft.streaks(ft.form(ft.season_goal_difference(ft.season_blend(team, RATES)))))
+        else:
+            team = ft.side_history(team, RATES)
         names += [*(f"{c}_season" for c in RATES), "season_goal_diff", "form", "win_streak", "unbeaten_streak", "congestion"]
-    base = ft.days_since_meeting(ft.referee_rate(ft.head_to_head(contests, **calm)), **calm).drop("pair")
+    team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
+    base = ft.referee_rate(contests)  # blank names share a key of their own, so it is counted there
+    base = ft.days_since_meeting(ft.head_to_head(base, **calm), **calm).drop("pair")
     out = ft.reassemble(base, team, [*names, "max_source_date5"])
     rolling = [f"{side}_{c}" for side in ("home", "away") for c in means]
     out = ft.missing_flags(ft.deltas(out, names), rolling)
