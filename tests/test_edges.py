@@ -672,3 +672,26 @@ def test_full_feature_matrix(spark, tables):
         assert all(got[r.match_id][f"{side}_{c}"] == pytest.approx(r[c]) for c in names)
     first = [r for r in got.values() if r.home_goals_for_avg5_missing]
     assert first and all(r.home_goals_for_avg5 is not None for r in got.values())
+
+
+def test_side_history_equals_the_operators(spark):
+    """One shuffle or five operators, the same columns: nulls, ties in time, gaps between seasons, more than a block of rows."""
+    rng = random.Random(5)
+    rows, start = [], dt.datetime(2024, 1, 1)
+    for i in range(700):
+        team = "long" if i < 600 else f"t{i % 7}"
+        goals = [rng.choice([None, 0, 1, 2]) for _ in range(2)]
+        points = None if None in goals else 3 if goals[0] > goals[1] else 1 if goals[0] == goals[1] else 0
+        season = None if i % 41 == 0 else f"S{rng.randrange(4)}"
+        rows.append((i, team, season, start + dt.timedelta(days=rng.randrange(400)), *goals, points))
+    df = spark.createDataFrame(rows, "match_id long, team string, season string, match_date timestamp, goals_for long, goals_against long, points int")
+    names = ["goals_for", "goals_against"]
+    together = ft.side_history(df, names)
+    alone = ft.congestion(ft.streaks(ft.form(ft.season_goal_difference(ft.season_blend(df, names)))))
+    assert dict(together.dtypes) == dict(alone.dtypes)
+    got = {r.match_id: r.asDict() for r in together.drop("match_date").collect()}
+    assert len(got) == len(rows)
+    for r in alone.drop("match_date").collect():
+        for name, value in r.asDict().items():
+            assert got[r.match_id][name] == (pytest.approx(value) if isinstance(value, float) else value)
+    assert ft.side_history(df.limit(0), names).count() == 0

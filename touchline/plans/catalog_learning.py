@@ -32,12 +32,6 @@ def _(t):
     return rounded(flows.feature_matrix(t.contests, ordered=False).select("match_id", *names), *names)
 
 
-@query("feature_matrix_full")
-def _(t):
-    """All columns; each has its own check under its operator, and tests hold the matrix against the operators."""
-    return flows.feature_matrix(t.contests)
-
-
 @query(
     "feature_matrix_profile",
     f"""WITH q AS (SELECT is_home, avg(corners_for) OVER ({tw(10)}) AS c, avg(shots_for) OVER ({tw(5)}) AS s FROM team)
