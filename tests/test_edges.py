@@ -695,3 +695,25 @@ def test_side_history_equals_the_operators(spark):
         for name, value in r.asDict().items():
             assert got[r.match_id][name] == (pytest.approx(value) if isinstance(value, float) else value)
     assert ft.side_history(df.limit(0), names).count() == 0
+
+
+def test_prediction_flow_options(tables):
+    """A stopped league has no rows, no state lets all through, and the card model changes card prices alone."""
+    from touchline.operators import metrics as g
+    from touchline.plans import catalog_prediction as cp
+    from touchline.plans import flows
+    from touchline.session import cut_lineage
+
+    fixtures = cut_lineage(cp.fixtures(tables).filter("match_id < 40"))
+    offsets = cut_lineage(g.team_offsets(tables.contests))
+    models = ("home_xg", "away_xg"), ("trail_home", "trail_away")
+    none = cp.stopped(tables).limit(0)
+    free = {r.prediction_id: r for r in flows.predict(fixtures, offsets, none, *models, "slate").collect()}
+    assert len(free) == len(flows.PREDICTED) * 40
+    got = {r.prediction_id: r for r in flows.predict(fixtures, offsets, cp.stopped(tables), *models, "slate").collect()}
+    assert {r.league for r in free.values()} - {r.league for r in got.values()} == {"click"}
+    all_stopped = none.unionByName(cp.stopped(tables).filter("league = 'GLOBAL'").withColumn("status", F.lit("STOP")))
+    assert flows.predict(fixtures, offsets, all_stopped, *models, "slate").count() == 0
+    other = {r.prediction_id: r for r in flows.predict(fixtures, offsets, none, *models, "slate", cards="nb").collect()}
+    changed = {r.market for key, r in other.items() if abs(r.raw_probability - free[key].raw_probability) > 1e-12}
+    assert changed and all(m.startswith("card") for m in changed)

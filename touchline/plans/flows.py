@@ -63,6 +63,116 @@ def price_fixtures(fixtures: DataFrame, home_rate: str, away_rate: str) -> DataF
     return pr.price_handicap(pr.price_derived(priced, home_rate, away_rate), home_rate, away_rate)
 
 
+# Price column and market name of a prediction's rows.
+PREDICTED = {
+    **{c: c for c in ("home_win", "draw", "away_win", "btts_no", "home_under_1_5", "away_under_1_5")},
+    **{"o15": "goals_o15", "o25": "goals_o25", "u25": "goals_u25", "u35": "goals_u35", "btts": "btts_yes"},
+    **{"dc_1x": "double_chance_1x", "dc_x2": "double_chance_x2", "dc_12": "double_chance_12"},
+    **{"corners_under_11_5": "corn_u11", "corners_over_7_5": "corn_o75"},
+    **{"cards_over_2_5": "card_o25", "cards_under_4_5": "card_u45", "cards_under_5_5": "card_u55"},
+}
+
+
+def price_all(fixtures: DataFrame, offsets: DataFrame, first: tuple[str, str], second: tuple[str, str], cards: str = "zip") -> DataFrame:
+    """Every price of a fixture from two models' goal rates and the count means.
+
+    ``fixtures``: matrix rows with both models' rates and ``mu_home_corners, mu_away_corners, mu_cards``. ``offsets``: a
+    row per side, read twice by equi-join; all else is a projection. ``cards``: "zip" or "nb" (M3 or M4); with "nb" the
+    sides take 45 and 55 % of the mean, with a variance 1.3 and 0.9 times theirs.
+    """
+    rates = ("home_lambda", "away_lambda")
+    df = pr.ensemble(fixtures, first, second).withColumn("high_intensity", pr.high_intensity())
+    df = pr.adjust_card_rate(pr.adjust_corner_rates(df, offsets, F.col("high_intensity")), offsets)
+    corners = ("adj_home_corners", "adj_away_corners")
+    df = pr.price_corners(df, *corners, F.col("var_home_corners"), F.col("var_away_corners"))
+    if cards == "nb":
+        home, away = F.col("adj_cards") * 0.45, F.col("adj_cards") * 0.55
+        df = pr.price_cards_nb(df, home, home * 1.3, away, away * 0.9)
+        df = df.withColumnsRenamed({f"nb_cards_{c}": f"cards_{c}" for c in ("over_2_5", "under_4_5", "under_5_5")})
+    else:
+        df = pr.price_cards_zip(df, "adj_cards")
+    df = df.withColumn("cards_over_2_5", F.coalesce("card_o25_cap", "cards_over_2_5"))
+    df = pr.adjust_goals(price_fixtures(df, *rates), *rates)
+    finals = {"btts_no": "btts_no_final", "home_under_1_5": "home_u15", "away_under_1_5": "away_u15"}
+    return df.withColumns({name: F.col(c) for name, c in finals.items()}).drop(*finals.values())
+
+
+def predict(
+    fixtures: DataFrame,
+    offsets: DataFrame,
+    drift: DataFrame,
+    first: tuple[str, str],
+    second: tuple[str, str],
+    slate: str,
+    *,
+    baselines: DataFrame | None = None,
+    buckets: DataFrame | None = None,
+    volatility: str | None = None,
+    cards: str = "zip",
+) -> DataFrame:
+    """Matrix rows to gated predictions, one row per fixture and market, in one plan.
+
+    ``drift`` (league, status; ``GLOBAL`` for leagues without a state of their own, none at all lets through): fixtures of
+    a stopped league are not priced. Then prices (``price_all``), a row per market (M14), confidence (M11), soft ceilings
+    (M12) and the gates (K3) within ``slate``. Returns the fixture's ids, ``prediction_id, market, raw_probability,
+    probability, confidence, action_tier, stake_share, gate_score, stage``.
+    """
+    everywhere = drift.filter(F.col("league") == "GLOBAL").agg(F.max("status").alias("s")).scalar()
+    own = drift.filter(F.col("league") != "GLOBAL").select("league", F.col("status").alias("_own"))
+    open_ = fixtures.join(own, "league", "left").withColumn("_state", F.coalesce("_own", everywhere, F.lit("GO")))
+    df = price_all(open_.filter(F.col("_state") != "STOP").drop("_own", "_state"), offsets, first, second, cards)
+
+    goals = F.col("home_lambda") + F.col("away_lambda")
+    zero = pr.CARD_ZERO_MASS
+    flags = [F.col(c) for c in df.columns if c.endswith("_missing")]
+    df = df.withColumns(
+        {
+            "_missing": sum(flags, F.lit(0)),
+            "_known": F.col("referee_key") != "UNKNOWN",
+            "_vol": F.col(volatility) if volatility else F.lit(0.0),
+            # mean and variance of what a family of markets counts: Poisson, two negative binomials, zero-inflated Poisson
+            "_goals": F.struct(goals.alias("mu"), goals.alias("var")),
+            "_corners": F.struct(
+                (F.col("adj_home_corners") + F.col("adj_away_corners")).alias("mu"), (F.col("var_home_corners") + F.col("var_away_corners")).alias("var")
+            ),
+            "_cards": F.struct(
+                (F.col("adj_cards") * (1 - zero)).alias("mu"), (F.col("adj_cards") * (1 - zero) * (1 + zero * F.col("adj_cards"))).alias("var")
+            ),
+        }
+    )
+    # price columns hold the same names as some markets, so the rows are made from copies
+    named = df.withColumns({f"_price_{c}": F.col(c) for c in PREDICTED})
+    keep = ["match_id", "league", "home_team", "away_team", slate, "h2h_count", "days_since_h2h", "_missing", "_known", "_vol"]
+    rows = pr.to_market_rows(named, {f"_price_{c}": m for c, m in PREDICTED.items()}, [*keep, "_goals", "_corners", "_cards"])
+    m = F.col("market")
+    family = F.when(m.startswith("corn"), F.col("_corners")).when(m.startswith("card"), F.col("_cards")).otherwise(F.col("_goals"))
+    rows = rows.withColumn("count_", family)
+    rows = pr.confidence(
+        rows.withColumnsRenamed({"_missing": "missing_", "_known": "known_", "_vol": "vol_"}).drop("_goals", "_corners", "_cards"),
+        baselines,
+        buckets,
+        mu=F.col("count_.mu"),
+        variance=F.col("count_.var"),
+        h2h_count=F.col("h2h_count"),
+        days_since_h2h=F.col("days_since_h2h"),
+        missing=F.col("missing_"),
+        referee_known=F.col("known_"),
+        team_volatility=F.col("vol_"),
+    )
+    rows = rows.withColumnRenamed("probability", "raw_probability")
+    rows = rows.withColumns(
+        {
+            "probability": pr.soft_cap(F.col("raw_probability"), F.col("confidence"), m),
+            "prediction_id": F.concat_ws("-", "match_id", "market"),
+        }
+    )
+    # A league in the state table by way of GLOBAL needs no state here: stopped ones are gone.
+    gated = sel.selection_gate(rows, own.withColumnRenamed("_own", "status"), slate, row_id="prediction_id")
+    ids = ["match_id", "league", "home_team", "away_team", slate]
+    out = ["prediction_id", "market", "raw_probability", "probability", "confidence", "action_tier", "stake_share", "gate_score", "stage"]
+    return gated.select(*ids, *out)
+
+
 def settle(
     preds: DataFrame, results: DataFrame, order: list[str], seen: DataFrame | None = None, natural_date: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
