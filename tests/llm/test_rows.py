@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +340,56 @@ def test_dictionary_does_not_depend_on_the_sample(docs_of):
     few, _ = secrets.learn(docs_of(texts), rows=20)
     assert few.words == every.words and (few.bigrams == every.bigrams).all()
     assert {"plain", "keyz"} <= few.words and "gibberish" not in few.words
+
+
+def test_toxicity_model_against_its_definition():
+    """Grades count whole telling words; the fit ends at the least penalised loss that the definition gives."""
+    rng = np.random.default_rng(3)
+    n, m = 400, 12
+    held = rng.random((n, m)) < 0.25
+    toxic = (held[:, :4].sum(axis=1) + 0.3 * rng.standard_normal(n) > 1.2).astype(int)
+    telling = np.array([1.0] * 6 + [0.0] * 6)
+    owner, column = np.nonzero(held)
+    value = 1 + np.log2(rng.integers(1, 4, len(owner)))
+    y = toxicity.grades(toxic, owner, column, telling)
+    for i in range(n):
+        words = sum(telling[c] for c in range(m) if held[i, c])
+        assert y[i] == (0 if not toxic[i] else 1 if words <= 1 else 2 if words <= 3 else 3)
+    dense = np.zeros((n, m))
+    dense[owner, column] = value
+
+    def loss(w, t):
+        upto = lambda k, s: 0.0 if k < 0 else 1.0 if k == 3 else 1 / (1 + np.exp(-(t[k] - s)))
+        chance = [upto(g, s) - upto(g - 1, s) for g, s in zip(y, dense @ w)]
+        return -np.mean(np.log(chance)) + toxicity.L1 * np.abs(w).sum() + toxicity.L2 / 2 * (w @ w)
+
+    w, t = toxicity.fit(toxic, owner, column, value, telling)
+    assert list(t) == sorted(t)
+    least = loss(w, t)
+    for _ in range(300):
+        step = rng.standard_normal(m + 3) * rng.choice([0.01, 0.05, 0.3])
+        moved = t + step[m:]
+        if list(moved) == sorted(moved):
+            assert loss(w + step[:m], moved) > least - 2e-4
+    # scores and grades of texts by the definition, equal texts alike
+    model = toxicity.Ordinal({"bad": 1.5, "bada-": 0.7, "word": -0.2}, np.array([1.0, 2.0, 3.5]))
+    texts = ["bad word bad", "BADALONG badalong!", "", "bad word bad", "plain"]
+    want = [1.5 * 2 - 0.2, 0.7 * 2, 0.0, 2.8, 0.0]
+    got = [model.score(toxicity.text_words(x)) for x in texts]
+    assert got == pytest.approx(want)
+    p = model.chances(np.array(got))
+    for row, s in zip(p, want):
+        cut = [1 / (1 + math.exp(-(t - s))) for t in (1.0, 2.0, 3.5)]
+        assert list(row) == pytest.approx([cut[0], cut[1] - cut[0], cut[2] - cut[1], 1 - cut[2]])
+
+
+def test_toxicity_words_are_told_apart_from_beginnings(spark):
+    """One insult is one telling word, whatever its beginnings; all words with evidence are kept."""
+    insults = ["nastyword", "uglyword", "vileword", "meanword", "rudeword"]
+    rows = [(i, f"a plain text number {i}") for i in range(60)] + [(60 + i, " ".join(insults[: 1 + i % 5]) + " plain") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.severity(docs, toxicity.learn(docs, labels), keep=["doc_id"]).collect()
+    grade = {r.doc_id: r.severity for r in out}
+    assert all(grade[i] == 0 for i in range(60)) and all(grade[i] > 0 for i in range(60, 100))
+    assert all(grade[60 + i] <= grade[61 + i] for i in range(0, 40, 5)) and grade[64] == 3

@@ -4,12 +4,12 @@ Grades 0 to 3 share one weight per feature; ordered thresholds turn the score in
 score). Features are sparse: words of the text, and how words begin (an insult takes many endings), if the vocabulary
 holds them, by 1 + log2 of how often they occur.
 
-The labels only say toxic or not. A toxic text is graded by how many of its words are telling ones (words met almost
-only in toxic texts): one or none, two or three, more.
+The labels only say toxic or not. A toxic text is graded by how many different telling words it holds (whole words met
+almost only in toxic texts): one or none, two or three, more. How words begin does not count towards grades.
 
 Fitting uses a bounded sample of labelled rows (``TRAIN_ROWS`` expected, drawn by a hash of the id); the vocabulary is
-what that sample says about words in at least ``LEAST_TEXTS`` of its texts. Scoring is a scan and a narrow map over
-whole texts.
+what that sample says about words in at least ``LEAST_TEXTS`` of its texts, however many have evidence: a share of toxic
+texts ``EVIDENCE`` standard errors off the sample's. Scoring is a scan and a narrow map over whole texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import table, text_last
 
-#: Labelled rows the model is fitted on, texts of them a word must occur in, words of the vocabulary at most.
-TRAIN_ROWS, LEAST_TEXTS, MOST_WORDS = 20_000, 3, 20_000
+#: Labelled rows the model is fitted on, texts of them a word must occur in, standard errors its share must be off.
+TRAIN_ROWS, LEAST_TEXTS, EVIDENCE = 20_000, 3, 2.0
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
 GRADES = 4
@@ -34,6 +34,8 @@ GRADES = 4
 TELLING = 0.8
 #: Penalties on the weights; the first drives those of words without evidence to zero.
 L1, L2, STEPS = 2e-3, 1e-4, 300
+#: Thresholds are at least this far apart.
+LEAST_GAP = 1e-3
 TOXIC_FROM = 0.5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -89,50 +91,55 @@ class Ordinal:
         return np.diff(np.concatenate((np.zeros((len(scores), 1)), upto, np.ones((len(scores), 1))), axis=1), axis=1)
 
 
+def grades(toxic: np.ndarray, owner: np.ndarray, column: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Grade of each text: 0 if not toxic, else by its different telling words (rows of ``owner, column`` are distinct)."""
+    held = np.bincount(owner, weights=telling[column], minlength=len(toxic))
+    return np.where(toxic > 0, np.select([held <= 1, held <= 3], [1, 2], 3), 0)
+
+
 def fit(toxic: np.ndarray, owner: np.ndarray, column: np.ndarray, value: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by proximal gradient with momentum on the mean log loss.
 
-    Sparse input: text ``owner[i]`` has feature ``column[i]`` with ``value[i]``. ``telling`` flags features.
+    Sparse input: text ``owner[i]`` has feature ``column[i]`` with ``value[i]``. ``telling`` flags the features that are telling words.
     """
     n, m = len(toxic), len(telling)
     if not m or not toxic.any():
         return np.zeros(m), np.array([5.0, 6.0, 7.0])
-    held = np.bincount(owner, weights=telling[column], minlength=n)
-    y = np.where(toxic > 0, np.select([held <= 1, held <= 3], [1, 2], 3), 0)
+    y = grades(toxic, owner, column, telling)
     w, ahead, momentum = np.zeros(m), np.zeros(m), 1.0
-    # Thresholds are a first one and positive steps, so they stay in order.
-    free = np.array([2.0, 0.0, 0.0])
-    edges = lambda f: np.cumsum(np.concatenate((f[:1], np.exp(f[1:]))))
+    edges = np.array([2.0, 3.0, 4.0])
     low, high = y - 1, y
     step = 4.0 / max(1e-9, float(np.bincount(owner, weights=value * value, minlength=n).mean()))
     for _ in range(STEPS):
-        t = np.concatenate(([-np.inf], edges(free), [np.inf]))
+        t = np.concatenate(([-np.inf], edges, [np.inf]))
         score = np.bincount(owner, weights=value * ahead[column], minlength=n)
         upper, lower = (1 / (1 + np.exp(-np.clip(t[k + 1] - score, -60, 60))) for k in (high, low))
         upper, lower = np.where(high == GRADES - 1, 1.0, upper), np.where(low < 0, 0.0, lower)
         chance = np.maximum(upper - lower, 1e-12)
         slope_upper, slope_lower = upper * (1 - upper) / chance, lower * (1 - lower) / chance
         by_weight = np.bincount(column, weights=value * (slope_upper - slope_lower)[owner], minlength=m) / n + L2 * ahead
-        by_edge = np.zeros(GRADES + 1)
-        np.add.at(by_edge, high + 1, -slope_upper / n)
-        np.add.at(by_edge, low + 1, slope_lower / n)
-        tail = np.cumsum(by_edge[1:GRADES][::-1])[::-1]
-        free = free - 4.0 * np.concatenate((tail[:1], tail[1:] * np.exp(free[1:])))
+        # Thresholds take half a scoring step (gradient over squared gradients), one unit at most, and stay in order.
+        by_edge, squares = np.zeros(GRADES + 1), np.full(GRADES + 1, 1e-9)
+        for at, slope in ((high + 1, -slope_upper), (low + 1, slope_lower)):
+            np.add.at(by_edge, at, slope / n)
+            np.add.at(squares, at, slope * slope / n)
+        edges = np.clip(edges - np.clip(0.5 * (by_edge / squares)[1:GRADES], -1, 1), -60, 60)
+        edges = np.maximum.accumulate(edges - LEAST_GAP * np.arange(3)) + LEAST_GAP * np.arange(3)
         fresh = ahead - step * by_weight
         fresh = np.sign(fresh) * np.maximum(np.abs(fresh) - step * L1, 0)
         after = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
         ahead = fresh + (momentum - 1) / after * (fresh - w)
         w, momentum = fresh, after
-    return w, edges(free)
+    return w, edges
 
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> Ordinal:
-    """The vocabulary comes from Spark; the driver gets the sample's texts as feature numbers."""
+    """The vocabulary comes from Spark; the driver gets the sample's texts as numbers of features with evidence."""
     bags = cut_lineage(sample(docs, labels, **options).withColumn("row", F.monotonically_increasing_id()))
     base = bags.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     holds = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.avg("toxic").alias("share"))
-    use = F.abs(F.col("share") - base) * F.sqrt("n")
-    vocabulary = holds.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc(use), "word").limit(MOST_WORDS).collect()
+    known = (F.col("n") >= LEAST_TEXTS) & (F.abs(F.col("share") - base) * F.sqrt("n") > EVIDENCE * (base * (1 - base)) ** 0.5)
+    vocabulary = holds.filter(known).orderBy("word").collect()
     index = {r["word"]: i for i, r in enumerate(vocabulary)}
 
     def numbered(batches):
@@ -152,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, **options) -> Ordinal:
     lists = found.column("columns").combine_chunks()
     sizes = np.asarray(lists.value_lengths().fill_null(0)) if len(lists) else np.zeros(0, np.int64)
     flat = lambda c: np.asarray(found.column(c).combine_chunks().flatten())
-    telling = np.array([r["share"] >= TELLING for r in vocabulary], float)
+    telling = np.array([r["share"] >= TELLING and not r["word"].endswith("-") for r in vocabulary], float)
     weights, thresholds = fit(np.asarray(found.column("toxic")), np.repeat(np.arange(len(sizes)), sizes), flat("columns"), flat("values").astype(float), telling)
     return Ordinal({r["word"]: float(x) for r, x in zip(vocabulary, weights) if x}, thresholds)
 
@@ -161,7 +168,8 @@ def severity(docs: DataFrame, model: Ordinal, *, text: str = "text", keep: list[
     """``keep`` columns (default: all but the text), ``p_0`` to ``p_3``, ``expected_severity``, ``severity``, ``toxic``.
 
     ``severity`` is the largest grade reached with a chance of one half. Null and empty texts have no words and get what
-    the thresholds alone say. Existing columns of these names are replaced.
+    the thresholds alone say. Rows are scored one by one: repeated rows alike, an empty table gives none, long texts are
+    read whole. Existing columns of these names are replaced.
     """
     made = [*(f"p_{k}" for k in range(GRADES)), "expected_severity", "severity", "toxic"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in made]
