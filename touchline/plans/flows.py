@@ -13,6 +13,7 @@ from ..operators import metrics as g
 from ..operators import pricing as pr
 from ..operators import selection as sel
 from ..operators.ordered import CHUNK_ROWS, hot_keys
+from ..session import cut_lineage
 
 RATES = ["goals_for", "goals_against", "corners_for", "corners_against", "cards_for", "shots_for"]
 
@@ -110,7 +111,7 @@ def predict(
     volatility: str | None = None,
     cards: str = "zip",
 ) -> DataFrame:
-    """Matrix rows to gated predictions, one row per fixture and market, in one plan.
+    """Matrix rows to gated predictions, one row per fixture and market; priced once, checkpointed, then gated.
 
     ``drift`` (league, status; ``GLOBAL`` for leagues without a state of their own, none at all lets through): fixtures of
     a stopped league are not priced. Then prices (``price_all``), a row per market (M14), confidence (M11), soft ceilings
@@ -166,11 +167,13 @@ def predict(
             "prediction_id": F.concat_ws("-", "match_id", "market"),
         }
     )
+    ids = ["match_id", "league", "home_team", "away_team", slate]
+    made = ["prediction_id", "market", "raw_probability", "probability", "confidence", "action_tier", "stake_share"]
+    # The gates read the rows four times; they must not price the fixtures as often.
+    rows = cut_lineage(rows.select(*ids, *made))
     # A league in the state table by way of GLOBAL needs no state here: stopped ones are gone.
     gated = sel.selection_gate(rows, own.withColumnRenamed("_own", "status"), slate, row_id="prediction_id")
-    ids = ["match_id", "league", "home_team", "away_team", slate]
-    out = ["prediction_id", "market", "raw_probability", "probability", "confidence", "action_tier", "stake_share", "gate_score", "stage"]
-    return gated.select(*ids, *out)
+    return gated.select(*ids, *made, "gate_score", "stage")
 
 
 def settle(
