@@ -1,5 +1,7 @@
 """Cutting hot keys into chunks must not change any result."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,15 @@ def test_top_and_first(spark):
     top = top_per_key(df, ["k"], [F.col("id").desc()], 3, F.col("id"))
     assert rows(top) == sorted([(0, 998), (0, 996), (0, 994), (1, 999), (1, 997), (1, 995)], key=str)
     assert rows(first_per_key(df, ["k"], [F.col("id")])) == [(0, 0), (1, 1)]
+
+
+def test_congestion_counts_a_row_once(spark, tables):
+    """A frame with both ends over the days is counted anew for each row, so its time grows with the square of a side."""
+    plan = ft.side_history(tables.team, ["goals_for"])._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" in plan and str(7 * 86_400_000_000 - 1) not in plan
+    times = {0: None, 1: dt.datetime(2024, 1, 1), 2: dt.datetime(2024, 1, 4), 3: dt.datetime(2024, 1, 8)}
+    when = spark.createDataFrame(list(times.items()), "match_id long, match_date timestamp")
+    made = tables.team.filter("match_id < 4").withColumn("team", F.lit("A")).drop("match_date").join(when, "match_id")
+    found = ft.side_history(made, ["goals_for"]).select("match_id", "congestion").collect()
+    # Rows without a time count each other, the others those strictly within seven days.
+    assert sorted(map(tuple, found)) == [(0, 2), (0, 2), (1, 0), (1, 0), (2, 2), (2, 2), (3, 2), (3, 2)]

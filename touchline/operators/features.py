@@ -245,10 +245,12 @@ def side_history(df: DataFrame, columns: list[str], *, decay: float = 0.9, days:
             "_pos": (F.col("_seq") - 1) % block,
         }
     )
-    # strictly between ``days`` ago and now
-    near = Window.partitionBy(*TEAM_KEY).orderBy("_at").rangeBetween(1 - days * 86_400_000_000, -1)
+    # Strictly between ``days`` ago and now: two running counts, as a frame with both ends would be counted anew per row.
+    until = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*TEAM_KEY).orderBy("_at").rangeBetween(past[0], end))
+    earlier, gone = until(-1), until(-days * 86_400_000_000)
     gain = F.when(F.col("_seq") == 1, F.col("points")).otherwise(F.col("points") * (1.0 - decay))
-    rows = rows.withColumns({"congestion": F.count(F.lit(1)).over(near), "_x": gain * F.pow(F.lit(decay), -F.col("_pos"))})
+    near = F.when(F.col("_at").isNull(), earlier).otherwise(earlier - gone)  # rows without a time count each other
+    rows = rows.withColumns({"congestion": near, "_x": gain * F.pow(F.lit(decay), -F.col("_pos"))})
 
     inside = Window.partitionBy(*TEAM_KEY, "_block").orderBy(*TEAM_ORDER).rowsBetween(*past)
     by_block = Window.partitionBy(*TEAM_KEY).orderBy("_block")

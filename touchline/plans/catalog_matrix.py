@@ -90,6 +90,11 @@ m AS (SELECT *, coalesce(rr, mr) AS referee_card_rate, coalesce(sg / nullif(h2h_
  CASE WHEN season_progress <= 0.33 THEN 'early' WHEN season_progress <= 0.66 THEN 'mid' ELSE 'late' END AS season_phase FROM j CROSS JOIN v)"""
 
 
+def rounded6(x):
+    """``round(x, 6)`` of a double, which makes a decimal number of each; beyond the whole numbers of a double it still does."""
+    return F.when(F.abs(x) < 1e9, F.rint(x * 1e6) / 1e6).otherwise(F.round(x, 6))
+
+
 @query(
     "feature_matrix_full",
     f"WITH {SIDES}, {MATCHES} SELECT m.match_id, {', '.join(f'm.{c}' for c in MATCH_TEXTS)}, "
@@ -106,6 +111,6 @@ def _(t):
             return F.col(f.name)
         if isinstance(f.dataType, T.TimestampType):
             return F.unix_micros(f.name).cast("double").alias(f.name)
-        return F.round(F.col(f.name).cast("double") + F.lit(TIE), 6).alias(f.name)
+        return rounded6(F.col(f.name).cast("double") + F.lit(TIE)).alias(f.name)
 
     return out.select(*[shown(f) for f in out.schema])
