@@ -9,6 +9,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,29 @@ def test_standings_by_brute_force(spark, kw):
         assert a == tuple(round(float(x), 2) if isinstance(x, np.floating) else x for x in b)
 
 
+def test_standings_hold_a_batch_of_a_scope():
+    """The table goes on from batch to batch, so a scope's rows need not be in memory together; any cut gives the same rows."""
+    base = [("L", "S", us, team, us, us % 3, 1, us, us, 1, None, None) for us in range(1, 60, 2) for team in (f"T{us % 7}", f"T{us % 5}")]
+    asked = [("L", "S", us, None, *[None] * 6, f"T{us % 7}", f"T{us % 4}") for us in range(60)]
+    other = [("M", "S", 5, "T1", 1, 1, 1, 1, 1, 1, None, None), ("M", "S", 9, None, *[None] * 6, "T1", "T2")]
+    columns = ["league", "season", "us", "team", *st.STATE, "home_team", "away_team"]
+    every = pd.DataFrame(sorted(base + asked, key=lambda r: (r[2], r[3] is not None)) + other, columns=columns)
+    group, taken = ["league", "season"], []
+
+    def cut(size):
+        for i in range(0, len(every), size):
+            taken.append(i)
+            yield every.iloc[i : i + size]
+
+    whole = pd.concat(st._fold(cut(len(every)), group), ignore_index=True)
+    assert len(whole) == 61 and whole["home_rank"].notna().sum() > 40 and whole["home_league_size"].iloc[-1] == 1
+    for size in (1, 4, 17):
+        pd.testing.assert_frame_equal(pd.concat([b for b in st._fold(cut(size), group) if len(b)], ignore_index=True), whole, check_dtype=False)
+    taken.clear()
+    next(st._fold(cut(4), group))
+    assert taken == [0]
+
+
 def test_standings_ties(spark):
     games = [("A", "B", 2, 0), ("C", "D", 1, 1), ("B", "C", 0, 0), ("D", "A", 0, 1)]
     base = dt.datetime(2024, 8, 1, tzinfo=UTC)

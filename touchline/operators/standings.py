@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,44 +82,88 @@ def standings(team: DataFrame, as_of: dt.datetime, league: str | None = None, se
 STATE = ["points", "gd", "gs", "played", "recent_points", "recent_n"]
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Table rows of both sides of every fixture of one scope (or one stretch of its time).
-
-    One table is carried through the kickoffs in order; only the sides that played since the last one change.
+class _Table:
+    """A league's table, carried through its matches; only the sides that played since the last kickoff change."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        # The first row stands for sides without a match.
+        self.state, self.rank = np.full((1, len(STATE)), np.nan), np.full(1, np.nan)
+        # What the places go by, least first: name, goals, difference, points (missing ones last), and who has not played.
+        self.places = np.ones((5, 1))
+        self.size, self.ranked = 0, True
+
+    def add(self, names: list[str]) -> None:
+        """Make room for sides that were not seen before."""
+        known = len(self.number) + 1
+        self.number.update((n, known + i) for i, n in enumerate(names))
+        self.state = np.vstack([self.state, np.full((len(names), len(STATE)), np.nan)])
+        self.rank = np.r_[self.rank, np.full(len(names), np.nan)]
+        self.places = np.hstack([self.places, np.ones((5, len(names)))])
+        for place, name in enumerate(sorted(self.number)):
+            self.places[0, self.number[name]] = place
+
+    def play(self, side: np.ndarray, facts: np.ndarray) -> None:
+        """Rows of states in the order of the matches, so a side's last one counts."""
+        self.state[side] = facts
+        self.places[1:4, side] = -np.nan_to_num(facts[:, [2, 1, 0]], nan=-np.inf).T
+        self.places[4, side] = 0
+        self.ranked = False
+
+    def ranks(self) -> np.ndarray:
+        if not self.ranked:
+            self.size = self.places.shape[1] - np.count_nonzero(self.places[4])
+            self.rank[np.lexsort(self.places)[: self.size]] = np.arange(1, self.size + 1)
+            self.ranked = True
+        return self.rank
+
+    def answer(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Table rows of both sides of the fixtures among ``rows``, the next ones of the scope in the order of time."""
+        played = rows["team"].notna().to_numpy()
+        changes, fixtures = rows[played], rows[~played]
+        teams = changes["team"].to_numpy(dtype=object)
+        self.add(list(dict.fromkeys(n for n in teams if n not in self.number)))
+        side = np.array([self.number[n] for n in teams], dtype="int64")
+        facts = changes[STATE].to_numpy(dtype="float64")
+        asked = np.array([[self.number.get(n, 0) for n in fixtures[c]] for c in ("home_team", "away_team")], dtype="int64").reshape(2, -1)
+        out = np.full((2, len(fixtures), len(STATE) + 2), np.nan)
+        _, first = np.unique(fixtures["us"].to_numpy(), return_index=True)
+        # A kickoff's fixtures stand before the matches played at that time.
+        until = np.cumsum(played)[~played][first]
+        done = 0
+        for now, begin, end in zip(until, first, [*first[1:], len(fixtures)]):
+            if now > done:
+                self.play(side[done:now], facts[done:now])
+                done = now
+            rank = self.ranks()
+            for which in (0, 1):
+                at = asked[which, begin:end]
+                out[which, begin:end, :-2] = self.state[at]
+                out[which, begin:end, -2] = rank[at]
+                out[which, begin:end, -1] = self.size
+        if done < len(side):
+            self.play(side[done:], facts[done:])
+        result = fixtures[[*SCOPE, "us", "home_team", "away_team"]].reset_index(drop=True)
+        numbers = {f"{name}_{c}": out[which, :, k] for which, name in enumerate(("home", "away")) for k, c in enumerate([*STATE, "rank", "league_size"])}
+        return result.assign(**numbers)
+
+
+def _fold(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Table rows of both sides of every fixture, for rows sorted by scope (or stretch of its time), time, and fixtures first.
+
+    A task holds a batch and the table of the scope it is in, however many rows the scope has.
     """
-    changes = rows[rows["team"].notna()].sort_values(["us", "match_id"])
-    fixtures = rows[rows["team"].isna()].sort_values("us", ignore_index=True)
-    names, side = np.unique(changes["team"].to_numpy(dtype=object), return_inverse=True)
-    facts = changes[STATE].to_numpy(dtype="float64")
-    number = {n: i for i, n in enumerate(names)}
-    asked = np.array([[number.get(n, -1) for n in fixtures[c]] for c in ("home_team", "away_team")], dtype="int64").reshape(2, -1)
-    table = np.full((len(names) + 1, len(STATE)), np.nan)  # the last row stands for sides without a match
-    rank = np.full(len(names) + 1, np.nan)
-    # What the places go by, least first: goals, difference, points (missing ones last), and who has played at all.
-    falling = np.vstack([-np.nan_to_num(facts[:, [2, 1, 0]], nan=-np.inf).T, np.zeros(len(facts))])
-    places = np.ones((4, len(names)))
-    size = 0
-    out = np.full((2, len(fixtures), len(STATE) + 2), np.nan)
-    kickoffs, first = np.unique(fixtures["us"].to_numpy(), return_index=True)
-    until = np.searchsorted(changes["us"].to_numpy(), kickoffs, side="left")
-    done = 0
-    for now, begin, end in zip(until, first, [*first[1:], len(fixtures)]):
-        if now > done:
-            table[side[done:now]] = facts[done:now]  # in order, so a side's last match counts
-            places[:, side[done:now]] = falling[:, done:now]
-            done = now
-            size = len(names) - np.count_nonzero(places[3])
-            rank[np.lexsort(places)[:size]] = np.arange(1, size + 1)  # stable, so names settle ties
-        for which in (0, 1):
-            at = asked[which, begin:end]
-            out[which, begin:end, :-2] = table[at]
-            out[which, begin:end, -2] = rank[at]
-            out[which, begin:end, -1] = size
-    result = fixtures[[*SCOPE, "us", "home_team", "away_team"]].copy()
-    for which, name in enumerate(("home", "away")):
-        for k, c in enumerate([*STATE, "rank", "league_size"]):
-            result[f"{name}_{c}"] = out[which, :, k]
-    return result
+    scope, table = None, _Table()
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[group]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for begin, end in zip(starts, [*starts[1:], len(batch)]):
+            key = tuple(keys.iloc[begin])
+            if key != scope:
+                scope, table = key, _Table()
+            yield table.answer(batch.iloc[begin:end])
 
 
 def _stretches(rows: DataFrame, chunk_rows: int, bucket: Column) -> DataFrame:
@@ -141,8 +185,8 @@ def with_standings(fixtures: DataFrame, team: DataFrame, columns: list[str], **k
     """Both sides' table rows as the league stood before each fixture.
 
     Cumulative states come from one running window per side. The states and the fixtures of a league and season meet
-    in one group, which carries the table through the kickoffs; no row is made per side and kickoff. Scopes beyond
-    ``chunk_rows`` rows are cut along time, and each stretch begins with the latest state of every side. Fixtures
+    in one task, sorted by time, which carries the table through the kickoffs batch by batch; no row is made per side and
+    kickoff, and no scope is held whole. Scopes beyond ``chunk_rows`` rows are cut along time, and each stretch begins with the latest state of every side. Fixtures
     without a time or scope, and sides without an earlier match, have null columns.
     """
     keys = [*SCOPE, "team"]
@@ -175,8 +219,13 @@ def with_standings(fixtures: DataFrame, team: DataFrame, columns: list[str], **k
         rows = _stretches(rows, chunk_rows, hour if kw.get("bucket") is None else F.col("us"))
     fields = {f"{side}_{c}": "long" for side in ("home", "away") for c in [*STATE, "rank", "league_size"]}
     kinds = {**{c: rows.schema[c].dataType.simpleString() for c in SCOPE}, "us": "long", "home_team": "string", "away_team": "string", **fields}
-    folded = rows.groupBy(*SCOPE, *(["_chunk"] if split else [])).applyInPandas(
-        lambda group: _fold(group), ", ".join(f"{n} {k}" for n, k in kinds.items())
+    group = [*SCOPE, *(["_chunk"] if split else [])]
+    # Rows of one side and match are told apart by their count, so the last of them counts.
+    in_order = rows.repartition(*group).sortWithinPartitions(
+        *group, "us", F.col("team").isNotNull(), F.col("match_id").asc_nulls_last(), "played"
+    )
+    folded = in_order.select(*group, "us", "team", *STATE, "home_team", "away_team").mapInPandas(
+        lambda batches: _fold(batches, group), ", ".join(f"{n} {k}" for n, k in kinds.items())
     )
     meet = [*SCOPE, "us", "home_team", "away_team"]
     right = folded.select(*[F.col(c).alias(f"_k_{c}") for c in meet], *[F.col(c).alias(f"_t_{c}") for c in fields])
