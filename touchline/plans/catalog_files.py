@@ -304,10 +304,11 @@ def _(t):
     known = t.contests.withColumn("match_date", played)
 
     def streamed(parts, name):
-        folder = fresh(t.spark, name)
+        """A trigger takes a part; each part is many files, as one would put the joins before it into one task."""
+        folder, files = fresh(t.spark, name), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
         for rows in parts:
-            rows.coalesce(1).write.mode("append").parquet(folder)
-        return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            rows.repartition(files).write.mode("append").parquet(folder)
+        return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
 
     predictions = streamed([preds.filter(F.col("bet_id") % 3 == i) for i in range(3)], "preds")
     results = streamed([known.filter(F.col("match_id") % 2 == i) for i in range(2)], "results")
