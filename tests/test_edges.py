@@ -741,3 +741,86 @@ def test_prediction_flow_options(tables):
     other = {r.prediction_id: r for r in flows.predict(fixtures, offsets, none, *models, "slate", cards="nb").collect()}
     changed = {r.market for key, r in other.items() if abs(r.raw_probability - free[key].raw_probability) > 1e-12}
     assert changed and all(m.startswith("card") for m in changed)
+
+
+class Kept:
+    """A value or map state that counts what is put into it."""
+
+    def __init__(self):
+        self.value, self.puts = {}, 0
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return self.value.get(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def updateValue(self, key, value):
+        self.value[key], self.puts = value, self.puts + 1
+
+    def iterator(self):
+        return iter(self.value.items())
+
+    def clear(self):
+        self.value = {}
+
+
+def test_market_state_keeps_batches_not_bets():
+    """An entry per bet made a task's time the writing and reading of its state."""
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getMapState(self, name, *_):
+            return self.states.setdefault(name, Kept())
+
+        getValueState = getListState = getMapState
+
+        def registerTimer(self, when):
+            self.timer = when
+
+        def deleteTimer(self, when):
+            pass
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rng = random.Random(3)
+    every = pd.DataFrame(
+        [(i * 60_000_000 + 5_000, i, rng.randrange(500, 900) / 1000, int(rng.random() < 0.68), rng.choice(["TIER_A", "TIER_B", "TIER_C", None])) for i in range(4000)],
+        columns=["at", "id", "conf", "hit", "tier"],
+    )
+
+    def verdicts(batches, watermarks):
+        state, handle, out = ss.MarketState(), Handle(), []
+        state.init(handle)
+        for batch, ms in zip(batches, watermarks):
+            list(state.handleInputRows(("m",), iter([batch]), None))
+            out += list(state.handleExpiredTimer(("m",), Now(ms), None))
+        assert sum(k.puts for k in handle.states.values()) < 100
+        return pd.concat(out, ignore_index=True)
+
+    end = 4000 * 60_000 + 1
+    whole = verdicts([every.sample(frac=1, random_state=1)], [end])
+    assert len(whole) == 4000 and set(whole["status"]) == {"WATCH", "GO", "STOP"}
+    pd.testing.assert_frame_equal(verdicts([every.iloc[::2], every.iloc[1::2].iloc[::-1]], [0, end]), whole)
+    pd.testing.assert_frame_equal(verdicts([every.iloc[:1500], every.iloc[1500:]], [1000 * 60_000, end]), whole)
+
+
+def test_stream_inputs_are_written_by_many_tasks(spark, monkeypatch):
+    """A part in one file put the joins before it into one task."""
+    from touchline.plans import catalog, catalog_files
+
+    folders, fresh = {}, catalog_files.fresh
+    monkeypatch.setattr(catalog_files, "fresh", lambda s, name: folders.setdefault(name, fresh(s, name)))
+    catalog.queries()["t06_stream_resolve"](spark, "/root/testdata/sf0.001")
+    for name, parts in (("preds", 3), ("results", 2)):
+        assert len(list(Path(folders[name].removeprefix("file:")).glob("*.parquet"))) > 2 * parts
