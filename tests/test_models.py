@@ -166,6 +166,17 @@ def plain_trees(bins, y, base, rounds, depth, step):
     return margins, [*deviance, loss(margins)]
 
 
+def test_boosting_passes_over_blocks_and_few_trees(spark, tmp_path, monkeypatch):
+    """A record per row, and ten trees walked through at every level, made a pass cost several times its sums."""
+    records, most, made = [], [0], boosting._histogram
+    monkeypatch.setattr(boosting, "_histogram", lambda tree, active, waiting, width: most.append(len(waiting)) or made(tree, active, waiting, width))
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df, cut=boosting.cut_lineage: records.append(cut(df)) or records[-1])
+    df = spark.range(30_000).selectExpr("id % 7 AS a", "id % 5 AS b", "(id % 7 + id % 3) % 4 AS y").repartition(2)
+    model = boosting.fit_poisson_trees(df, ["a", "b"], "y", rounds=5, depth=2, step=0.3)
+    assert len(model.trees) == 5 and model.deviance[-1] < model.deviance[0]
+    assert max(most) <= 2 and records[-1].count() < 20
+
+
 def test_boosting_against_a_loop(spark, monkeypatch):
     monkeypatch.setattr(boosting, "BINS", 8)
     monkeypatch.setattr(boosting, "KEEP", 2)

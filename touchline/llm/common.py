@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import ARROW_BYTES, cut_lineage, release, small_batches  # noqa: F401
 
 # A word is a run of code points other than these six ASCII separators.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -20,18 +20,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 
-#: Bytes that go to a Python worker at once. Texts are a few KB, some far longer: Spark's 10,000 rows would be tens of MB
-#: on both sides for each task.
-ARROW_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of a batch in this session; a smaller bound that is set already stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).removesuffix("b")) <= ARROW_BYTES:
-        spark.conf.set(name, str(ARROW_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -80,17 +68,6 @@ def settle(df: DataFrame, rows: int = SETTLED_ROWS) -> DataFrame:
     return df.coalesce(-(-df.count() // rows) or 1)
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete the files of checkpoints that are not read any more. Their shuffles go when Spark collects them."""
-    for df in frames:
-        leaves = df._jdf.queryExecution().logical().collectLeaves()
-        for i in range(leaves.size()):
-            file = leaves.apply(i).rdd().getCheckpointFile() if leaves.apply(i).getClass().getSimpleName() == "LogicalRDD" else None
-            if file is not None and file.isDefined():
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``name``: position from 1 in the order of all rows. A range shuffle; the rows before a partition are a sum over
     one row per partition. Rows that are equal in ``order`` follow each other in any order."""

@@ -1,10 +1,11 @@
 """Boosted trees for counts: Poisson deviance with a log link on binned features.
 
-Features are cut at quantiles into at most ``BINS`` bins once; the binned table (a byte per feature and row) is
-checkpointed. A level of a tree is one job: each task adds up gradients and Hessians of its rows by (node, feature, bin),
+Features are cut at quantiles into at most ``BINS`` bins once; the binned table (a byte per feature and row, an Arrow batch
+to a record, so that passes over it cost Spark little) is checkpointed. A level of a tree is one job: each task adds up gradients and Hessians of its rows by (node, feature, bin),
 Spark sums them, and the driver, which sees as many numbers as there are nodes, features and bins, picks the splits.
-Leaves get the Newton step. Margins are carried in the table and written anew every ``KEEP`` rounds; in between tasks add
-the latest trees to them. No row and no margin passes the driver.
+Leaves get the Newton step. Margins are carried in the table and written anew every ``KEEP`` rounds, without the
+latest tree, which may still be halved: walking through many trees at every level would cost several times what the sums
+do. The margins before are deleted then. No row and no margin passes the driver.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release, small_batches
 
-BINS, KEEP = 64, 10
+BINS, KEEP = 64, 1
 #: Ridge on leaf values, largest step of a leaf before shrinking, least gain of a split.
 RIDGE, MOST_STEP, LEAST_GAIN = 1.0, 0.7, 1e-6
 CUT_ERROR = 0.001
@@ -45,11 +46,21 @@ class Tree:
         """Leaf of each row of bins."""
         feature, upto, left = (np.array(c) for c in (self.feature, self.upto, self.left))
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while (inner := feature[at] >= 0).any():
-            right = bins[rows, np.maximum(feature[at], 0)] > upto[at]
-            at = np.where(inner, left[at] + right, at)
+        # A leaf's way leads to itself.
+        leaf = feature < 0
+        feature, upto, left = np.where(leaf, 0, feature), np.where(leaf, 255, upto), np.where(leaf, np.arange(len(leaf)), left)
+        for _ in range(self.depth()):
+            at = left[at] + (bins[rows, feature[at]] > upto[at])
         return at
 
+    def depth(self) -> int:
+        """Splits on the longest way; children stand behind their node."""
+        deep = [0] * len(self.feature)
+        for node, f in enumerate(self.feature):
+            if f >= 0:
+                deep[self.left[node]] = deep[self.left[node] + 1] = deep[node] + 1
+        return max(deep)
+
     def add_to(self, margins: np.ndarray, bins: np.ndarray) -> np.ndarray:
         return margins + np.array(self.value)[self.nodes(bins)]
 
@@ -88,9 +99,19 @@ class BoostedCounts:
         return rows.mapInArrow(run, schema)
 
 
-def _unpack(batch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    y, margins = (np.asarray(batch.column(c), float) for c in ("y", "margin"))
-    return y, margins, np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+BLOCK = "y binary, margin binary, bins binary"
+
+
+def _packed(y: np.ndarray, margins: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    """Rows as one record of ``BLOCK``."""
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (y, margins, bins)], names=["y", "margin", "bins"])
+
+
+def _unpacked(batches, width: int):
+    """Targets, margins and bins of each record."""
+    for batch in batches:
+        for y, margins, bins in zip(*batch.columns):
+            yield (np.frombuffer(c.as_buffer(), float) for c in (y, margins)), np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, width)
 
 
 def _histogram(tree: Tree, active: list[int], waiting: list[Tree], width: int):
@@ -101,10 +122,7 @@ def _histogram(tree: Tree, active: list[int], waiting: list[Tree], width: int):
     def run(batches):
         size = len(active) * width * 256
         g, h, deviance, rows = np.zeros(size), np.zeros(size), 0.0, 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, margins, bins = _unpack(batch, width)
+        for (y, margins), bins in _unpacked(batches, width):
             for t in waiting:
                 margins = t.add_to(margins, bins)
             mean, node = np.exp(margins), place[tree.nodes(bins)]
@@ -149,11 +167,11 @@ def fit_poisson_trees(df: DataFrame, features: list[str], target: str, *, rounds
 
     def binned(batches):
         for batch in batches:
-            found = model.bins(batch.columns[1:])
-            packed = pa.array([r.tobytes() for r in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, model.base)), packed], names=["y", "margin", "bins"])
+            if batch.num_rows:
+                yield _packed(np.asarray(batch.column(0), float), np.full(batch.num_rows, model.base), model.bins(batch.columns[1:]))
 
-    rows = cut_lineage(known.mapInArrow(binned, "y double, margin double, bins binary"))
+    small_batches(df.sparkSession)
+    rows = cut_lineage(known.mapInArrow(binned, BLOCK))
     waiting: list[Tree] = []
 
     def sums(tree: Tree, active: list[int]):
@@ -195,13 +213,13 @@ def fit_poisson_trees(df: DataFrame, features: list[str], target: str, *, rounds
             ready, waiting = waiting[:-1], waiting[-1:]
 
             def advance(batches, ready=ready):
-                for batch in batches:
-                    _, margins, bins = _unpack(batch, width)
+                for (y, margins), bins in _unpacked(batches, width):
                     for t in ready:
-                        margins = t.add_to(margins, bins) if batch.num_rows else margins
-                    yield batch.set_column(1, "margin", pa.array(margins))
+                        margins = t.add_to(margins, bins)
+                    yield _packed(y, margins, bins)
 
-            rows = cut_lineage(rows.mapInArrow(advance, rows.schema))
+            before, rows = rows, cut_lineage(rows.mapInArrow(advance, rows.schema))
+            release(before)
     (deviance, n), _ = sums(Tree(), [0])
     model.deviance.append(deviance / n)
     return model
