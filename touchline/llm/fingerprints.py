@@ -42,18 +42,36 @@ def entropies(raw: np.ndarray) -> np.ndarray:
     """Entropy bin (0 to 1000) of each window of ``WIDTH`` bytes.
 
     The sum of c * log2(c) over a window's byte counts changes by one byte's count on each side as the window moves; both
-    counts are differences of places in the sorted positions of that byte. Whole numbers, so no rounding adds up.
+    counts come from the pairs of equal bytes less than a window apart, found as k-th neighbours among the sorted positions
+    of a byte, for k = 1, 2, ... while there are any. Whole numbers, so no rounding adds up.
     """
     n = len(raw)
     if n < WIDTH:
         return np.zeros(0, np.int64)
     order = np.argsort(raw, kind="stable")
-    keys, place = raw[order].astype(np.int64) * (n + 2 * WIDTH) + order, np.arange(n)
-    ahead, behind = np.empty(n, np.int64), np.empty(n, np.int64)
-    ahead[order] = np.searchsorted(keys, keys + WIDTH) - place
-    behind[order] = place - np.searchsorted(keys, keys - (WIDTH - 1))
+    wide = n + 2 * WIDTH
+    kind = np.int32 if 256 * wide < 1 << 31 else np.int64
+    keys = raw[order].astype(kind) * kind(wide) + order.astype(kind)
+    # Equal bytes behind and ahead of each byte that a window ending or beginning with it holds.
+    left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    near = keys[1:] - keys[:-1] < WIDTH
+    right[:-1] += near
+    left[1:] += near
+    at = np.flatnonzero(near).astype(kind)
+    for k in range(2, WIDTH):
+        at = at[: np.searchsorted(at, n - k)]
+        at = at[keys[at + kind(k)] - keys[at] < WIDTH]
+        if not len(at):
+            break
+        right[at] += 1
+        left[at + kind(k)] += 1
+    ahead, behind = np.empty(n, np.int8), np.empty(n, np.int8)
+    ahead[order], behind[order] = right, left
     step, first = np.diff(_LOG), _LOG[np.bincount(raw[:WIDTH], minlength=256)].sum()
-    held = np.concatenate(([first], first + np.cumsum(step[behind[WIDTH:]] - step[ahead[: n - WIDTH] - 1])))
+    held = np.empty(n - WIDTH + 1, np.int64)
+    held[0] = first
+    np.cumsum(step[behind[WIDTH:]] - step[ahead[: n - WIDTH]], out=held[1:])
+    held[1:] += first
     return (_MOST - held) * BINS // _MOST
 
 
