@@ -6,6 +6,7 @@ import json
 import math
 import os
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -743,6 +744,90 @@ def test_prediction_flow_options(tables):
     assert changed and all(m.startswith("card") for m in changed)
 
 
+def shuffled_rows(df):
+    """Rows the shuffles of a query carry; runs it."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind != "ReusedExchangeExec":
+            if kind == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+BETS = "bet_id string, match_id long, league string, day int, market string, probability double"
+
+
+def test_gates_shuffle_the_rows_that_reach_them(spark):
+    """All rows went by league, and again by id, to meet the marks of a few."""
+    made = [(f"b{i}", i, "a", i % 7, "goals_o25", 0.9 if i % 100 == 0 else 0.1) for i in range(3000)]
+    status = spark.createDataFrame([("a", "GO")], "league string, status string")
+    out = k.selection_gate(spark.createDataFrame(made, BETS), status, "day")
+    assert shuffled_rows(out) < 200
+    stages = out.groupBy("stage").count().collect()
+    assert {r.stage: r["count"] for r in stages} == {"GATE_2_PROB_FLOOR": 2970, "PASSED": 30}
+
+
+def test_gates_with_ids_that_repeat(spark):
+    """An id that is best in two slates has four marks (two best, two taken), and all its rows meet them; null ids meet none."""
+    made = [("r", 1, "a", 1, "goals_o25", 0.9), ("r", 1, "a", 2, "goals_o25", 0.8), ("r", 1, "a", 1, "draw", 0.1)]
+    made += [("s", 2, "a", 1, "goals_o25", 0.85), (None, 3, "a", 1, "goals_o25", 0.95), (None, 4, None, 1, "draw", None), ("t", 5, "b", 1, "goals_o25", 0.9)]
+    status = spark.createDataFrame([("b", "STOP")], "league string, status string")
+    out = k.selection_gate(spark.createDataFrame(made, BETS), status, "day")
+    expected = [("r", 1, "PASSED")] * 4 + [("r", 2, "PASSED")] * 4 + [("r", 1, "GATE_2_PROB_FLOOR")] * 4 + [("s", 1, "PASSED")]
+    expected += [(None, 1, "GATE_5_CORRELATION_BLOCK"), (None, 1, "GATE_1_MODEL_ELIGIBILITY"), ("t", 1, "GATE_4_DRIFT_BLOCKED")]
+    assert rows(out.select("bet_id", "day", "stage")) == sorted(expected, key=str)
+
+
+def test_prediction_flow_keeps_a_row_per_fixture(tables, monkeypatch):
+    """A row per market was written to the checkpoint folder, nineteen times the fixtures."""
+    from touchline.operators import metrics as g
+    from touchline.plans import catalog_prediction as cp
+    from touchline.plans import flows
+    from touchline.session import cut_lineage
+
+    fixtures = cut_lineage(cp.fixtures(tables).filter("match_id < 40"))
+    written = []
+
+    def watched(df, **kw):
+        kept = cut_lineage(df, **kw)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(flows, "cut_lineage", watched)
+    monkeypatch.setattr(k, "cut_lineage", watched)
+    out = flows.predict(fixtures, g.team_offsets(tables.contests), cp.stopped(tables).limit(0), ("home_xg", "away_xg"), ("trail_home", "trail_away"), "slate")
+    assert out.count() == 40 * len(flows.PREDICTED)
+    assert written and max(written) <= 40
+
+
+def test_meetings_share_the_pair(tables):
+    h2h = ft.head_to_head(tables.contests)
+    assert rows(ft.days_since_meeting(h2h, pair="pair")) == rows(ft.days_since_meeting(h2h.drop("pair")).select(*h2h.columns, "days_since_h2h"))
+
+
+def test_shuffles_go_with_their_checkpoint(spark):
+    from touchline.session import SHUFFLES_GO, cut_lineage
+
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(SHUFFLES_GO)
+    kept = cut_lineage(spark.range(1000).repartition(4, "id"), free_shuffles=True)
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert kept.count() == 1000 and spark.conf.get(SHUFFLES_GO) == setting
+
+
 class Kept:
     """A value or map state that counts what is put into it."""
 

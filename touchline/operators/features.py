@@ -429,10 +429,14 @@ def impute_priors(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.fillna({c: prior(c) for c in columns})
 
 
-def days_since_meeting(df: DataFrame, time: str = "match_date", **kw) -> DataFrame:
-    """Days since the pair last met, null for a first meeting."""
-    pair = F.array_join(F.array_sort(F.array("home_team", "away_team")), "__vs__")
+def days_since_meeting(df: DataFrame, time: str = "match_date", pair: str | None = None, **kw) -> DataFrame:
+    """Days since the pair last met, null for a first meeting.
+
+    ``pair``: the column ``head_to_head`` has put the pair in; its shuffle then serves here too.
+    """
+    if pair is None:
+        df, pair = df.withColumn("pair", F.array_join(F.array_sort(F.array("home_team", "away_team")), "__vs__")), "pair"
     last = Feature(rolling={"_last": Rolling(1, F.max(time))}, finish={
         "days_since_h2h": F.floor((F.unix_micros(time) - F.unix_micros("_last")) / 86_400_000_000)
     })
-    return add_features(df.withColumn("pair", pair), [last], keys=["pair"], **kw)
+    return add_features(df, [last], keys=[pair], **kw)

@@ -114,10 +114,13 @@ def point_in_time(
 def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
     """Keys with more than ``rows`` rows, or None. Broadcast only when their counted number is small."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys)
-    if counts.isEmpty():
-        return None
-    hot = cut_lineage(counts)
-    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    return None if counts.isEmpty() else counted(counts)
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``df``, materialised and counted: to be broadcast if its rows are few."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
 
 
 def _windows(df, spec, rolling, running):

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import clamp
 from ..session import cut_lineage
-from .ordered import Feature, Running, first_per_key, point_in_time, sequence, top_per_key
+from .ordered import Feature, Running, counted, first_per_key, hot_keys, point_in_time, sequence, top_per_key
 from .pricing import soft_cap
 
 # Gates, baselines, weights and limits.
@@ -171,12 +171,13 @@ def selection_gate(df: DataFrame, drift: DataFrame, slate: str, row_id: str = "b
 
     Floor by market type, edge over the market's baseline, drift stop of the league, one per match and the
     ``limit`` best of the slate. The two collection gates reduce with combinable aggregates and salted tops and
-    are joined back by id, so a big slate is never gathered. ``drift``: league, status.
+    are joined back by id, so a big slate is never gathered. Rows that an earlier gate stopped are not shuffled.
+    ``drift``: league, status. ``df`` is read three times.
     """
     p, m = F.col("probability"), F.col("market")
     base = F.when(m.contains("double_chance"), DOUBLE_CHANCE_BASELINE).otherwise(_lookup(GATE_BASELINES, m, UNKNOWN_BASELINE))
     rows = df.withColumns({"_floor": _lookup(FLOORS, market_type(), FLOORS["default"]), "_edge": p - base})
-    rows = rows.join(drift.select("league", F.col("status").alias("_status")), "league", "left")
+    rows = rows.join(counted(drift.select("league", F.col("status").alias("_status"))), "league", "left")
     ok = F.coalesce(F.col("_status"), F.lit("OK")).isin("OK", "GO", "WATCH", "WARN")
     stage = (
         F.when(p.isNull() | F.isnan(p), "GATE_1_MODEL_ELIGIBILITY")
@@ -189,13 +190,18 @@ def selection_gate(df: DataFrame, drift: DataFrame, slate: str, row_id: str = "b
     best = first_per_key(alive, [slate, match], [-F.col("gate_score"), F.col(row_id)])
     order = [F.col("gate_score").desc(), F.col(row_id)]
     taken = top_per_key(best, [slate], order, limit, F.col(row_id)).select(row_id, F.lit(True).alias("_taken"))
-    marks = best.select(row_id, F.lit(True).alias("_best")).join(taken, row_id, "left")
-    out = rows.join(marks, row_id, "left")
+    marks = cut_lineage(best.select(row_id, F.lit(True).alias("_best")).join(taken, row_id, "left"), free_shuffles=True)
+    stopped, reached = (rows.filter(F.col("_stage").isNotNull()), rows.filter(F.col("_stage").isNull()))
+    # An id that several matches or slates share has a mark in each, and its rows meet all of them.
+    if (shared := hot_keys(marks, [row_id], 1)) is not None:
+        reached = reached.unionByName(stopped.join(shared, row_id, "left_semi"))
+        stopped = stopped.join(shared, row_id, "left_anti")
     final = F.coalesce(
         F.col("_stage"),
         F.when(F.col("_taken"), "PASSED").when(F.col("_best"), "GATE_6_DAILY_LIMIT").otherwise("GATE_5_CORRELATION_BLOCK"),
     )
-    return out.withColumn("stage", final).select(*df.columns, "gate_score", "stage")
+    ended = stopped.withColumn("stage", F.col("_stage")), reached.join(marks, row_id, "left").withColumn("stage", final)
+    return reduce(DataFrame.unionByName, [e.select(*df.columns, "gate_score", "stage") for e in ended])
 
 
 def gate_counts(gated: DataFrame, slate: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import labels as lab
 from ..operators import metrics as g
 from ..operators import pricing as pr
 from ..operators import selection as sel
-from ..operators.ordered import CHUNK_ROWS, hot_keys
+from ..operators.ordered import CHUNK_ROWS, counted, hot_keys
 from ..session import cut_lineage
 
 RATES = ["goals_for", "goals_against", "corners_for", "corners_against", "cards_for", "shots_for"]
@@ -51,7 +51,7 @@ def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), imput
         names += [*(f"{c}_season" for c in RATES), "season_goal_diff", "form", "win_streak", "unbeaten_streak", "congestion"]
     team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
     base = ft.referee_rate(contests)  # blank names share a key of their own, so it is counted there
-    base = ft.days_since_meeting(ft.head_to_head(base, **calm), **calm).drop("pair")
+    base = ft.days_since_meeting(ft.head_to_head(base, **calm), pair="pair", **calm).drop("pair")
     out = ft.reassemble(base, team, [*names, "max_source_date5"])
     rolling = [f"{side}_{c}" for side in ("home", "away") for c in means]
     out = ft.missing_flags(ft.deltas(out, names), rolling)
@@ -78,10 +78,12 @@ def price_all(fixtures: DataFrame, offsets: DataFrame, first: tuple[str, str], s
     """Every price of a fixture from two models' goal rates and the count means.
 
     ``fixtures``: matrix rows with both models' rates and ``mu_home_corners, mu_away_corners, mu_cards``. ``offsets``: a
-    row per side, read twice by equi-join; all else is a projection. ``cards``: "zip" or "nb" (M3 or M4); with "nb" the
-    sides take 45 and 55 % of the mean, with a variance 1.3 and 0.9 times theirs.
+    row per side, counted, and broadcast if few, so that fixtures are not shuffled for it; all else is a projection.
+    ``cards``: "zip" or "nb" (M3 or M4); with "nb" the sides take 45 and 55 % of the mean, with a variance 1.3 and 0.9
+    times theirs.
     """
     rates = ("home_lambda", "away_lambda")
+    offsets = counted(offsets)
     df = pr.ensemble(fixtures, first, second).withColumn("high_intensity", pr.high_intensity())
     df = pr.adjust_card_rate(pr.adjust_corner_rates(df, offsets, F.col("high_intensity")), offsets)
     corners = ("adj_home_corners", "adj_away_corners")
@@ -111,7 +113,7 @@ def predict(
     volatility: str | None = None,
     cards: str = "zip",
 ) -> DataFrame:
-    """Matrix rows to gated predictions, one row per fixture and market; priced once, checkpointed, then gated.
+    """Matrix rows to gated predictions, one row per fixture and market; priced once and checkpointed a row per fixture, then gated.
 
     ``drift`` (league, status; ``GLOBAL`` for leagues without a state of their own, none at all lets through): fixtures of
     a stopped league are not priced. Then prices (``price_all``), a row per market (M14), confidence (M11), soft ceilings
@@ -119,7 +121,8 @@ def predict(
     probability, confidence, action_tier, stake_share, gate_score, stage``.
     """
     everywhere = drift.filter(F.col("league") == "GLOBAL").agg(F.max("status").alias("s")).scalar()
-    own = drift.filter(F.col("league") != "GLOBAL").select("league", F.col("status").alias("_own"))
+    own = counted(drift.filter(F.col("league") != "GLOBAL").select("league", F.col("status").alias("_own")))
+    baselines, buckets = (None if t is None else counted(t) for t in (baselines, buckets))
     open_ = fixtures.join(own, "league", "left").withColumn("_state", F.coalesce("_own", everywhere, F.lit("GO")))
     df = price_all(open_.filter(F.col("_state") != "STOP").drop("_own", "_state"), offsets, first, second, cards)
 
@@ -141,10 +144,13 @@ def predict(
             ),
         }
     )
-    # price columns hold the same names as some markets, so the rows are made from copies
-    named = df.withColumns({f"_price_{c}": F.col(c) for c in PREDICTED})
-    keep = ["match_id", "league", "home_team", "away_team", slate, "h2h_count", "days_since_h2h", "_missing", "_known", "_vol"]
-    rows = pr.to_market_rows(named, {f"_price_{c}": m for c, m in PREDICTED.items()}, [*keep, "_goals", "_corners", "_cards"])
+    ids = ["match_id", "league", "home_team", "away_team", slate]
+    keep = [*ids, "h2h_count", "days_since_h2h", "_missing", "_known", "_vol", "_goals", "_corners", "_cards"]
+    # The gates read the rows three times. They must not price the fixtures as often, and what is kept for them is a row per
+    # fixture: one per market takes several times the disk. Price columns hold the same names as some markets, so the rows
+    # are made from copies.
+    priced = cut_lineage(df.select(*keep, *[F.col(c).alias(f"_price_{c}") for c in PREDICTED]), free_shuffles=True)
+    rows = pr.to_market_rows(priced, {f"_price_{c}": m for c, m in PREDICTED.items()}, keep)
     m = F.col("market")
     family = F.when(m.startswith("corn"), F.col("_corners")).when(m.startswith("card"), F.col("_cards")).otherwise(F.col("_goals"))
     rows = rows.withColumn("count_", family)
@@ -167,10 +173,8 @@ def predict(
             "prediction_id": F.concat_ws("-", "match_id", "market"),
         }
     )
-    ids = ["match_id", "league", "home_team", "away_team", slate]
     made = ["prediction_id", "market", "raw_probability", "probability", "confidence", "action_tier", "stake_share"]
-    # The gates read the rows four times; they must not price the fixtures as often.
-    rows = cut_lineage(rows.select(*ids, *made))
+    rows = rows.select(*ids, *made)
     # A league in the state table by way of GLOBAL needs no state here: stopped ones are gone.
     gated = sel.selection_gate(rows, own.withColumnRenamed("_own", "status"), slate, row_id="prediction_id")
     return gated.select(*ids, *made, "gate_score", "stage")

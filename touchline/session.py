@@ -57,12 +57,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/touchline-checkpoints"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so lost executors do not replay a long plan."""
+#: Spark removes a query's shuffle files when the query ends, not when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder so lost executors do not replay a long plan.
+
+    ``free_shuffles``: the shuffles behind it go as soon as it is written, for plans that leave much on the disks.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    if not free_shuffles:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        # a query takes the setting when it is made, and this one is read by nothing else
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
 
 
 def release(*frames: DataFrame) -> None:
