@@ -813,6 +813,27 @@ def test_meetings_share_the_pair(tables):
     assert rows(ft.days_since_meeting(h2h, pair="pair")) == rows(ft.days_since_meeting(h2h.drop("pair")).select(*h2h.columns, "days_since_h2h"))
 
 
+def test_matrix_makes_the_columns_that_are_read(spark, tables):
+    """Sides came back as whole structs, so all features were made and shuffled; repeated ids still need them whole."""
+    from touchline.plans import flows
+
+    read = flows.feature_matrix(tables.contests, ordered=False).select("match_id", "home_goals_for_avg5")
+    assert "_prev_date" not in read._jdf.queryExecution().optimizedPlan().toString()
+    team = flows.side_features(tables.team)
+    names = ["goals_for_avg5", "corners_for_avg10", "max_source_date5"]
+    once, whole = (ft.reassemble(tables.contests.select("match_id"), team, names, unique=u) for u in (True, False))
+    assert once.dtypes == whole.dtypes and rows(once) == rows(whole)
+
+    day = dt.datetime(2024, 1, 1)
+    made = [(1, day, "a", "x", 5, 1), (2, day, "b", "y", 1, 9)]
+    made += [(9, day + dt.timedelta(days=7), home, away, 0, 0) for home, away in (("a", "x"), ("b", "y"))]
+    contests = spark.createDataFrame(made, "match_id long, match_date timestamp, home_team string, away_team string, home_goals long, home_corners long")
+    zero = {f"{side}_{m}": F.lit(0).cast("long") for side in ("home", "away") for m in ft.METRICS if f"{side}_{m}" not in contests.columns}
+    contests = contests.withColumns({**zero, "league": F.lit("l"), "season": F.lit("s"), "referee": F.lit("r")})
+    matrix = flows.feature_matrix(contests).filter("match_id = 9").select("home_goals_for_avg5", "home_corners_for_avg5")
+    assert rows(matrix) == [(5.0, 1.0)] * 2
+
+
 def test_shuffles_go_with_their_checkpoint(spark):
     from touchline.session import SHUFFLES_GO, cut_lineage
 

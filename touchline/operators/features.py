@@ -310,15 +310,19 @@ def schedule_strength(df: DataFrame, scored: str, conceded: str) -> DataFrame:
     )
 
 
-def reassemble(matches: DataFrame, team: DataFrame, columns: list[str], key: str = "match_id") -> DataFrame:
+def reassemble(matches: DataFrame, team: DataFrame, columns: list[str], key: str = "match_id", unique: bool = False) -> DataFrame:
     """Home and away feature columns back on the match row: one aggregate of two structs, one join.
 
-    Of several rows for one side of a match the largest by ``columns``, in their order, stands.
+    Of several rows for one side of a match the largest by ``columns``, in their order, stands. ``unique``: there is one at
+    most, so columns need not be compared together, and those that nobody reads are neither made nor shuffled.
     """
-    row = F.struct(*columns)
-    sides = [F.max(F.when(F.col("is_home") == flag, row)).alias(f"_{side}") for side, flag in (("home", 1), ("away", 0))]
-    wide = team.groupBy(key).agg(*sides)
-    wide = wide.select(key, *[F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("home", "away") for c in columns])
+    flags = (("home", 1), ("away", 0))
+    largest = lambda value, flag: F.max(F.when(F.col("is_home") == flag, value))
+    if unique:
+        wide = team.groupBy(key).agg(*[largest(F.col(c), flag).alias(f"{side}_{c}") for side, flag in flags for c in columns])
+    else:
+        wide = team.groupBy(key).agg(*[largest(F.struct(*columns), flag).alias(f"_{side}") for side, flag in flags])
+        wide = wide.select(key, *[F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side, _ in flags for c in columns])
     return matches.join(wide, key, "left")
 
 

@@ -13,7 +13,7 @@ from ..operators import metrics as g
 from ..operators import pricing as pr
 from ..operators import selection as sel
 from ..operators.ordered import CHUNK_ROWS, counted, hot_keys
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 RATES = ["goals_for", "goals_against", "corners_for", "corners_against", "cards_for", "shots_for"]
 
@@ -33,7 +33,8 @@ def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), imput
     missing flag for each rolling mean. ``impute`` fills those means with the priors of their family afterwards.
     ``ordered=False`` leaves season blends, goal difference, form, streaks and congestion out. Sides are counted first: if
     none is hot, all their features share one shuffle on the side, and a pair's one on the pair; otherwise each operator
-    cuts the hot keys by itself. Write the result as a table before fitting on it.
+    cuts the hot keys by itself. Matches are counted too: if no id repeats, columns that nobody reads are not made. Write
+    the result as a table before fitting on it.
     """
     team = ft.team_rows(contests)
     # Sides are counted once. If none is hot, no season of a side and no pair is, and they need no count of their own.
@@ -52,7 +53,7 @@ def feature_matrix(contests: DataFrame, widths: tuple[int, ...] = (5, 10), imput
     team = ft.schedule_strength(team, "goals_for_avg5", "goals_against_avg5")
     base = ft.referee_rate(contests)  # blank names share a key of their own, so it is counted there
     base = ft.days_since_meeting(ft.head_to_head(base, **calm), pair="pair", **calm).drop("pair")
-    out = ft.reassemble(base, team, [*names, "max_source_date5"])
+    out = ft.reassemble(base, team, [*names, "max_source_date5"], unique=hot_keys(contests, ["match_id"], 1) is None)
     rolling = [f"{side}_{c}" for side in ("home", "away") for c in means]
     out = ft.missing_flags(ft.deltas(out, names), rolling)
     return ft.context(ft.impute_priors(out, rolling) if impute else out)
@@ -73,6 +74,10 @@ PREDICTED = {
     **{"cards_over_2_5": "card_o25", "cards_under_4_5": "card_u45", "cards_under_5_5": "card_u55"},
 }
 
+# Columns of a fixture that prices and confidence read, beside its ids and the models' rates.
+READ = ["h2h_count", "h2h_avg_corners", "h2h_avg_cards", "h2h_over_2_5_rate", "h2h_cards_over_2_5_rate", "days_since_h2h"]
+READ += ["mu_home_corners", "mu_away_corners", "mu_cards"]
+
 
 def price_all(fixtures: DataFrame, offsets: DataFrame, first: tuple[str, str], second: tuple[str, str], cards: str = "zip") -> DataFrame:
     """Every price of a fixture from two models' goal rates and the count means.
@@ -113,7 +118,7 @@ def predict(
     volatility: str | None = None,
     cards: str = "zip",
 ) -> DataFrame:
-    """Matrix rows to gated predictions, one row per fixture and market; priced once and checkpointed a row per fixture, then gated.
+    """Matrix rows to gated predictions, one row per fixture and market; checkpointed a row per fixture, before and after pricing.
 
     ``drift`` (league, status; ``GLOBAL`` for leagues without a state of their own, none at all lets through): fixtures of
     a stopped league are not priced. Then prices (``price_all``), a row per market (M14), confidence (M11), soft ceilings
@@ -124,16 +129,23 @@ def predict(
     own = counted(drift.filter(F.col("league") != "GLOBAL").select("league", F.col("status").alias("_own")))
     baselines, buckets = (None if t is None else counted(t) for t in (baselines, buckets))
     open_ = fixtures.join(own, "league", "left").withColumn("_state", F.coalesce("_own", everywhere, F.lit("GO")))
-    df = price_all(open_.filter(F.col("_state") != "STOP").drop("_own", "_state"), offsets, first, second, cards)
+    ids = ["match_id", "league", "home_team", "away_team", slate]
+    flags = [F.col(c) for c in fixtures.columns if c.endswith("_missing")]
+    known = {
+        "missing_": sum(flags, F.lit(0)),
+        "known_": F.col("referee_key") != "UNKNOWN",
+        "vol_": F.col(volatility) if volatility else F.lit(0.0),
+    }
+    read = dict.fromkeys([*ids, *READ, *first, *second])
+    # The shuffles behind the fixtures go before there are prices, so the disks never hold both.
+    slim = open_.filter(F.col("_state") != "STOP").select(*read, *[value.alias(name) for name, value in known.items()])
+    slim = cut_lineage(slim, free_shuffles=True)
+    df = price_all(slim, offsets, first, second, cards)
 
     goals = F.col("home_lambda") + F.col("away_lambda")
     zero = pr.CARD_ZERO_MASS
-    flags = [F.col(c) for c in df.columns if c.endswith("_missing")]
     df = df.withColumns(
         {
-            "_missing": sum(flags, F.lit(0)),
-            "_known": F.col("referee_key") != "UNKNOWN",
-            "_vol": F.col(volatility) if volatility else F.lit(0.0),
             # mean and variance of what a family of markets counts: Poisson, two negative binomials, zero-inflated Poisson
             "_goals": F.struct(goals.alias("mu"), goals.alias("var")),
             "_corners": F.struct(
@@ -144,18 +156,18 @@ def predict(
             ),
         }
     )
-    ids = ["match_id", "league", "home_team", "away_team", slate]
-    keep = [*ids, "h2h_count", "days_since_h2h", "_missing", "_known", "_vol", "_goals", "_corners", "_cards"]
+    keep = [*ids, "h2h_count", "days_since_h2h", *known, "_goals", "_corners", "_cards"]
     # The gates read the rows three times. They must not price the fixtures as often, and what is kept for them is a row per
     # fixture: one per market takes several times the disk. Price columns hold the same names as some markets, so the rows
     # are made from copies.
     priced = cut_lineage(df.select(*keep, *[F.col(c).alias(f"_price_{c}") for c in PREDICTED]), free_shuffles=True)
+    release(slim)
     rows = pr.to_market_rows(priced, {f"_price_{c}": m for c, m in PREDICTED.items()}, keep)
     m = F.col("market")
     family = F.when(m.startswith("corn"), F.col("_corners")).when(m.startswith("card"), F.col("_cards")).otherwise(F.col("_goals"))
     rows = rows.withColumn("count_", family)
     rows = pr.confidence(
-        rows.withColumnsRenamed({"_missing": "missing_", "_known": "known_", "_vol": "vol_"}).drop("_goals", "_corners", "_cards"),
+        rows.drop("_goals", "_corners", "_cards"),
         baselines,
         buckets,
         mu=F.col("count_.mu"),
