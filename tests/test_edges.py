@@ -762,14 +762,14 @@ def shuffled_rows(df):
     return total
 
 
-BETS = "bet_id string, match_id long, league string, day int, market string, probability double"
+GATED = "bet_id string, match_id long, league string, day int, market string, probability double"
 
 
 def test_gates_shuffle_the_rows_that_reach_them(spark):
     """All rows went by league, and again by id, to meet the marks of a few."""
     made = [(f"b{i}", i, "a", i % 7, "goals_o25", 0.9 if i % 100 == 0 else 0.1) for i in range(3000)]
     status = spark.createDataFrame([("a", "GO")], "league string, status string")
-    out = k.selection_gate(spark.createDataFrame(made, BETS), status, "day")
+    out = k.selection_gate(spark.createDataFrame(made, GATED), status, "day")
     assert shuffled_rows(out) < 200
     stages = out.groupBy("stage").count().collect()
     assert {r.stage: r["count"] for r in stages} == {"GATE_2_PROB_FLOOR": 2970, "PASSED": 30}
@@ -780,7 +780,7 @@ def test_gates_with_ids_that_repeat(spark):
     made = [("r", 1, "a", 1, "goals_o25", 0.9), ("r", 1, "a", 2, "goals_o25", 0.8), ("r", 1, "a", 1, "draw", 0.1)]
     made += [("s", 2, "a", 1, "goals_o25", 0.85), (None, 3, "a", 1, "goals_o25", 0.95), (None, 4, None, 1, "draw", None), ("t", 5, "b", 1, "goals_o25", 0.9)]
     status = spark.createDataFrame([("b", "STOP")], "league string, status string")
-    out = k.selection_gate(spark.createDataFrame(made, BETS), status, "day")
+    out = k.selection_gate(spark.createDataFrame(made, GATED), status, "day")
     expected = [("r", 1, "PASSED")] * 4 + [("r", 2, "PASSED")] * 4 + [("r", 1, "GATE_2_PROB_FLOOR")] * 4 + [("s", 1, "PASSED")]
     expected += [(None, 1, "GATE_5_CORRELATION_BLOCK"), (None, 1, "GATE_1_MODEL_ELIGIBILITY"), ("t", 1, "GATE_4_DRIFT_BLOCKED")]
     assert rows(out.select("bet_id", "day", "stage")) == sorted(expected, key=str)
